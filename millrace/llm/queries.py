@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, sharding, token_files
+from millrace.llm import decontaminate, minhash, packing, sharding, token_files
 from millrace.llm.runtime import prepare, scratch
 
 
@@ -20,6 +20,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.flagged(docs, table(spark, sf_dir, "benchmark"), into="found")
+    fields = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_item", "longest_at"]
+    return found.select("doc_id", *[f"found.{f}" for f in fields])
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), root, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -35,5 +42,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_sharding, op4_packing)}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_sharding, op4_packing, op8_minhash)}
 ORACLE_SQL: dict[str, str] = {}

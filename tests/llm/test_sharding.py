@@ -19,9 +19,9 @@ def test_rows_sizes_and_numbers(spark):
 
 def test_shards_are_even_and_growth_moves_little(spark):
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 300).cast("int")).alias("text"))
-    got = shard(rows, n_shards=16, n_slots=512).groupBy("shard").agg(F.sum("size").alias("b")).toPandas()
+    got = shard(rows, n_shards=16).groupBy("shard").agg(F.sum("size").alias("b")).toPandas()
     assert len(got) == 16 and got.b.max() - got.b.min() < 0.01 * got.b.mean()
-    records = rows.select(virtual_slot(F.col("doc_id"), 512).alias("vslot"), text_size(F.col("text")).alias("size"))
+    records = rows.select(virtual_slot(F.col("doc_id")).alias("vslot"), text_size(F.col("text")).alias("size"))
     slots = slot_table(records)
     first = assign_slots(slots, 16)
     path = scratch(spark, "map")
