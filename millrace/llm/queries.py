@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, minhash, packing, sharding, token_files
+from millrace.llm import chat, decontaminate, media, minhash, packing, quality, sharding, token_files, warc
 from millrace.llm.runtime import prepare, scratch
 
 
@@ -42,10 +42,34 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark, "warc")
+    names = warc.write_archives(table(spark, sf_dir, "pages"), root)
+    found = warc.read_archives(spark, root, names, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "archive")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_sharding, op4_packing, op8_minhash)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_token_files, op3_sharding, op4_packing, op6_warc, op7_quality, op8_minhash, op9_perspectives, op10_media)
+}
+ORACLE_SQL: dict[str, str] = {"op9_perspectives": chat.SQL}

@@ -79,7 +79,7 @@ class SharedFiles:
     def write(self, name: str, chunks) -> int:
         part = f"{self.path}/.{name}.{uuid.uuid4().hex}"
         size = 0
-        with self.fs.open_output_stream(part) as out:
+        with self.fs.open_output_stream(part, compression=None) as out:
             for chunk in chunks:
                 out.write(chunk)
                 size += len(chunk)
@@ -100,4 +100,4 @@ class SharedFiles:
             return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def stream(self, name: str):
-        return self.fs.open_input_stream(f"{self.path}/{name}")
+        return self.fs.open_input_stream(f"{self.path}/{name}", compression=None)

@@ -100,8 +100,8 @@ def shingles(found: Words, width: int = 5) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(total[a : b - width + 1]))
         elif b > a:
-            few = np.array([(w[a:b] * _PLACES[: b - a]).sum(dtype=U) + _PLACES[width + b - a]], U)
-            out.append(mix(few))
+            few = (w[a:b] * _PLACES[: b - a]).sum(dtype=U, keepdims=True)
+            out.append(mix(few + _PLACES[width + b - a : width + b - a + 1]))
         else:
             out.append(np.empty(0, U))
     return out
