@@ -9,12 +9,12 @@ exact Jaccard similarity of the full shingle sets.
 How the work is kept proportional to the input:
 
 * texts with the same shingle set are one node, so copies never meet in pairs;
-* in a bucket (texts equal in a band) every node is held against the bucket's
-  smallest node first; where that leaves one component, nothing more is done;
-* in other buckets, small ones compare the nodes of different components;
-  large ones are split by the other bands, and go again;
-* candidate pairs are grouped by their smaller node, large groups are salted,
-  and a group streams through a task that holds one set at a time.
+* in a bucket (texts equal in a band) every node is held against one pivot
+  first, the member that meets most others; pairs are grouped by pivot, large
+  groups are salted, and a group streams through a task that holds one set;
+* where that leaves one component, nothing more is done; in other buckets only
+  nodes of different components are compared, in chunks of bounded size, each
+  pair in the first bucket it shares, until its components are joined.
 
 Components come from alternating large-star and small-star steps on tables.
 
@@ -51,7 +51,7 @@ class Banding:
     rows: int = 5
     numerator: int = 75  # a link: 100 * intersection >= numerator * union
     width: int = 5
-    small: int = 8  # a bucket of at most so many nodes compares all of its components
+    chunk: int = 256  # members of a bucket that one task holds at a time
 
 
 def circulant_signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
@@ -191,40 +191,90 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("label")).union(now.select("a", "a").distinct())
 
 
+def compared(open_: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding: Banding) -> DataFrame:
+    """Links between nodes of different components that share a bucket of ``open_`` (bucket, node, label).
+
+    A bucket's members are dealt into chunks; the members outside the bucket's
+    largest component stream past every chunk. A pair is compared in the first
+    bucket it shares, and only while its components are not joined in the chunk.
+    """
+    spark = open_.sparkSession
+    by_label = open_.groupBy("bucket", "label").count()
+    largest = by_label.groupBy("bucket").agg(F.max(F.struct("count", "label"))["label"].alias("largest"), F.ceil(F.sum("count") / banding.chunk).cast("int").alias("chunks"))
+    rows = open_.join(largest, "bucket").select("bucket", "node", "label", "chunks", (F.col("label") != F.col("largest")).alias("minor"))
+    held = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("passing", F.lit(False))
+    passing = rows.where("minor and chunks > 1").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("passing", F.lit(True))
+    roles = fetch(held.unionByName(passing).join(nodes.select("node", "buckets"), "node"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["bucket", "chunk", "passing"]
+    roles = roles.select(*order, "minor", "node", "label", "chunks", "buckets", "text").repartition(parts, "bucket", "chunk").sortWithinPartitions(*order, "node")
+    share = banding.numerator
+
+    def run(batches):
+        group, members, keys, parent = None, [], None, {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        def against(node, label, minor, own, items, earlier):
+            """Links of one node with the members held."""
+            first = (keys[:earlier] == own).argmax(axis=1)
+            for i in np.flatnonzero((keys[np.arange(earlier), first] == group[0]) & (own[first] == group[0])).tolist():
+                other, other_label, other_minor, other_items = members[i]
+                if root(label) == root(other_label) or not (minor or other_minor) or (minor and other_minor and node <= other):
+                    continue
+                n, m = len(items), len(other_items)
+                if 100 * min(n, m) >= share * max(n, m):
+                    common = len(np.intersect1d(items, other_items, assume_unique=True))
+                    if 100 * common >= share * (n + m - common):
+                        parent[root(label)] = root(other_label)
+                        yield (other, node)
+
+        for batch in batches:
+            out = []
+            cols = {n: batch.column(n) for n in batch.schema.names}
+            plain = [cols[n].to_pylist() for n in ("bucket", "chunk", "passing", "minor", "node", "label", "chunks")]
+            at = 0
+            for _, _, buffer in wordhash.buffers(cols["text"].to_pylist()):
+                for items in wordhash.shingles(wordhash.words(buffer, wordhash.WHITE), banding.width):
+                    bucket, chunk, passes, minor, node, label, chunks = (c[at] for c in plain)
+                    own = np.asarray(cols["buckets"][at].values)
+                    at += 1
+                    if group != (bucket, chunk):
+                        group, members, keys, parent = (bucket, chunk), [], np.empty((64, len(own)), "i8"), {}
+                    if not passes:  # members of a chunk come in rising order of nodes
+                        if members and chunks == 1:
+                            out += against(node, label, minor, own, items, len(members))
+                        if len(members) == len(keys):
+                            keys = np.concatenate([keys, np.empty_like(keys)])
+                        keys[len(members)] = own
+                        members.append((node, label, minor, items))
+                    else:
+                        out += against(node, label, minor, own, items, len(members))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+
+    return roles.mapInArrow(run, "a long, b long")
+
+
 def link(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding: Banding) -> DataFrame:
     """(node, label) of all nodes that have a link. ``nodes`` has a row for each ``node``, with ``buckets``."""
-    rows = cut(nodes.select("node", F.explode("buckets").alias("bucket")), "bands")
-    spread = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
-    active = cut(rows.join(spread.select("bucket", "pivot"), "bucket").select("bucket", "node", "pivot"), "buckets")
-    pairs = active.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    rows = nodes.select("node", F.explode("buckets").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket")
+    met = cut(rows.join(shared, "bucket"), "buckets")
+    # a bucket's pivot is the member that meets the most nodes over all of its buckets
+    size = met.groupBy("bucket").agg(F.count("*").alias("n"))
+    meets = met.join(size, "bucket").groupBy("node").agg(F.sum("n").alias("meets"))
+    pivots = met.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node"))["node"].alias("pivot"))
+    pairs = met.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     edges = cut(verified(cut(pairs, "pairs"), fetch, banding), "links")
-    discard(rows)
-    for depth in range(3):
-        labels = components(edges)
-        # a bucket whose nodes are in one component has nothing left to compare
-        held = active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
-        held = cut(held.join(open_, "bucket").where("node <> pivot"), "open")
-        if depth == 0 and held.isEmpty():
-            return labels
-        whole = held if depth == 2 else held.where(F.col("n") <= banding.small)
-        left, right = (whole.select("bucket", F.col("node").alias(n), F.col("label").alias(f"{n}_label")) for n in ("a", "b"))
-        pairs = left.join(right, "bucket").where("a < b and a_label <> b_label").select("a", "b").distinct()
-        if depth < 2:
-            # nodes that agree in one more band stay together
-            split = held.where(F.col("n") > banding.small).select("bucket", "node", "label").join(nodes.select("node", F.explode("buckets").alias("other")), "node")
-            split = split.where("other <> bucket").select(F.xxhash64("bucket", "other").alias("bucket"), "node", "label")
-            spread = split.groupBy("bucket").agg(F.min("node").alias("pivot"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket", "pivot")
-            active = cut(split.join(spread, "bucket"), "buckets")
-            more = active.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-            active = active.drop("label")
-            pairs = pairs.union(more).distinct()
-        pairs = cut(pairs, "pairs")
-        if not pairs.isEmpty():
-            edges = cut(edges.union(verified(pairs, fetch, banding)), "links")
-        if depth < 2 and active.isEmpty():
-            break
-    return components(edges)
+    labels = cut(components(edges), "labels")
+    # a bucket whose nodes are in one component has nothing left to compare
+    held = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    more = cut(compared(cut(held.join(several, "bucket"), "open"), nodes, fetch, banding), "links")
+    return labels if more.isEmpty() else cut(components(edges.union(more)), "labels")
 
 
 def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

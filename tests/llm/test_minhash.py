@@ -75,12 +75,12 @@ def family(rng, n, edits):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("small", [2, 8])
-def test_large_families_near_the_threshold(spark, small):
+@pytest.mark.parametrize("chunk", [8, 256])
+def test_large_families_near_the_threshold(spark, chunk):
     rng = random.Random(3)
     texts = [*family(rng, 90, 4), *family(rng, 40, 6), *family(rng, 5, 1)]
     texts += ["shared passage " * 30 + " ".join(f"own{i}x{k}" for k in range(60)) for i in range(30)]
-    same(spark, [(1000 - i, t) for i, t in enumerate(texts)], Banding(small=small))
+    same(spark, [(1000 - i, t) for i, t in enumerate(texts)], Banding(chunk=chunk))
 
 
 def test_coordinates_agree_as_often_as_sets_overlap():
