@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, media, minhash, packing, quality, sharding, token_files, warc
+from millrace.llm import chat, decontaminate, media, minhash, packing, passages, quality, sharding, token_files, warc
 from millrace.llm.runtime import prepare, scratch
 
 
@@ -42,6 +42,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of every cluster; documents without a repeated paragraph have no row."""
+    found = passages.clusters(table(spark, sf_dir, "documents"))
+    name = lambda c: F.when(F.col(c) != passages.LAST, F.col(c))
+    return found.select(
+        name("doc").alias("doc_id"), "first_word", "n_words", F.col("cluster").alias("cluster_id"), name("keeper").alias("kept_doc_id"), F.col("keeper_word").alias("kept_first_word"), "copies", "removed"
+    )
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "warc")
     names = warc.write_archives(table(spark, sf_dir, "pages"), root)
@@ -70,6 +79,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_files, op3_sharding, op4_packing, op6_warc, op7_quality, op8_minhash, op9_perspectives, op10_media)
+    for f in (op1_decontamination, op2_token_files, op3_sharding, op4_packing, op5_passages, op6_warc, op7_quality, op8_minhash, op9_perspectives, op10_media)
 }
 ORACLE_SQL: dict[str, str] = {"op9_perspectives": chat.SQL}

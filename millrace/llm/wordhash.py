@@ -52,6 +52,8 @@ class Words:
 
     hashes: np.ndarray
     edges: np.ndarray
+    last_byte: np.ndarray | None = None
+    ends_line: np.ndarray | None = None  # whether a line end follows the word
 
 
 def _hash_buffer(texts: list[bytes], separators: np.ndarray) -> Words:
@@ -65,7 +67,9 @@ def _hash_buffer(texts: list[bytes], separators: np.ndarray) -> Words:
     hashes = mix((sums[ends - 1] - sums[starts - 1]) * inverses[starts])
     lengths = np.fromiter(map(len, texts), "i8", len(texts))
     edges = np.concatenate([[0], np.searchsorted(starts, np.cumsum(lengths + 1))])
-    return Words(hashes, edges)
+    lines = np.cumsum(buffer == 10)
+    after = np.append(starts[1:], len(buffer) - 1)
+    return Words(hashes, edges, buffer[ends - 1], lines[after] > lines[ends - 1])
 
 
 def buffers(texts: list[str | None]):
