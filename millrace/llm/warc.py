@@ -195,7 +195,9 @@ def write_archives(pages: DataFrame, root: str, least_bytes: int = 0, sample: in
     spark = pages.sparkSession
     prepare(spark)
     rows = with_revisits(pages, least_bytes, id_col, payload_col, url_col)
-    heads = pages.select(F.col(id_col).alias("i"), F.substring(F.coalesce(F.col(payload_col), F.lit("")), 1, 4096).alias("t")).orderBy(F.xxhash64("i"), "i").limit(sample)
+    chosen = pages.select(F.col(id_col).alias("i")).orderBy(F.xxhash64("i"), "i").limit(sample).distinct()
+    heads = pages.select(F.col(id_col).alias("i"), F.substring(F.coalesce(F.col(payload_col), F.lit("")), 1, 4096).alias("t"))
+    heads = heads.join(F.broadcast(chosen), "i", "left_semi").orderBy("i", "t").limit(sample)  # `sample` ids at most
     dictionary = train_dictionary([build_record(r["i"], "", r["t"].encode(), "", None) for r in heads.collect()])
 
     def write(batches):
