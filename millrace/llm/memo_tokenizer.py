@@ -14,11 +14,14 @@ library does the rest.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 
 import numpy as np
 
+from millrace.llm.runtime import claim
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Unicode White_Space, which the tokenizers' patterns mean by \s.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -41,6 +44,7 @@ _LOADED: dict[tuple, "MemoTokenizer"] = {}
 
 def load(path: str, capacity: int = 1_000_000) -> "MemoTokenizer":
     """The process-wide tokenizer of a vocabulary file."""
+    claim("tokenizer", _LOADED.clear)
     if (path, capacity) not in _LOADED:
         _LOADED[path, capacity] = MemoTokenizer(path, capacity)
     return _LOADED[path, capacity]
@@ -69,8 +73,14 @@ class MemoTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, in ``dtype``; texts longer than the batch are no special case."""
         out = []
-        for at in range(0, len(texts), 256):
-            out += self._packed([self.cut(t) for t in texts[at : at + 256]])
+        collecting = gc.isenabled()
+        gc.disable()  # millions of short-lived objects, none of them in cycles
+        try:
+            for at in range(0, len(texts), 256):
+                out += self._packed([self.cut(t) for t in texts[at : at + 256]])
+        finally:
+            if collecting:
+                gc.enable()
         return out
 
     def _packed(self, pieces: list[list[str]]) -> list[bytes]:

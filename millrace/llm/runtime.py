@@ -46,6 +46,17 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_holder: list = [None, None]
+
+
+def claim(operator: str, release=None) -> None:
+    """A worker process keeps the caches of one operator at a time: another one's are released."""
+    if _holder[0] != operator:
+        if _holder[1]:
+            _holder[1]()
+        _holder[:] = [operator, release]
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lost executors cost no recomputation of what is above."""
     path = scratch(df.sparkSession, label)

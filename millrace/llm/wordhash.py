@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from millrace.llm.runtime import claim
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -74,6 +76,7 @@ def _hash_buffer(texts: list[bytes], separators: np.ndarray) -> Words:
 
 def buffers(texts: list[str | None]):
     """(first, last, UTF-8 texts) of runs of texts of bounded size; a longer text is a run by itself."""
+    claim("words")
     run, size, first = [], 0, 0
     for i, text in enumerate(texts):
         data = (text or "").encode()
