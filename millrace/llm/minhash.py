@@ -262,6 +262,7 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding: Ban
     """(node, label) of all nodes that have a link. ``nodes`` has a row for each ``node``, with ``buckets``."""
     rows = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket")
+    shared = cut(shared, "shared")  # a side of its own, so that Spark can split the join where a bucket is hot
     met = cut(rows.join(shared, "bucket"), "buckets")
     # a bucket's pivot is the member that meets the most nodes over all of its buckets
     size = met.groupBy("bucket").agg(F.count("*").alias("n"))
