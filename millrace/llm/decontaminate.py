@@ -222,7 +222,8 @@ class SuffixArray:
                     break
                 length[active] = k + 1
             for d, n, p in zip(docs.tolist(), length.tolist(), (at - self.doc_start[docs]).tolist()):
-                if (n, -p) > (longest.get(d, (0, 0))[:2]):
+                best = longest.get(d)
+                if best is None or (-n, p, name) < (-best[0], -best[1], best[2]):
                     longest[d] = (n, -p, name)
         hit |= np.cumsum(edges[:-1]) > 0
 

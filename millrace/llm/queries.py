@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import chat, decontaminate, media, minhash, packing, passages, quality, sharding, token_files, warc
+from millrace.llm.oracle import ORACLE_SQL  # noqa: F401
 from millrace.llm.runtime import prepare, scratch
 
 
@@ -55,7 +56,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "warc")
     names = warc.write_archives(table(spark, sf_dir, "pages"), root)
     found = warc.read_archives(spark, root, names, payloads=False)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "archive")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +82,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_decontamination, op2_token_files, op3_sharding, op4_packing, op5_passages, op6_warc, op7_quality, op8_minhash, op9_perspectives, op10_media)
 }
-ORACLE_SQL: dict[str, str] = {"op9_perspectives": chat.SQL}
