@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import wordhash
-from millrace.llm.runtime import cut, discard, prepare
+from millrace.llm.runtime import cut, discard, prepare, tidy
 
 #: Fixed parameters of the second permutation: multiply, fold, multiply.
 PI = (np.uint32(0x7FEB352D), np.uint32(15), np.uint32(0x846CA68B))
@@ -124,6 +124,7 @@ def signatures(rows: DataFrame, banding: Banding) -> DataFrame:
                 cols = [part.column(i) for i in range(len(keys))]
                 cols += [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in keys), "n_shingles", "node", "buckets"])
+        tidy()
 
     return rows.mapInArrow(run, schema)
 
@@ -157,6 +158,7 @@ def verified(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding:
                                 out.append((head, node[at]))
                     at += 1
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        tidy()
 
     return roles.mapInArrow(run, "a long, b long")
 
@@ -254,6 +256,7 @@ def compared(open_: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], Da
                     else:
                         out += against(node, label, minor, own, items, len(members))
             yield pa.RecordBatch.from_pydict({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+        tidy()
 
     return roles.mapInArrow(run, "a long, b long")
 

@@ -49,11 +49,27 @@ def scratch(spark: SparkSession, label: str) -> str:
 _holder: list = [None, None]
 
 
+def tidy() -> None:
+    """Give memory that this process has freed back to the machine; workers live on after their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def claim(operator: str, release=None) -> None:
     """A worker process keeps the caches of one operator at a time: another one's are released."""
     if _holder[0] != operator:
         if _holder[1]:
             _holder[1]()
+        tidy()
         _holder[:] = [operator, release]
 
 
