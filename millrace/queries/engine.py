@@ -270,4 +270,21 @@ def metric(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg((F.round(metrics.mean_or(F.col("value")), 6) + 0.0).alias("mean"), F.count("*").alias("n"))
 
 
+@query("D5_custom_loader", "select lang as channel, count(*) as n from documents group by 1")
+def custom_loader(spark, sf_dir):
+    from millrace.sources.registry import load_one
+
+    load = lambda session, meta, subset: read(session, sf_dir, "documents").select(F.col("lang").alias("channel"))
+    register(Meta(ms_id="own/loader", load=load, preprocess=lambda df: df), exist_ok=True)
+    return load_one(spark, "own/loader").groupBy("channel").agg(F.count("*").alias("n"))
+
+
+@query("D7_agent_text", "select doc_id, 'Action: ' || lang || chr(10) || 'Action Input: {}' || chr(10) || 'Observation:' || source || chr(10) as react, '<tool_call>' || chr(10) || '{\"name\": \"' || lang || '\", \"arguments\": {}}' || chr(10) || '</tool_call>' as hermes from documents")
+def agent_text(spark, sf_dir):
+    from millrace.functions.agents import tool_call_text, tool_result_text
+
+    call, result = tool_call_text(F.col("lang"), F.lit("{}")), tool_result_text(F.col("source"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(call, result).alias("react"), tool_call_text(F.col("lang"), F.lit("{}"), "hermes").alias("hermes"))
+
+
 _ = windows
