@@ -75,8 +75,8 @@ def counts(texts: list[str | None]) -> np.ndarray:
 
 
 def weighted(x: np.ndarray, idf: np.ndarray, shape_weight: float) -> np.ndarray:
-    """Both blocks to unit length (times the weight); empty rows stay zero."""
-    x = x * idf
+    """Both blocks to unit length (times the weight), in place; empty rows stay zero."""
+    x *= idf
     for block, weight in ((x[:, :TRIGRAMS], 1.0), (x[:, TRIGRAMS:], shape_weight)):
         norm = np.linalg.norm(block, axis=1, keepdims=True)
         block *= weight / np.where(norm > 0, norm, 1)
@@ -136,6 +136,7 @@ class Model:
         out = np.full(len(texts), self.prior)
         for at in range(0, len(texts) if len(self.labels) else 0, 128):
             raw = counts(texts[at : at + 128])
+            some = raw.any(axis=1)
             x = unit(weighted(raw, self.idf, self.setting.shape_weight) @ self.basis)
             near = x @ self.vectors.T
             k = min(self.setting.neighbours, len(self.labels))
@@ -143,7 +144,7 @@ class Model:
             votes = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype("f8")
             total = votes.sum(axis=1)
             share = (votes * self.labels[top]).sum(axis=1) / np.where(total > 0, total, 1)
-            out[at : at + 128] = np.where((total > 0) & raw.any(axis=1), share, self.prior)
+            out[at : at + 128] = np.where((total > 0) & some, share, self.prior)
         return np.clip(out, 0, 1)
 
 
@@ -168,8 +169,10 @@ def fit(docs: DataFrame, train: DataFrame, setting: Setting = Setting(), id_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # 2 * per_class rows at most
     rows = texts.select(F.col("id").cast("string").alias("id"), "label", "text").mapInArrow(features, "id string, label int, x binary")
     rows = rows.groupBy("id").agg(F.min("label").alias("label"), F.min("x").alias("x")).orderBy("id").collect()
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), DIMS)
     labels = np.array([r["label"] for r in rows], "f8")
+    x = np.zeros((len(rows), DIMS), np.float32)
+    for i in range(len(rows)):  # bytes go as their row is filled
+        x[i], rows[i] = np.frombuffer(rows[i]["x"], np.float16), None
     x = weighted(x, idf, setting.shape_weight)
     basis = latent_basis(x, setting.rank) if len(rows) else np.zeros((DIMS, 1), np.float32)
     return Model(idf, basis, unit(x @ basis), labels, float(labels.mean()) if len(rows) else 0.5, setting)
