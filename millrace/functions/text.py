@@ -45,10 +45,6 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
-def ends_with_all(c: Column, pattern: str) -> Column:
-    return c.rlike(pattern)
-
-
 def ngrams(c: Column, n: int) -> Column:
     """Arrays of ``n`` consecutive lower-cased words, joined by spaces; empty for short texts."""
     w = words(F.lower(c))

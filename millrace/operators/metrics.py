@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -332,7 +330,3 @@ def entropy_cut(df: DataFrame, entropies: str, mask: str, top: float) -> DataFra
     tokens = df.select(F.explode(F.arrays_zip(F.col(entropies).alias("e"), F.col(mask).alias("m"))).alias("t")).where(F.col("t.m") == 1)
     cut = tokens.agg(F.percentile("t.e", F.lit(1 - top)).alias("_cut"))
     return df.crossJoin(F.broadcast(cut)).withColumn("keep", F.zip_with(entropies, mask, lambda e, m: F.when((m == 1) & (e >= F.col("_cut")), 1).otherwise(0))).drop("_cut")
-
-
-def sum_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

@@ -117,10 +117,9 @@ def slice_of(ordinal: Column, total: int, n: int, contiguous: bool = True) -> Co
     """Which of ``n`` slices a row is in: even boundaries, or every n-th row."""
     if not contiguous:
         return (ordinal % n).cast("int")
-    edges = [round(total * k / n) if False else int(total * k / n) for k in range(1, n)]
     out = F.lit(0)
-    for e in edges:
-        out = out + (ordinal >= e).cast("int")
+    for k in range(1, n):
+        out = out + (ordinal >= total * k // n).cast("int")
     return out
 
 

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from millrace.operators import metrics, normalize, reshape, windows
+from millrace.operators import metrics, normalize, reshape
 from millrace.plans import curation, loading
 from millrace.plans.presets import PRESETS
 from millrace.queries.base import CONVS, SAMPLES, query, read, samples
@@ -286,5 +286,3 @@ def agent_text(spark, sf_dir):
     call, result = tool_call_text(F.col("lang"), F.lit("{}")), tool_result_text(F.col("source"))
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(call, result).alias("react"), tool_call_text(F.col("lang"), F.lit("{}"), "hermes").alias("hermes"))
 
-
-_ = windows

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import normalize as N
 from millrace.operators import reshape, validate
-from millrace.queries.base import CONVS, RAW, convs, flat, query, raw, read, scalar, six, sql_flat
+from millrace.queries.base import CONVS, RAW, convs, flat, query, raw, read, scalar, sql_flat
 
 m = lambda: F.col("messages")
 turns = lambda: F.col("turns")
@@ -94,7 +94,6 @@ def auto(spark, sf_dir):
 scalar("P19_fill_prompt", "documents", {"value": (lambda: N.fill_prompt("Say {{QUERY}} now", F.col("source")), "'Say ' || source || ' now'")})
 cls = lambda: N.class_prompt("sentiment", ["bad", "good"], F.col("source"), F.when(F.col("doc_id") % 3 != 2, (F.col("doc_id") % 3).cast("int")))
 scalar("P20_class_prompt", "documents", {"query": (lambda: cls()[0], "'Task: sentiment' || chr(10) || 'Sentence: ' || source || chr(10) || 'Category: bad, good' || chr(10) || 'Output:'"), "response": (lambda: cls()[1], "case doc_id % 3 when 0 then 'bad' when 1 then 'good' end")})
-DRAW = "((doc_id % 1003 * 48271 + 7) % 2147483647 * 69621 + 11) % 2147483647"
 scalar("P21_pick", "documents", {"value": (lambda: N.pick(7, F.col("doc_id"), ["a", "b", "c"]), "['a', 'b', 'c'][((((doc_id % 1000003) * 48271 + 7) % 2147483647 * 69621 + 11) % 2147483647 % 3 + 1)::int]")})
 scalar("P22_video_messages", "raw", {"value": (lambda: flat(N.video_messages(turns())), "array_to_string([case x.\"from\" when 'human' then 'user' else 'assistant' end || ': ' || replace(x.value, '<image>', '<video><audio>') for x in turns], chr(10))")})
 FIRST_HUMAN = "([x.value for x in turns if x.\"from\" = 'human'])[1]"
@@ -202,4 +201,3 @@ scalar(
 )
 scalar("F20_media_lists", "pages", {"ok": (lambda: F.forall(F.array("url"), lambda u: u.isNotNull() & (u != "")), "url <> ''")})
 scalar("F21_single_turn", "convs", {"ok": (lambda: validate.all_single_turn(m()), "len(messages) // 2 = 1")})
-_ = six

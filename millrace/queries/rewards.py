@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import rewards as R
-from millrace.functions import text as X
+from millrace.functions.parts import loss_scale_column, media_type, message_scales, split_parts_column
 from millrace.operators import reshape
+from millrace.operators.normalize import reasoning_wrapper
+from millrace.operators.normalize import self_cognition as fill
 from millrace.queries.base import COMPLETIONS, completions, query, read, scalar, six
 
 c, s, t = (lambda: F.col("completion")), (lambda: F.col("solution")), (lambda: F.col("text"))
-WS = r"[\s]+"
 ANSWER = "trim(regexp_extract(completion, '(?s)<answer>(.*?)</answer>', 1))"
 
 
@@ -75,34 +76,18 @@ scalar("R30_react_action", "completions", {"action": (lambda: R.react_action(rea
 one("R19_thinking_tips", lambda: R.thinking_tips(R.choice_accuracy(c(), s())), f"case when substring({ANSWER}, 1, 1) = substring(solution, 1, 1) then 1.0::double else 0.0::double end")
 one("X4_media_type", lambda: media_type(F.concat(F.lit("a/b."), F.get(F.array(*map(F.lit, ("MP4", "wav", "png"))), (F.col("turn") % 3).cast("int")))), "case turn % 3 when 0 then 'video' when 1 then 'audio' else 'image' end")
 one("X5_row_key", lambda: reshape.json_key(F.struct("conv_id", "turn")), "md5('{\"conv_id\":' || conv_id || ',\"turn\":' || turn || '}')")
-one("X6_find_all", lambda: F.array_join(reshape.find_all(F.sequence(F.lit(0), F.col("turn")) % 2 if False else F.transform(F.sequence(F.lit(0), F.col("turn")), lambda x: (x % 2).cast("int")), F.array(F.lit(1), F.lit(0))), ","), "array_to_string([i for i in range(1, turn, 2)], ',')")
-one("X8_reasoning_wrapper", lambda: N_wrap(), "'<think>' || substring(text, 1, 9) || '</think>' || chr(10) || chr(10) || '<answer>' || solution || '</answer>'")
-
-
-def N_wrap():
-    from millrace.operators.normalize import reasoning_wrapper
-
-    return reasoning_wrapper(F.substring("text", 1, 9), F.col("solution"))
-
-
-def media_type(name):
-    from millrace.functions.parts import media_type as build
-
-    return build(name)
+one("X6_find_all", lambda: F.array_join(reshape.find_all(F.transform(F.sequence(F.lit(0), F.col("turn")), lambda x: (x % 2).cast("int")), F.array(F.lit(1), F.lit(0))), ","), "array_to_string([i for i in range(1, turn, 2)], ',')")
+one("X8_reasoning_wrapper", lambda: reasoning_wrapper(F.substring("text", 1, 9), s()), "'<think>' || substring(text, 1, 9) || '</think>' || chr(10) || chr(10) || '<answer>' || solution || '</answer>'")
 
 
 @query("X1_split_parts")
 def split_parts(spark, sf_dir):
-    from millrace.functions.parts import split_parts_column
-
     rows = completions(spark, sf_dir).select("conv_id", "turn", F.posexplode(split_parts_column(react(), ["Action:", "Action Input:"])).alias("part", "p"))
     return rows.select("conv_id", "turn", "part", "p.key", "p.content")
 
 
 @query("X2_loss_scale")
 def loss_scale(spark, sf_dir):
-    from millrace.functions.parts import loss_scale_column
-
     col = loss_scale_column(F.lit("q"), react(), {"Action:": [2.0, 2.0], "Action Input:": [1.0, 3.0]})
     rows = completions(spark, sf_dir).select("conv_id", "turn", F.posexplode(col).alias("part", "p"))
     return rows.select("conv_id", "turn", "part", "p.content", "p.weight")
@@ -110,8 +95,6 @@ def loss_scale(spark, sf_dir):
 
 @query("X3_loss_strategies", "select conv_id, turn, case when role = 'assistant' then 1.0::double else 0.0::double end as default_scale, case when role = 'assistant' and turn = (select max(turn) from conversations c where c.conv_id = t.conv_id and role = 'assistant') then 1.0::double else 0.0::double end as last_round, 1.0::double as all_scale from conversations t")
 def loss_strategies(spark, sf_dir):
-    from millrace.functions.parts import message_scales
-
     rows = read(spark, sf_dir, "conversations")
     return rows.join(rows.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last")), "conv_id", "left").select(
         "conv_id", "turn", message_scales("default", F.col("role"), F.col("turn"), F.col("last")).alias("default_scale"), message_scales("last_round", F.col("role"), F.col("turn"), F.col("last")).alias("last_round"), message_scales("all", F.col("role"), F.col("turn"), F.col("last")).alias("all_scale")
@@ -120,8 +103,6 @@ def loss_strategies(spark, sf_dir):
 
 @query("X7_self_cognition", "select doc_id, case when lang = 'en' then 'I am Mill by Race' else 'I am 磨 by 水' end as value from documents")
 def self_cognition(spark, sf_dir):
-    from millrace.operators.normalize import self_cognition as fill
-
     lang = F.when(F.col("lang") == "en", "en").otherwise("zh")
     return read(spark, sf_dir, "documents").select("doc_id", fill(F.lit("I am {{NAME}} by {{AUTHOR}}"), ("磨", "Mill"), ("水", "Race"), lang).alias("value"))
 
@@ -141,5 +122,3 @@ def tool_calls(spark, sf_dir):
 def reward_registry(spark, sf_dir):
     return completions(spark, sf_dir).agg(F.count("*").alias("n"), F.sum(R.REWARDS["mc_acc"](c(), s())).alias("total"))
 
-
-_ = X

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import metrics as A
 from millrace.operators import reshape, sampling, validate, windows
-from millrace.queries.base import COMPLETIONS, CONVS, QUERIES, SAMPLES, completions, convs, query, read, samples, six
+from millrace.queries.base import COMPLETIONS, SAMPLES, completions, query, read, samples, six
 
 REASON = """case when coalesce(answer_accuracy_score, -1) <> 10 then 'answer_accuracy' when coalesce(question_logic_score, 0) < 8 then 'question_logic'
   when coalesce(composite_score, 0) < 7 then 'composite' when should_filter then 'should_filter' end"""
@@ -734,5 +732,3 @@ def jaccard(spark, sf_dir):
 def cycle(spark, sf_dir):
     return reshape.cycle(read(spark, sf_dir, "benchmark").select("item_id"), 3)
 
-
-_ = (reduce, convs, CONVS, QUERIES)
