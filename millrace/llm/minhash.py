@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import wordhash
-from millrace.llm.runtime import cut, discard, prepare, tidy
+from millrace.llm.runtime import cut, discard, free_shuffles, prepare, tidy
 
 #: Fixed parameters of the second permutation: multiply, fold, multiply.
 PI = (np.uint32(0x7FEB352D), np.uint32(15), np.uint32(0x846CA68B))
@@ -267,12 +267,14 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding: Ban
     shared = rows.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket")
     shared = cut(shared, "shared")  # a side of its own, so that Spark can split the join where a bucket is hot
     met = cut(rows.join(shared, "bucket"), "buckets")
+    free_shuffles(nodes.sparkSession)
     # a bucket's pivot is the member that meets the most nodes over all of its buckets
     size = met.groupBy("bucket").agg(F.count("*").alias("n"))
     meets = met.join(size, "bucket").groupBy("node").agg(F.sum("n").alias("meets"))
     pivots = met.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node"))["node"].alias("pivot"))
     pairs = met.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     edges = cut(verified(cut(pairs, "pairs"), fetch, banding), "links")
+    free_shuffles(nodes.sparkSession)
     labels = cut(components(edges), "labels")
     # a bucket whose nodes are in one component has nothing left to compare
     held = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -80,6 +80,11 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now; else they stay until the driver happens to collect its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that :func:`cut` wrote and nothing reads any more."""
     spark = df.sparkSession
