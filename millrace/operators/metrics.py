@@ -72,12 +72,16 @@ def token_accuracy(df: DataFrame, predictions: Column, labels: Column) -> DataFr
 
 
 def _lcs(a: list, b: list) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, a whole row of the table at a time in the bits of an integer."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hits = row & places.get(y, 0)
+        row = (row + hits | row - hits) & full
+    return len(a) - row.bit_count()
 
 
 def text_overlap(prediction: Column, label: Column) -> Column:

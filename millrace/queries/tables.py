@@ -242,8 +242,10 @@ def token_accuracy(spark, sf_dir):
 
 @query("A11_text_overlap")
 def text_overlap(spark, sf_dir):
-    v = A.text_overlap(F.substring("text", 1, 200), F.substring("text", 20, 200))
-    rows = completions(spark, sf_dir).select("conv_id", "turn", v.alias("v"))
+    """Each assistant turn against the next one of its conversation, both whole; the last has nothing to match."""
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = completions(spark, sf_dir).withColumn("following", following)
+    rows = rows.select("conv_id", "turn", A.text_overlap(F.col("text"), F.col("following")).alias("v"))
     return rows.select("conv_id", "turn", *[F.col("v")[i].alias(n) for i, n in enumerate(("rouge_1", "rouge_2", "rouge_l", "bleu_4"))])
 
 

@@ -144,6 +144,32 @@ def test_text_overlap(spark):
     assert got[0] == [100.0, 100.0, 100.0, 100.0] and got[1][:3] == [0.0, 0.0, 0.0]
 
 
+def plain_lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_text_overlap_query_compares_whole_turns(spark, tmp_path):
+    import random
+
+    from millrace.queries import QUERIES
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n)) for n in (90, 130, 70)]
+    turns = [(7, 2 * i + 1, "assistant", t) for i, t in enumerate(texts)] + [(7, 2 * i, "user", "hello") for i in range(3)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: r for r in QUERIES["A11_text_overlap"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 3, 5} and got[5]["rouge_l"] == 0
+    for i in (0, 1):
+        h, r = texts[i].split(), texts[i + 1].split()
+        common = sum(min(h.count(w), r.count(w)) for w in set(h))
+        assert abs(got[2 * i + 1]["rouge_1"] - 200 * common / (len(h) + len(r))) < 1e-6
+        assert abs(got[2 * i + 1]["rouge_l"] - 200 * plain_lcs(h, r) / (len(h) + len(r))) < 1e-6
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.text(alphabet="ab \n\t\r  é<", max_size=20))
 def test_prefix_and_strip_like_python(spark, text):
