@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +98,43 @@ def smoothing(values: Column, smooth: float = 0.9) -> Column:
     return F.aggregate(values, state, step)["out"]
 
 
+def smoothed_series(df: DataFrame, key: str, value: str, *order: str, smooth: float = 0.9, block: int = 1024) -> DataFrame:
+    """(key, i, v): debiased exponential smoothing of each key's whole series, counted from 1; values are not null.
+
+    Rows go in blocks: a block's own weighted sum is a plain aggregate, one row
+    for each block carries the state on, and blocks are smoothed side by side.
+    """
+    from millrace.operators.sampling import ranked
+
+    rows = ranked(df.select(key, *order, F.col(value).cast("double").alias("v")), key, "_rank", *order)
+    firsts = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_rank").alias("_first"))
+    rows = rows.join(firsts, F.col(key).eqNullSafe(F.col("_key"))).select(key, (F.col("_rank") - F.col("_first")).alias("i"), "v")
+    rows = rows.withColumn("block", F.floor(F.col("i") / block).cast("long"))
+    # only full blocks have one after them, so the weight counts from a full block's end
+    sums = rows.groupBy(key, "block").agg(F.sum(F.col("v") * F.pow(F.lit(smooth), block - 1 - F.col("i") % block)).alias("x"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def carried(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("block")
+        x, before = 0.0, []
+        for own in part["x"]:
+            before.append(x)
+            x = x * smooth**block + own
+        return part.assign(x=before)
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("i")
+        x, out = part["x"].iloc[0], []
+        for v, i in zip(part["v"], part["i"]):
+            x = x * smooth + v
+            out.append(x * (1 - smooth) / (1 - smooth ** (i + 1)))
+        return part.assign(v=out, i=part["i"] + 1)[[key, "i", "v"]]
+
+    states = sums.groupBy(key).applyInPandas(carried, f"`{key}` {kind}, block long, x double").withColumnsRenamed({key: "_key", "block": "_block"})
+    rows = rows.join(states, F.col(key).eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block"))).select(key, "block", "i", "v", "x")
+    return rows.groupBy(key, "block").applyInPandas(one, f"`{key}` {kind}, i long, v double")
+
+
 def sessions(df: DataFrame, key: str, order: str, begins: Column, *tie: str) -> DataFrame:
     """A ``session`` number within each key: it goes up where a row begins a session; rows before the first are session 0."""
     w = Window.partitionBy(key).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)

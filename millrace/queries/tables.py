@@ -473,6 +473,13 @@ def smooth(spark, sf_dir):
     return rows.select("event_type", (F.col("i") + 1).cast("long").alias("i"), six(F.col("v")).alias("v"))
 
 
+@query("W8_smoothing_whole")
+def smooth_whole(spark, sf_dir):
+    """Every event, where W8_smoothing and its SQL take the first 50 of each type."""
+    rows = windows.smoothed_series(read(spark, sf_dir, "events"), "event_type", "value", "ts", "event_id")
+    return rows.select("event_type", "i", six(F.col("v")).alias("v"))
+
+
 @query("W9_sessions", "with s as (select user_id, sum((event_type = 'signup')::int) over (partition by user_id order by ts, event_id) as session, value from events) select user_id, session::bigint as session, count(*) as n, round(sum(value), 4)::double as total from s group by 1, 2")
 def sessions(spark, sf_dir):
     rows = windows.sessions(read(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "signup", "event_id")

@@ -144,6 +144,36 @@ def test_text_overlap(spark):
     assert got[0] == [100.0, 100.0, 100.0, 100.0] and got[1][:3] == [0.0, 0.0, 0.0]
 
 
+def test_whole_series_are_smoothed(spark):
+    import random
+
+    from millrace.operators import windows
+
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), t, rng.gauss(0, 10)) for t in range(150)] + [("c", 0, 2.0)]
+    want = {}
+    for key in "abc":
+        x = n = 0.0
+        for i, (_, _, v) in enumerate((r for r in rows if r[0] == key), 1):
+            x, n = x * 0.9 + v, n * 0.9 + 1
+            want[key, i] = x / n
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t int, x double").repartition(5)
+    for block in (8, 1024):
+        got = {(r["k"], r["i"]): r["v"] for r in windows.smoothed_series(df, "k", "x", "t", block=block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_smoothing_query_has_every_event(spark):
+    from millrace.queries import QUERIES
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    whole = QUERIES["W8_smoothing_whole"](spark, "/root/testdata/sf0.001")
+    assert whole.count() == events.count()
+    first = QUERIES["W8_smoothing"](spark, "/root/testdata/sf0.001")
+    assert first.join(whole.withColumnRenamed("v", "w"), ["event_type", "i"]).where("abs(v - w) <= 2e-6").count() == first.count()
+
+
 def plain_lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
