@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.workers import written
+
 PRIME = 2147483647
 
 
@@ -17,17 +19,20 @@ def draw(key: Column, seed: int = 42) -> Column:
 def ranked(df: DataFrame, order: str, name: str, *tie: str) -> DataFrame:
     """A dense rank from 0 over the whole table, without one task for all rows.
 
-    Rows go to range partitions; a row's rank is the number of rows in the
-    partitions before its own plus its rank within. The partition sizes are
-    one row for each partition.
+    Rows go to range partitions, are sorted there and numbered by partition and
+    place; a row's rank is the number of rows in the partitions before its own
+    plus its place. Ranged rows are written once, as another evaluation would
+    draw other ranges. The partition sizes are one row for each partition.
     """
-    spread = df.repartitionByRange(order, *tie).withColumn("__part", F.spark_partition_id())
-    within = Window.partitionBy("__part").orderBy(order, *tie)
-    sizes = spread.groupBy("__part").count()
+    keys = [order, *tie]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(placed, "ranked")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))  # as the numbering has them
+    sizes = placed.groupBy(part.alias("__part")).count()
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
-    local = spread.withColumn("__rank", F.row_number().over(within) - 1)
-    return local.join(F.broadcast(bases), "__part").withColumn(name, (F.col("__base") + F.col("__rank")).cast("long")).drop("__part", "__base", "__rank")
+    numbered = placed.join(F.broadcast(bases), part == F.col("__part"))
+    return numbered.withColumn(name, F.col("__base") + place).drop("__at", "__part", "__base")
 
 
 def balance_largest(df: DataFrame, category: str, first_score: str, second_score: str, composite: str, order: str, times: int = 3) -> DataFrame:
@@ -66,7 +71,8 @@ def sample_times(df: DataFrame, n: int, key: str, shuffle: bool = True, seed: in
     out = df.crossJoin(F.broadcast(df.sparkSession.range(copies))).drop("id") if copies and "id" not in df.columns else None
     if copies and out is None:
         out = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_copy")
-    more = df.orderBy(draw(F.col(key), seed) if shuffle else F.col(key), key).limit(rest)
+    drawn = df.withColumn("__draw", draw(F.col(key), seed) if shuffle else F.col(key))
+    more = ranked(drawn, "__draw", "__row", key).where(F.col("__row") < rest).select(*df.columns) if rest else df.limit(0)
     return out.unionByName(more) if out is not None else more
 
 
@@ -88,12 +94,16 @@ def split_head(df: DataFrame, ordinal: str, val: int, n: int | None = None) -> t
 
 
 def split_by_type(df: DataFrame, kind: str, key: str, share: float = 0.1, large: int = 20_000, fixed: int = 1000, seed: int = 42) -> DataFrame:
-    """A ``split`` column: of each kind a fixed number (large kinds) or a share, at least one, is test."""
-    sizes = df.groupBy(kind).agg(F.count("*").alias("_n"))
+    """A ``split`` column: of each kind a fixed number (large kinds) or a share, at least one, is test; rows without a kind go.
+
+    Rows are numbered once over all kinds, so a large kind is no large task.
+    """
+    rows = ranked(df.where(F.col(kind).isNotNull()).withColumn("_draw", draw(F.col(key), seed)), kind, "_row", "_draw", key)
+    sizes = rows.groupBy(F.col(kind).alias("_kind")).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     quota = F.when(F.col("_n") > large, F.lit(fixed)).otherwise(F.greatest(F.floor(F.col("_n") * share), F.lit(1)))
-    row = F.row_number().over(Window.partitionBy(kind).orderBy(draw(F.col(key), seed), key))
-    marked = df.join(F.broadcast(sizes.withColumn("_quota", quota)), kind).withColumn("_row", row)
-    return marked.withColumn("split", F.when(F.col("_row") <= F.col("_quota"), "test").otherwise("train")).drop("_n", "_quota", "_row")
+    test = F.col("_row") - F.col("_first") < quota
+    marked = rows.join(sizes, F.col(kind) == F.col("_kind"))
+    return marked.withColumn("split", F.when(test, "test").otherwise("train")).select(*df.columns, "split")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -114,27 +124,41 @@ def best_of_n(df: DataFrame, group: str, order: str, orm: str, prm: str, mask: s
     return rows.where(ok).select(*df.columns, F.col("_rejected").alias("rejected"))
 
 
-def pack_groups(df: DataFrame, batch: str, index: str, length: str, volume: int) -> DataFrame:
-    """Bins of constant volume within each batch, by best fit over falling lengths: (batch, bin, items, filled)."""
+def best_fit(items: list[tuple[int, int]], volume: int) -> list[list[tuple[int, int]]]:
+    """Bins of (index, length) by best fit over falling lengths; an item over the volume has a bin for itself."""
     import bisect
 
+    bins: list[list] = []
+    gaps: list[tuple[int, int]] = []
+    for i, n in sorted(items, key=lambda x: -x[1]):
+        at = bisect.bisect_left(gaps, (n, -1))
+        gap, b = gaps.pop(at) if at < len(gaps) else (volume, len(bins))
+        if b == len(bins):
+            bins.append([])
+        bins[b].append((i, n))
+        bisect.insort(gaps, (gap - n, b))
+    return bins
+
+
+def pack_groups(df: DataFrame, shard: str, index: str, length: str, volume: int, batch: int = 1000) -> DataFrame:
+    """Bins of constant volume: (shard, bin, items, filled).
+
+    A shard's rows go in order of index, in batches; the last bin of a batch is
+    open and its items go on to the next one. Shards are independent, and a
+    shard's rows of two numbers meet in one task, so shards are of bounded size.
+    """
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins: list[list] = []
-        gaps: list[tuple[int, int]] = []
-        for i, n in pdf.sort_values([length, index], ascending=[False, True])[[index, length]].itertuples(index=False):
-            at = bisect.bisect_left(gaps, (n, -1))
-            if at < len(gaps):
-                gap, b = gaps.pop(at)
-            else:
-                gap, b = volume, len(bins)
-                bins.append([])
-            bins[b].append(int(i))
-            bisect.insort(gaps, (gap - int(n), b))
-        left = {b: g for g, b in gaps}
-        rows = [(pdf[batch].iloc[0], b, x, volume - left[b]) for b, x in enumerate(bins)]
-        return pd.DataFrame(rows, columns=["batch", "bin", "items", "filled"])
-
-    return df.groupBy(batch).applyInPandas(run, "batch long, bin long, items array<long>, filled long")
+        data = list(pdf.sort_values(index)[[index, length]].astype("int64").itertuples(index=False, name=None))
+        done, open_ = [], []
+        for at in range(0, len(data), batch):
+            bins = best_fit(open_ + data[at : at + batch], volume)
+            open_ = [] if at + batch >= len(data) else bins.pop()
+            done += bins
+        rows = [(pdf[shard].iloc[0], b, [i for i, _ in x], sum(n for _, n in x)) for b, x in enumerate(done)]
+        return pd.DataFrame(rows, columns=["shard", "bin", "items", "filled"])
+
+    return df.groupBy(shard).applyInPandas(run, "shard long, bin long, items array<long>, filled long")
 
 
 def packed_row(tokens: Column) -> tuple[Column, Column, Column]:
@@ -170,36 +194,63 @@ def top_probabilities(probs: Column, n: int) -> Column:
     return F.transform(F.slice(F.array_sort(pairs), 1, n), lambda x: F.struct(x["i"].alias("index"), (-x["m"]).alias("p")))
 
 
-def allocate(weights: list[float | None], budget: int, most: int) -> list[int]:
-    """Shares of a budget by weight, each at most ``most``; what is left goes round by largest remainders."""
-    w = [max(float(x or 0), 0.0) for x in weights]
-    if not sum(w):
-        return [0] * len(w)
-    ideal = [x / sum(w) * budget for x in w]
-    out = [min(int(i), most) for i in ideal]
-    ring = sorted((i for i, x in enumerate(w) if x > 0 and out[i] < most), key=lambda i: (int(ideal[i]) - ideal[i], i))
-    left, at = budget - sum(out), 0
-    while left > 0 and ring:
-        i = ring[at % len(ring)]
-        out[i] += 1
-        left -= 1
-        if out[i] >= most:
-            ring.remove(i)
-            at = 0
-        else:
-            at += 1
-    return out
+def allocation(weights: Column, budget: int, most: int) -> Column:
+    """Shares of a budget for an array of weights, each at most ``most``; an array of whole numbers in the same order.
 
+    Null and negative weights count as 0 and get nothing. First come the floors
+    of the proportional shares, under the cap. The units left are dealt one each
+    to the others that weigh something, by falling fraction, then by place, again
+    and again; a full one leaves, and the dealing starts over at the front.
 
-def allocate_budget(df: DataFrame, root: str, order: str, weight: str, budget: int, most: int) -> DataFrame:
-    """(root, order, share) for each leaf of a root; a root's leaves are a small group."""
+    Units go in phases, each up to the next one that is full: with room ``m`` of
+    the one with the least room (the first such, at place ``p``), ``m`` units go
+    to those up to it and ``m - 1`` to those after it. A phase that the units
+    left do not fill is the last: whole rounds, and one more for the first ones.
+    """
+    w = F.transform(weights, lambda x: F.greatest(F.coalesce(x.cast("double"), F.lit(0.0)), F.lit(0.0)))
+
+    def shares(w: Column) -> Column:
+        total = F.nullif(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+        floors = F.transform(w, lambda x: F.coalesce(F.floor(x / total * budget), F.lit(0).cast("long")))
+        given = F.transform(floors, lambda x: F.least(x, F.lit(most)))
+        waiting = F.filter(
+            F.zip_with(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), F.arrays_zip(floors.alias("f"), given.alias("g")), lambda x, y: F.struct((y["f"] - x["w"] / total * budget).alias("minus"), x["i"].alias("i"), (F.lit(most) - y["g"]).alias("room"), x["w"].alias("w"))),
+            lambda x: (x["w"] > 0) & (x["room"] > 0),
+        )
+        ring = F.transform(F.array_sort(waiting), lambda x: F.struct(x["i"].alias("i"), x["room"].cast("long").alias("room"), F.lit(0).cast("long").alias("got")))
+        left = F.greatest(F.lit(budget).cast("long") - F.aggregate(given, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
+        none = F.filter(ring, lambda x: F.lit(False))
+        start = F.struct(ring.alias("ring"), none.alias("full"), left.alias("left"))
+
+        def phase(s: Column, _: Column) -> Column:
+            n = F.nullif(F.size(s["ring"]), F.lit(0))
+            m = F.array_min(F.transform(s["ring"], lambda x: x["room"]))
+            p = F.array_position(F.transform(s["ring"], lambda x: x["room"]), m)  # from 1
+            whole = s["left"] >= (m - 1) * n + p
+
+            def after(x: Column, i: Column) -> Column:
+                units = F.when(whole, m - (i >= p).cast("int")).otherwise(F.floor(s["left"] / n) + (i < s["left"] % n).cast("int"))
+                return F.struct(x["i"].alias("i"), (x["room"] - units).alias("room"), (x["got"] + units).alias("got"))
+
+            dealt = F.transform(s["ring"], after)
+            going, out = F.filter(dealt, lambda x: x["room"] > 0), F.filter(dealt, lambda x, i: x["room"] <= 0)
+            used = F.when(whole, (m - 1) * n + p).otherwise(s["left"])
+            return F.when(n.isNull() | (s["left"] == 0), s).otherwise(F.struct(going.alias("ring"), F.concat(s["full"], out).alias("full"), (s["left"] - used).alias("left")))
+
+        end = F.aggregate(F.sequence(F.lit(1), F.size(w)), start, phase)
+        extra = lambda e, i: F.aggregate(F.filter(F.concat(e["ring"], e["full"]), lambda x: x["i"] == i), F.lit(0).cast("long"), lambda a, x: a + x["got"])
+        return F.transform(F.array(end), lambda e: F.transform(given, lambda g, i: g.cast("long") + extra(e, i)))[0]
+
+    bound = F.transform(F.array(w), shares)[0]  # the weights are worked out once
+    return F.when(F.size(weights) > 0, bound).otherwise(F.array().cast("array<bigint>"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        shares = allocate([None if pd.isna(x) else x for x in pdf[weight]], budget, most)
-        return pd.DataFrame({"root": pdf[root].values, "leaf": pdf[order].values, "share": shares})
 
-    return df.groupBy(root).applyInPandas(run, "root long, leaf long, share long")
+def allocate_budget(df: DataFrame, root: str, order: str, weight: str, budget: int, most: int) -> DataFrame:
+    """(root, leaf, share) for each leaf of a root, in the given order; a root's leaves are a small group."""
+    leaves = df.groupBy(root).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(weight).alias("w")))).alias("a"))
+    shares = allocation(F.transform("a", lambda x: x["w"]), budget, most)
+    rows = leaves.select(F.col(root).alias("root"), F.inline(F.arrays_zip(F.transform("a", lambda x: x["o"]).alias("leaf"), shares.alias("share"))))
+    return rows.select("root", F.col("leaf").cast("long").alias("leaf"), "share")
 
 
 def batch_shares(df: DataFrame, key: str, ranks: int, batch: int, seed: int = 42, epoch: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -36,3 +36,19 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             sc.setCheckpointDir(f"file://{own}")
         root = sc._jsc.sc().getCheckpointDir().get()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` evaluated once: written to the shared folder and read again, so that all that is built on it sees the same rows.
+
+    The files go when the driver's JVM ends. Columns of no type come back as null strings.
+    """
+    from pyspark.sql import functions as F
+
+    spark = df.sparkSession
+    path = shared_folder(spark, label)
+    df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
+    df.write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
