@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import between, clamp, count_of, found, ngrams, strip, tag, words
+from millrace.functions.text import between, bound, clamp, count_of, found, ngrams, strip, tag, words
 
 REWARDS: dict[str, Callable[..., Column]] = {}
 
@@ -127,8 +127,10 @@ def react_format(completion: Column) -> Column:
 
 @reward("repetition")
 def repetition(completion: Column, n: int = 3, worst: float = -1.0) -> Column:
-    grams = ngrams(completion, n)
-    return F.when(F.size(grams) > 0, (1 - F.size(F.array_distinct(grams)) / F.size(grams)) * F.lit(worst)).otherwise(F.lit(0.0)) + 0.0
+    def share(grams: Column) -> Column:
+        return F.when(F.size(grams) > 0, (1 - F.size(F.array_distinct(grams)) / F.size(grams)) * F.lit(worst)).otherwise(F.lit(0.0)) + 0.0
+
+    return bound(ngrams(completion, n), share)
 
 
 @reward("soft_overlong")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,8 +47,16 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
+def bound(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build`` over ``value``, which is worked out once however often it is used, also within lambdas."""
+    return F.transform(F.array(value), build)[0]
+
+
 def ngrams(c: Column, n: int) -> Column:
     """Arrays of ``n`` consecutive lower-cased words, joined by spaces; empty for short texts."""
-    w = words(F.lower(c))
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        joined = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return bound(words(F.lower(c)), grams)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.rewards import repetition
 from millrace.operators import normalize, reshape, sampling, validate, windows
+from millrace.sources.workers import written
 
 
 def quality_filter(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,4 +32,5 @@ def flagship(turns: DataFrame) -> DataFrame:
     rows = messages.select(F.col("conv_id").alias("conv"), F.col("conv_id").alias("id"), rest.alias("messages"))
     single = reshape.split_turns(rows)
     scored = single.select("conv", "id", F.col("messages")[0]["content"].alias("question"), repetition(F.col("messages")[1]["content"]).alias("reward"))
+    scored = written(scored, "scored")  # the advantages join the rewards with their own statistics
     return windows.advantages(scored, "conv", scale="group").select("conv", "id", "question", F.round("reward", 6).alias("reward"), (F.round("advantage", 6) + 0.0).alias("advantage"))
