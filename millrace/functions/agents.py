@@ -2,22 +2,118 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import bound
+
+
+@dataclass(frozen=True)
+class Form:
+    """Pieces of a format. ``{name}``, ``{arguments}`` (JSON), ``{result}``, ``{key}`` and ``{value}`` are filled in.
+
+    With ``argument`` every argument has a text of its own, which ``call`` has in place of ``{arguments}``.
+    """
+
+    call: str
+    between_calls: str = ""
+    calls: str = "{all}"
+    argument: str | None = None
+    result: str = "{result}"
+    between_results: str = ""
+    results: str = "{all}"
+    escape_result: bool = False  # results are JSON strings
+
+
+#: What the formats look like.
+REACT = Form("Action: {name}\nAction Input: {arguments}\n", calls="{all}Observation:", result="{result}\n", between_results="Observation:")
+QWEN = Form("✿FUNCTION✿: {name}\n✿ARGS✿: {arguments}\n", calls="{all}✿RESULT✿:", result="{result}\n", between_results="✿RESULT✿:")
+HERMES = Form('<tool_call>\n{"name": "{name}", "arguments": {arguments}}\n</tool_call>', "\n", result="<tool_response>\n{result}\n</tool_response>", between_results="\n")
+LLAMA = Form('{"name": "{name}", "parameters": {arguments}}', "\n")
+FORMS: dict[str, Form] = {
+    "react_en": REACT,
+    "react_zh": REACT,
+    "react_grpo": REACT,
+    "toolbench": REACT,
+    "qwen_en": QWEN,
+    "qwen_zh": QWEN,
+    "qwen_en_parallel": QWEN,
+    "qwen_zh_parallel": QWEN,
+    "qwen3_coder": Form(
+        "<tool_call>\n<function={name}>\n{arguments}</function>\n</tool_call>", "\n", argument="<parameter={key}>\n{value}\n</parameter>\n", result="<tool_response>\n{result}\n</tool_response>\n"
+    ),
+    "hermes": HERMES,
+    "hunyuan_hermes": Form(HERMES.call, "\n", "<tool_calls>\n{all}\n</tool_calls>", result="<tool_response>{result}</tool_response>", between_results="\n", results="<tool_responses>{all}</tool_responses>"),
+    "glm4": Form("{name}\n{arguments}", "<|assistant|>", "{all}<|observation|>"),
+    "glm4_5": Form("<tool_call>{name}\n{arguments}</tool_call>", "\n", "{all}<|observation|>", argument="<arg_key>{key}</arg_key>\n<arg_value>{value}</arg_value>\n"),
+    "llama3": LLAMA,
+    "llama4": LLAMA,
+    "deepseek_v3_1": Form(
+        "<｜tool▁call▁begin｜>{name}<｜tool▁sep｜>{arguments}<｜tool▁call▁end｜>", calls="<｜tool▁calls▁begin｜>{all}<｜tool▁calls▁end｜>", result="<｜tool▁output▁begin｜>{result}<｜tool▁output▁end｜>", results="<｜end▁of▁sentence｜>{all}"
+    ),
+    "seed_oss": Form(
+        "<seed:tool_call>\n<function={name}>\n{arguments}</function>\n</seed:tool_call>", "\n", argument="<parameter={key}>{value}</parameter>\n",
+        result="<seed:bos>tool\n{result}<seed:eos>", results="<seed:eos>{all}<seed:bos>assistant\n",
+    ),
+    "mistral": Form('{"name": "{name}", "arguments": {arguments}}', "\n", "[TOOL_CALLS][\n{all}\n]</s>", result='[TOOL_RESULTS]{"content": {result}}[/TOOL_RESULTS]', between_results="\n", escape_result=True),
+}
+
+
+def _filled(template: str, **values: Column) -> Column:
+    """The template with its places filled; other braces are text."""
+    parts, rest = [], template
+    while True:
+        places = [(rest.index(f"{{{n}}}"), n) for n in values if f"{{{n}}}" in rest]
+        if not places:
+            return F.concat(*parts, F.lit(rest))
+        at, name = min(places)
+        parts += [F.lit(rest[:at]), values[name]]
+        rest = rest[at + len(name) + 2 :]
+
+
+def form_of(name: str) -> Form:
+    if name not in FORMS:
+        raise ValueError(f"unknown agent format {name}")
+    return FORMS[name]
+
+
+def tool_calls_text(calls: Column, form: str) -> Column:
+    """An array of (name, arguments) calls, whose arguments are JSON objects, as an assistant writes them."""
+    f = form_of(form)
+
+    def one(call: Column) -> Column:
+        arguments = call["arguments"]
+        if f.argument:
+            pairs = F.map_entries(F.coalesce(F.from_json(arguments, "map<string,string>"), F.create_map().cast("map<string,string>")))
+            arguments = F.array_join(F.transform(pairs, lambda e: _filled(f.argument, key=e["key"], value=F.coalesce(e["value"], F.lit("null")))), "")
+        return _filled(f.call, name=call["name"], arguments=arguments)
+
+    return _filled(f.calls, all=F.array_join(F.transform(calls, one), f.between_calls))
+
+
+def tool_results_text(results: Column, form: str) -> Column:
+    """An array of results as the model reads them; where the format ends lines, a result that ends with one gets no other."""
+    f = form_of(form)
+
+    def one(result: Column) -> Column:
+        if f.result == "{result}\n":
+            return F.when(F.endswith(result, F.lit("\n")), result).otherwise(F.concat(result, F.lit("\n")))
+        if f.escape_result:
+            result = F.regexp_extract(F.to_json(F.struct(result.alias("r"))), r'(?s)^\{"r":(.*)\}$', 1)
+        return _filled(f.result, result=result)
+
+    return bound(results, lambda r: _filled(f.results, all=F.array_join(F.transform(r, one), f.between_results)))
+
 
-def tool_call_text(name: Column, arguments: Column, form: str = "react") -> Column:
-    """A call with JSON arguments as an assistant writes it."""
-    if form == "react":
-        return F.concat(F.lit("Action: "), name, F.lit("\nAction Input: "), arguments, F.lit("\n"))
-    if form == "hermes":
-        return F.concat(F.lit('<tool_call>\n{"name": "'), name, F.lit('", "arguments": '), arguments, F.lit("}\n</tool_call>"))
-    raise ValueError(f"unknown agent format {form}")
+def tool_call_text(name: Column, arguments: Column, form: str = "react_en") -> Column:
+    """One call, without what follows all calls."""
+    return _filled(form_of({"react": "react_en"}.get(form, form)).call, name=name, arguments=arguments)
 
 
-def tool_result_text(result: Column, form: str = "react") -> Column:
-    if form == "react":
-        return F.concat(F.lit("Observation:"), result, F.lit("\n"))
-    if form == "hermes":
-        return F.concat(F.lit("<tool_response>\n"), result, F.lit("\n</tool_response>"))
-    raise ValueError(f"unknown agent format {form}")
+def tool_result_text(result: Column, form: str = "react_en") -> Column:
+    """One result; react has its keyword in front."""
+    form = {"react": "react_en"}.get(form, form)
+    text = tool_results_text(F.array(result), form)
+    return F.concat(F.lit("Observation:"), text) if form_of(form) is REACT else text
