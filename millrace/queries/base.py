@@ -46,7 +46,7 @@ SAMPLES = """(select d.doc_id as id, d.source as category_name, d.lang as type,
 from documents d left join labels l on d.doc_id = l.doc_id)"""
 
 COMPLETIONS = """(select conv_id, turn, text,
-  '<time>' || turn || '.0-' || (turn+1) || '.5</time><caption>' || substring(text, 1, 20) || '</caption>' ||
+  '<time>' || turn || '.0-' || (turn+1) || '.5</time><caption>' || text || '</caption>' ||
   case when turn % 4 = 3 then '' else '<thinking>t</thinking>' end ||
   '<answer> ' || chr(cast(65 + (conv_id + turn) % 4 as int)) || '. x</answer>' as completion,
   chr(cast(65 + conv_id % 4 as int)) || '. y' as solution
@@ -75,7 +75,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").where("role = 'assistant'").selectExpr(
         "conv_id", "turn", "text",
-        """concat('<time>', cast(turn as string), '.0-', cast(turn+1 as string), '.5</time><caption>', substring(text, 1, 20), '</caption>',
+        """concat('<time>', cast(turn as string), '.0-', cast(turn+1 as string), '.5</time><caption>', text, '</caption>',
            case when turn % 4 = 3 then '' else '<thinking>t</thinking>' end, '<answer> ', chr(cast(65 + (conv_id + turn) % 4 as int)), '. x</answer>') as completion""",
         "concat(chr(cast(65 + conv_id % 4 as int)), '. y') as solution",
     )

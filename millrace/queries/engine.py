@@ -18,7 +18,7 @@ from millrace.streaming import jobs
 
 FLAG = f"""with m as (select conv_id, [x for x in messages if x.role <> 'system'] as messages from {CONVS}), c as (select *, len(messages) // 2 as n from m),
   e as (select conv_id as conv, conv_id::varchar || case when n > 1 then '_turn' || i else '' end as id, '<video><audio>' || chr(10) || messages[2*i-1].content as question,
-    [w for w in regexp_split_to_array(lower(messages[2*i].content), '\\s+') if w <> ''] as w from c, (select unnest(range(1, 60)) as i) k where i <= n),
+    [w for w in regexp_split_to_array(lower(messages[2*i].content), '\\s+') if w <> ''] as w from c, lateral (select unnest(range(1, n + 1)) as i) k),
   g as (select *, [array_to_string(w[j:j+2], ' ') for j in range(1, len(w) - 1)] as grams from e),
   r as (select conv, id, question, case when len(w) < 3 then 0.0 else (1 - len(list_distinct(grams))::double / len(grams)) * -1.0 end as reward from g)
 select conv, id, question, round(reward, 6) + 0.0 as reward, round((reward - avg(reward) over (partition by conv)) / (coalesce(stddev_samp(reward) over (partition by conv), 0) + 1e-4), 6) + 0.0 as advantage from r"""
@@ -286,3 +286,46 @@ def agent_text(spark, sf_dir):
     call, result = tool_call_text(F.col("lang"), F.lit("{}")), tool_result_text(F.col("source"))
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(call, result).alias("react"), tool_call_text(F.col("lang"), F.lit("{}"), "hermes").alias("hermes"))
 
+
+CALL = """'{"n": ' || n_chars || ', "of": "' || source || '"}'"""
+
+
+@query(
+    "D7_agent_formats",
+    f"""with d as (select doc_id, lang as a, source as b, {CALL} as j, n_chars::varchar as n, chr(10) as nl from documents) select doc_id,
+      'Action: ' || a || nl || 'Action Input: ' || j || nl || 'Action: ' || b || nl || 'Action Input: {{}}' || nl || 'Observation:' as react_en,
+      '✿FUNCTION✿: ' || a || nl || '✿ARGS✿: ' || j || nl || '✿FUNCTION✿: ' || b || nl || '✿ARGS✿: {{}}' || nl || '✿RESULT✿:' as qwen_en,
+      '<tool_call>' || nl || '<function=' || a || '>' || nl || '<parameter=n>' || nl || n || nl || '</parameter>' || nl || '<parameter=of>' || nl || b || nl || '</parameter>' || nl || '</function>' || nl || '</tool_call>' || nl
+        || '<tool_call>' || nl || '<function=' || b || '>' || nl || '</function>' || nl || '</tool_call>' as qwen3_coder,
+      '<tool_calls>' || nl || '<tool_call>' || nl || '{{"name": "' || a || '", "arguments": ' || j || '}}' || nl || '</tool_call>' || nl || '<tool_call>' || nl || '{{"name": "' || b || '", "arguments": {{}}}}' || nl || '</tool_call>' || nl || '</tool_calls>' as hunyuan_hermes,
+      a || nl || j || '<|assistant|>' || b || nl || '{{}}<|observation|>' as glm4,
+      '<tool_call>' || a || nl || '<arg_key>n</arg_key>' || nl || '<arg_value>' || n || '</arg_value>' || nl || '<arg_key>of</arg_key>' || nl || '<arg_value>' || b || '</arg_value>' || nl || '</tool_call>' || nl || '<tool_call>' || b || nl || '</tool_call><|observation|>' as glm4_5,
+      '{{"name": "' || a || '", "parameters": ' || j || '}}' || nl || '{{"name": "' || b || '", "parameters": {{}}}}' as llama3,
+      '<｜tool▁calls▁begin｜><｜tool▁call▁begin｜>' || a || '<｜tool▁sep｜>' || j || '<｜tool▁call▁end｜><｜tool▁call▁begin｜>' || b || '<｜tool▁sep｜>{{}}<｜tool▁call▁end｜><｜tool▁calls▁end｜>' as deepseek_v3_1,
+      '<seed:tool_call>' || nl || '<function=' || a || '>' || nl || '<parameter=n>' || n || '</parameter>' || nl || '<parameter=of>' || b || '</parameter>' || nl || '</function>' || nl || '</seed:tool_call>' || nl || '<seed:tool_call>' || nl || '<function=' || b || '>' || nl || '</function>' || nl || '</seed:tool_call>' as seed_oss,
+      '[TOOL_CALLS][' || nl || '{{"name": "' || a || '", "arguments": ' || j || '}}' || nl || '{{"name": "' || b || '", "arguments": {{}}}}' || nl || ']</s>' as mistral
+    from d""",
+)
+def agent_formats(spark, sf_dir):
+    from millrace.functions.agents import tool_calls_text
+
+    given = F.concat(F.lit('{"n": '), "n_chars", F.lit(', "of": "'), "source", F.lit('"}'))
+    calls = F.array(F.struct(F.col("lang").alias("name"), given.alias("arguments")), F.struct(F.col("source").alias("name"), F.lit("{}").alias("arguments")))
+    forms = ("react_en", "qwen_en", "qwen3_coder", "hunyuan_hermes", "glm4", "glm4_5", "llama3", "deepseek_v3_1", "seed_oss", "mistral")
+    return read(spark, sf_dir, "documents").withColumn("calls", calls).select("doc_id", *[tool_calls_text(F.col("calls"), k).alias(k) for k in forms])
+
+
+@query(
+    "D7_agent_results",
+    """with d as (select doc_id, coalesce(text, '') as a, lang || chr(10) as b, chr(10) as nl from documents) select doc_id,
+      md5(a || case when a like '%' || nl then '' else nl end || 'Observation:' || b) as react_en, md5('<tool_response>' || nl || a || nl || '</tool_response>' || nl || '<tool_response>' || nl || b || nl || '</tool_response>') as hermes,
+      md5('<tool_responses><tool_response>' || a || '</tool_response>' || nl || '<tool_response>' || b || '</tool_response></tool_responses>') as hunyuan_hermes,
+      md5('<｜end▁of▁sentence｜><｜tool▁output▁begin｜>' || a || '<｜tool▁output▁end｜><｜tool▁output▁begin｜>' || b || '<｜tool▁output▁end｜>') as deepseek_v3_1, md5('<seed:eos><seed:bos>tool' || nl || a || '<seed:eos><seed:bos>tool' || nl || b || '<seed:eos><seed:bos>assistant' || nl) as seed_oss
+    from d""",
+)
+def agent_results(spark, sf_dir):
+    """Whole texts as results."""
+    from millrace.functions.agents import tool_results_text
+
+    results = F.array(F.coalesce("text", F.lit("")), F.concat("lang", F.lit("\n")))
+    return read(spark, sf_dir, "documents").select("doc_id", *[F.md5(tool_results_text(results, k)).alias(k) for k in ("react_en", "hermes", "hunyuan_hermes", "deepseek_v3_1", "seed_oss")])

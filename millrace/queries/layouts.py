@@ -62,7 +62,7 @@ box = lambda: F.array(*[(F.col("vec_id") * k % 97).cast("double") for k in (31,
 BX = [f"(vec_id * {k} % 97)::double" for k in (31, 17, 5, 77)]
 scalar("P10_order_boxes", "embeddings", {f"x{i}": ((lambda i=i: N.order_boxes(F.array(box()))[0][i]), s) for i, s in enumerate((f"least({BX[0]}, {BX[2]})", f"least({BX[1]}, {BX[3]})", f"greatest({BX[0]}, {BX[2]})", f"greatest({BX[1]}, {BX[3]})"))})
 scalar("P39_normalise_boxes", "embeddings", {f"x{i}": ((lambda i=i: N.normalise_boxes(F.array(box()), F.lit(97.0), F.lit(200.0), F.lit("real"))[0][i]), f"round_even({BX[i]} / {97.0 if i % 2 == 0 else 200.0}::double * 1000, 0)::bigint") for i in range(4)})
-scalar("P11_response", "documents", {"value": (lambda: flat(N.response_to_messages(F.when(F.col("lang") == "en", F.col("lang")), F.col("source"), F.substring("text", 1, 30), F.array(F.array(F.lit("h"), F.lit("r"))))), "case when lang = 'en' then 'system: en' || chr(10) else '' end || 'user: h' || chr(10) || 'assistant: r' || chr(10) || 'user: ' || source || chr(10) || 'assistant: ' || substring(text, 1, 30)")})
+scalar("P11_response", "documents", {"value": (lambda: flat(N.response_to_messages(F.when(F.col("lang") == "en", F.col("lang")), F.col("source"), F.col("text"), F.array(F.array(F.lit("h"), F.lit("r"))))), "case when lang = 'en' then 'system: en' || chr(10) else '' end || 'user: h' || chr(10) || 'assistant: r' || chr(10) || 'user: ' || source || chr(10) || 'assistant: ' || text")})
 hist = lambda: N.messages_to_history(m())
 scalar(
     "P12_history", "convs",
@@ -152,7 +152,7 @@ def sanitised(spark, sf_dir):
     "E1_split_turns",
     f"""with c as (select *, len(messages) // 2 as n from {CONVS})
     select conv_id::varchar || case when n > 1 then '_turn' || i else '' end as id, case when n > 1 then 'p' else 'w' end as kind,
-      '<video><audio>' || chr(10) || messages[2*i-1].content as question, messages[2*i].content as answer from c, (select unnest(range(1, 60)) as i) k where i <= n""",
+      '<video><audio>' || chr(10) || messages[2*i-1].content as question, messages[2*i].content as answer from c, lateral (select unnest(range(1, n + 1)) as i) k""",
 )
 def split_turns(spark, sf_dir):
     rows = reshape.split_turns(convs(spark, sf_dir).select(F.col("conv_id").alias("id"), "messages"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import rewards as R
-from millrace.functions.parts import loss_scale_column, media_type, message_scales, split_parts_column
+from millrace.functions.parts import loss_scale, media_type, message_scales, split_parts, strategy_scales
 from millrace.operators import reshape
 from millrace.operators.normalize import reasoning_wrapper
 from millrace.operators.normalize import self_cognition as fill
@@ -53,7 +53,7 @@ one(
     f"""round(case when substring({ANSWER}, 1, 1) = substring(solution, 1, 1) then 1.0 - (1.0 - 0.5) * (1 - cos(length(text) * pi() / 1000)) / 2
       else -0.5 - (-0.5 - 0.0) * (1 - cos(length(text) * pi() / 1000)) / 2 end, 6) + 0.0""",
 )
-one("R15_toolbench", lambda: R.toolbench(react(), F.concat(F.lit("Action: look\nAction Input: {\"a\": "), F.col("conv_id") % 4, F.lit("}"))))
+one("R15_toolbench", lambda: R.toolbench(react(), F.concat(F.lit("Action: look\nAction Input: {\"a\": "), F.col("conv_id") % 4, F.lit("}"))), "case when turn = conv_id % 4 then 1.0::double else 0.0::double end")
 one("R16_math", lambda: R.math_text(F.concat(F.lit("so \\boxed{"), F.col("turn"), F.lit(" + 1}")), F.concat(F.lit("\\boxed{"), F.col("conv_id") % 8, F.lit("+1}"))), "case when turn = conv_id % 8 then 1.0::double else 0.0::double end")
 one("R17_math_accuracy", lambda: R.math_accuracy(c(), F.concat(F.substring(s(), 1, 1), F.lit(". x"))), f"case when {ANSWER} = substring(solution, 1, 1) || '. x' then 1.0::double else 0.0::double end")
 one("R18_countdown", lambda: R.countdown(F.concat(F.lit("<answer>("), F.col("turn"), F.lit(" + 2) * 3 = x</answer>")), F.col("conv_id") % 30, F.array(F.col("turn"), F.lit(2), F.lit(3))), "case when (turn + 2) * 3 = conv_id % 30 then 1.0::double else 0.0::double end")
@@ -77,20 +77,72 @@ one("R19_thinking_tips", lambda: R.thinking_tips(R.choice_accuracy(c(), s())), f
 one("X4_media_type", lambda: media_type(F.concat(F.lit("a/b."), F.get(F.array(*map(F.lit, ("MP4", "wav", "png"))), (F.col("turn") % 3).cast("int")))), "case turn % 3 when 0 then 'video' when 1 then 'audio' else 'image' end")
 one("X5_row_key", lambda: reshape.json_key(F.struct("conv_id", "turn")), "md5('{\"conv_id\":' || conv_id || ',\"turn\":' || turn || '}')")
 one("X6_find_all", lambda: F.array_join(reshape.find_all(F.transform(F.sequence(F.lit(0), F.col("turn")), lambda x: (x % 2).cast("int")), F.array(F.lit(1), F.lit(0))), ","), "array_to_string([i for i in range(1, turn, 2)], ',')")
-one("X8_reasoning_wrapper", lambda: reasoning_wrapper(F.substring("text", 1, 9), s()), "'<think>' || substring(text, 1, 9) || '</think>' || chr(10) || chr(10) || '<answer>' || solution || '</answer>'")
+one("X8_reasoning_wrapper", lambda: reasoning_wrapper(t(), s()), "'<think>' || text || '</think>' || chr(10) || chr(10) || '<answer>' || solution || '</answer>'")
 
 
-@query("X1_split_parts")
-def split_parts(spark, sf_dir):
-    rows = completions(spark, sf_dir).select("conv_id", "turn", F.posexplode(split_parts_column(react(), ["Action:", "Action Input:"])).alias("part", "p"))
-    return rows.select("conv_id", "turn", "part", "p.key", "p.content")
+PARTS = r"with s as (select doc_id, regexp_extract_all(coalesce(text, ''), 'de |la|\.') as k, regexp_split_to_array(coalesce(text, ''), 'de |la|\.') as c from documents)"
 
 
-@query("X2_loss_scale")
-def loss_scale(spark, sf_dir):
-    col = loss_scale_column(F.lit("q"), react(), {"Action:": [2.0, 2.0], "Action Input:": [1.0, 3.0]})
-    rows = completions(spark, sf_dir).select("conv_id", "turn", F.posexplode(col).alias("part", "p"))
-    return rows.select("conv_id", "turn", "part", "p.content", "p.weight")
+@query(
+    "X1_split_parts",
+    PARTS + """, p as (select doc_id, list_concat(case when c[1] = '' then [] else ['=' || c[1]] end, [k[i] || '=' || c[i + 1] for i in range(1, len(k) + 1)]) as p from s)
+    select doc_id, len(p)::bigint as parts, md5(coalesce(array_to_string(p, '|'), '')) as digest from p""",
+)
+def parts_of_texts(spark, sf_dir):
+    """Whole texts at three literals."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", split_parts(t(), ["de ", "la", "."]).alias("p"))
+    joined = F.array_join(F.transform("p", lambda p: F.concat(p["key"], F.lit("="), p["content"])), "|")
+    return rows.select("doc_id", F.size("p").cast("long").alias("parts"), F.md5(joined).alias("digest"))
+
+
+@query(
+    "X2_loss_scale",
+    PARTS + """ select doc_id, (length(c[1]) + coalesce(list_sum([case k[i] when 'de ' then 6 + 2 * length(c[i + 1]) when 'la' then 2 + 3 * length(c[i + 1]) else 0.5 end for i in range(1, len(k) + 1)]), 0))::double as total from s""",
+)
+def weighted_texts(spark, sf_dir):
+    """Characters of whole texts by weight."""
+    pieces = loss_scale(F.lit("q"), t(), {"de ": [2.0, 2.0], "la": [1.0, 3.0], ".": [0.5, 0.0]})
+    total = F.aggregate(pieces, F.lit(0.0), lambda a, p: a + F.length(p["content"]) * p["weight"])
+    return read(spark, sf_dir, "documents").select("doc_id", total.alias("total"))
+
+
+@query(
+    "R12_repetition_documents",
+    """with w as (select doc_id, [w for w in regexp_split_to_array(lower(text), '\\s+') if w <> ''] as w from documents), g as (select doc_id, [array_to_string(w[i:i+2], ' ') for i in range(1, len(w) - 1)] as g from w)
+    select doc_id, round(case when len(g) = 0 then 0.0 else (1 - len(list_distinct(g))::double / len(g)) * -1.0 end, 6) + 0.0 as value from g""",
+)
+def repetition_of_documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", six(R.repetition(t())).alias("value"))
+
+
+AGENT = {
+    "react": ("Thought: {}\nAction: look\nAction Input: {}\nObservation: {}", "8 + n + 2 + 2 * (length('Action:') + 6 + length('Action Input:')) + 2 * (n + 2) + 2 * length('Observation:')"),
+    "qwen": ("✿FUNCTION✿: look\n✿ARGS✿: {}\n✿RESULT✿: {}\n✿RETURN✿: {}", "2 * (length('✿FUNCTION✿:') + 6 + length('✿ARGS✿:') + n + 2 + length('✿RESULT✿:')) + length('✿RETURN✿:') + n + 1"),
+    "hermes": ("{}<tool_call>\n{}\n</tool_call>{}", "2 * n + 2 * (n + 2 + length('<tool_call></tool_call>'))"),
+    "agentflan": ("{}Command{}Observation:{}", "n + length('Command') + 3 * n + 2 * length('Observation:')"),
+    "alpha_umi": ("{}Next: {}Observation:{}", "2 * n + length('Next: ') + 2 * length('Observation:')"),
+    "ignore_empty_think": ("<think>\n\n</think>\n\n{}{}{}", "3 * n"),
+    "last_round_with_ignore_empty_think": ("<think>\n\n</think>\n\n{}{}{}", "case when last then 3 * n else 0 end"),
+    "last_round": ("{}{}{}", "case when last then 3 * n else 0 end"),
+    "default": ("{}{}{}", "3 * n"),
+}
+
+
+@query(
+    "X3_agent_strategies",
+    f"with a as (select conv_id, turn, length(text) as n, turn = max(turn) over (partition by conv_id) as last from {COMPLETIONS}) select conv_id, turn, {', '.join(f'({e})::double as {k}' for k, (_, e) in AGENT.items())}, (3 * (3 * n + length('CommandObservation:')))::double as agentflan_by_query from a",
+)
+def agent_strategies(spark, sf_dir):
+    """Characters by weight of whole texts in the forms of agents, under every named strategy."""
+    rows = completions(spark, sf_dir)
+    rows = rows.join(rows.groupBy("conv_id").agg(F.max("turn").alias("last")), "conv_id")
+
+    def total(form: str, query: str = "q"):
+        pieces = AGENT[form][0].split("{}")
+        text = F.concat(F.lit(pieces[0]), *[x for p in pieces[1:] for x in (t(), F.lit(p))])
+        return F.aggregate(strategy_scales(form, F.lit(query), text, F.col("turn") == F.col("last")), F.lit(0.0), lambda a, p: a + F.length(p["content"]) * p["weight"])
+
+    return rows.select("conv_id", "turn", *[total(k).alias(k) for k in AGENT], total("agentflan", "What is the value of x?").alias("agentflan_by_query"))
 
 
 @query("X3_loss_strategies", "select conv_id, turn, case when role = 'assistant' then 1.0::double else 0.0::double end as default_scale, case when role = 'assistant' and turn = (select max(turn) from conversations c where c.conv_id = t.conv_id and role = 'assistant') then 1.0::double else 0.0::double end as last_round, 1.0::double as all_scale from conversations t")
@@ -107,7 +159,7 @@ def self_cognition(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", fill(F.lit("I am {{NAME}} by {{AUTHOR}}"), ("磨", "Mill"), ("水", "Race"), lang).alias("value"))
 
 
-@query("E5_time_captions", f"select conv_id, turn, turn::double as start_s, turn + 1.5::double as end_s, substring(text, 1, 20) as caption, 1.5::double as duration from {COMPLETIONS}")
+@query("E5_time_captions", f"select conv_id, turn, turn::double as start_s, turn + 1.5::double as end_s, text as caption, 1.5::double as duration from {COMPLETIONS}")
 def time_captions(spark, sf_dir):
     rows = completions(spark, sf_dir).select("conv_id", "turn", F.explode(reshape.time_captions(F.col("completion"))).alias("p"))
     return rows.select("conv_id", "turn", F.col("p.start").alias("start_s"), F.col("p.end").alias("end_s"), "p.caption", (F.col("p.end") - F.col("p.start")).alias("duration"))

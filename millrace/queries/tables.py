@@ -147,9 +147,9 @@ def off_policy(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", keep.alias("keep"))
 
 
-@query("F26_entropy_cut", "with x as (select vec_id, abs(unnest(embedding[1:8])::double) as x from embeddings), c as (select quantile_cont(x, 0.8) as q from x) select vec_id, count(*) filter (x >= q) as kept from x, c group by 1")
+@query("F26_entropy_cut", "with x as (select vec_id, abs(unnest(embedding)::double) as x from embeddings), c as (select quantile_cont(x, 0.8) as q from x) select vec_id, count(*) filter (x >= q) as kept from x, c group by 1")
 def entropy(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double"))).alias("e"), F.array_repeat(F.lit(1), 8).alias("m"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("e"), F.array_repeat(F.lit(1), F.size("embedding")).alias("m"))
     return A.entropy_cut(rows, "e", "m", 0.2).select("vec_id", F.size(F.filter("keep", lambda k: k == 1)).cast("long").alias("kept"))
 
 
@@ -367,13 +367,14 @@ def outcomes(spark, sf_dir):
 
 
 def policy(spark, sf_dir):
-    """Token log-probabilities under two policies, with a mask."""
-    e = read(spark, sf_dir, "embeddings")
-    part = lambda a: F.transform(F.slice("embedding", a, 4), lambda x: -F.abs(x.cast("double")) * 5)
-    return e.select("vec_id", part(1).alias("new"), part(5).alias("old"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when((i == 3) & (F.col("vec_id") % 2 == 0), 0.0).otherwise(1.0)).alias("mask"))
+    """Token log-probabilities under two policies, the halves of a vector, with a mask."""
+    e = read(spark, sf_dir, "embeddings").withColumn("n", F.floor(F.size("embedding") / 2).cast("int"))
+    part = lambda a: F.transform(F.slice("embedding", a, F.col("n")), lambda x: -F.abs(x.cast("double")) * 5)
+    mask = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.when((i % 4 == 0) & (F.col("vec_id") % 2 == 0), 0.0).otherwise(1.0))
+    return e.select("vec_id", part(F.lit(1)).alias("new"), part(F.col("n") + 1).alias("old"), mask.alias("mask"))
 
 
-POLICY = """(select vec_id, i, -abs(embedding[i]::double) * 5 as new, -abs(embedding[i + 4]::double) * 5 as old, case when i = 4 and vec_id % 2 = 0 then 0.0 else 1.0 end::double as m from embeddings, (select unnest(range(1, 5)) as i) r)"""
+POLICY = """(select vec_id, i, -abs(embedding[i]::double) * 5 as new, -abs(embedding[i + len(embedding) // 2]::double) * 5 as old, case when i % 4 = 0 and vec_id % 2 = 0 then 0.0 else 1.0 end::double as m from embeddings, lateral (select unnest(range(1, len(embedding) // 2 + 1)) as i) r)"""
 
 for _mode in ("token_truncate", "token_mask", "sequence_truncate", "sequence_mask"):
     _weight = {
@@ -412,9 +413,9 @@ def off_policy_metrics(spark, sf_dir):
     return rows.select(*[(F.round(c, places.get(c, 6)) + 0.0).alias(c) for c in rows.columns])
 
 
-@query("A28_channel_loss", "select label, round(sum(abs(x) * m) / sum(m), 6)::double as loss, sum(m)::bigint as tokens from (select label, abs(embedding[i]::double) as x, ((vec_id + i) % 2)::int as m from embeddings, (select unnest(range(1, 9)) as i) r) group by 1")
+@query("A28_channel_loss", "select label, round(sum(abs(x) * m) / sum(m), 6)::double as loss, sum(m)::bigint as tokens from (select label, abs(embedding[i]::double) as x, ((vec_id + i) % 2)::int as m from embeddings, lateral (select unnest(range(1, len(embedding) + 1)) as i) r) group by 1")
 def channel(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select("label", F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double"))).alias("l"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: ((F.col("vec_id") + i) % 2).cast("int")).alias("m"))
+    e = read(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("l"), F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda i: ((F.col("vec_id") + i) % 2).cast("int")).alias("m"))
     return A.channel_loss(e, "label", "l", "m").select("label", six(F.col("loss")).alias("loss"), "tokens")
 
 
@@ -461,21 +462,11 @@ def shift(spark, sf_dir):
 
 
 @query(
-    "W8_smoothing",
-    """with e as (select event_type, value::double as v, row_number() over (partition by event_type order by ts, event_id) as i from events), t as (select * from e where i <= 50)
-    select a.event_type, a.i, round(sum(b.v * 0.9::double ** (a.i - b.i)) / sum(0.9::double ** (a.i - b.i)), 6) as v from t a join t b on a.event_type = b.event_type and b.i <= a.i group by 1, 2""",
+    "W8_smoothing",  # a step 400 back weighs 5e-19 of the last, which six places do not show
+    """with e as (select event_type, value::double as v, row_number() over (partition by event_type order by ts, event_id) as i from events)
+    select a.event_type, a.i, round(sum(b.v * 0.9::double ** (a.i - b.i)) / sum(0.9::double ** (a.i - b.i)), 6) as v from e a join e b on a.event_type = b.event_type and b.i between a.i - 400 and a.i group by 1, 2""",
 )
 def smooth(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = read(spark, sf_dir, "events").withColumn("i", F.row_number().over(w)).where("i <= 50")  # the first steps of each run
-    arrays = e.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("i", F.col("value").cast("double").alias("v")))).alias("a"))
-    rows = arrays.select("event_type", F.posexplode(windows.smoothing(F.transform("a", lambda x: x["v"]))).alias("i", "v"))
-    return rows.select("event_type", (F.col("i") + 1).cast("long").alias("i"), six(F.col("v")).alias("v"))
-
-
-@query("W8_smoothing_whole")
-def smooth_whole(spark, sf_dir):
-    """Every event, where W8_smoothing and its SQL take the first 50 of each type."""
     rows = windows.smoothed_series(read(spark, sf_dir, "events"), "event_type", "value", "ts", "event_id")
     return rows.select("event_type", "i", six(F.col("v")).alias("v"))
 
@@ -577,8 +568,9 @@ def best_of_n(spark, sf_dir):
 
 @query("K9_pack_groups")
 def pack_groups(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 1000).alias("batch"), "doc_id", F.least("n_chars", F.lit(4096)).alias("length"))
-    return sampling.pack_groups(rows, "batch", "doc_id", "length", 4096).select("batch", "bin", F.size("items").alias("n"), "filled")
+    """Shards of 5,000 documents, batches of 1,000; whole lengths."""
+    rows = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 5000).alias("shard"), "doc_id", F.col("n_chars").alias("length"))
+    return sampling.pack_groups(rows, "shard", "doc_id", "length", 4096).select("shard", "bin", F.size("items").alias("n"), "filled")
 
 
 @query("K10_packed_row", "select doc_id, len(range(0, 3 + doc_id % 4)) as n, '0,1,2' || case doc_id % 4 when 0 then '' when 1 then ',0' when 2 then ',0,1' else ',0,1,2' end as positions, '3,' || doc_id % 4 as lengths from documents")
@@ -605,14 +597,26 @@ def fixed(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(sampling.fixed_negatives(few, 4), ",").alias("v"))
 
 
-@query("K13_top_probabilities", "select vec_id, r, i as index, round(p, 6)::double as p from (select vec_id, i - 1 as i, abs(embedding[i]::double) as p, row_number() over (partition by vec_id order by abs(embedding[i]::double) desc, i) as r from embeddings, (select unnest(range(1, 9)) as i) k) where r <= 3")
+@query("K13_top_probabilities", "select vec_id, r, i as index, round(p, 6)::double as p from (select vec_id, i - 1 as i, abs(embedding[i]::double) as p, row_number() over (partition by vec_id order by abs(embedding[i]::double) desc, i) as r from embeddings, lateral (select unnest(range(1, len(embedding) + 1)) as i) k) where r <= 3")
 def top(spark, sf_dir):
-    probs = F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double")))
+    probs = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(sampling.top_probabilities(probs, 3)).alias("r", "x"))
     return rows.select("vec_id", (F.col("r") + 1).cast("long").alias("r"), F.col("x.index").cast("long").alias("index"), six(F.col("x.p")).alias("p"))
 
 
-@query("K14_allocate_budget")
+@query(
+    "K14_allocate_budget",  # dealt unit by unit
+    f"""with recursive l as (select conv_id, list(turn order by turn) as leaf, list(reward order by turn) as w, sum(reward) as total from {REWARDS} group by 1),
+      i as (select conv_id, leaf, w, [case when total > 0 then x / total * 10 else 0 end for x in w] as ideal from l),
+      f as (select conv_id, leaf, w, ideal, [least(floor(x)::int, 4) for x in ideal] as got from i),
+      s as (select conv_id, leaf, got, case when list_sum(w) > 0 then 10 - list_sum(got) else 0 end as rest, 1 as pos,
+          [x.i for x in list_sort([{{'m': floor(ideal[i]) - ideal[i], 'i': i}} for i in range(1, len(w) + 1) if w[i] > 0 and got[i] < 4])] as ring from f
+        union all
+        select conv_id, leaf, [got[i] + case when i = ring[pos] then 1 else 0 end for i in range(1, len(got) + 1)], rest - 1, case when got[ring[pos]] + 1 >= 4 then 1 else pos % len(ring) + 1 end,
+          case when got[ring[pos]] + 1 >= 4 then [x for x in ring if x <> ring[pos]] else ring end from s where rest > 0 and len(ring) > 0),
+      e as (select * from s where rest <= 0 or len(ring) = 0)
+    select conv_id as root, unnest(leaf)::bigint as leaf, unnest(got)::bigint as share from e""",
+)
 def allocate(spark, sf_dir):
     rows = rewards(spark, sf_dir).select("conv_id", "turn", "reward")
     return sampling.allocate_budget(rows, "conv_id", "turn", "reward", 10, 4)
