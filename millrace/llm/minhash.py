@@ -29,6 +29,7 @@ texts of fewer words than a shingle have one shingle; equal sets are linked.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -52,6 +53,7 @@ class Banding:
     numerator: int = 75  # a link: 100 * intersection >= numerator * union
     width: int = 5
     chunk: int = 256  # members of a bucket that one task holds at a time
+    node_bits: int = 64
 
 
 def circulant_signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
@@ -91,39 +93,56 @@ def band_keys(signatures: np.ndarray, banding: Banding) -> np.ndarray:
     return wordhash.mix((cells * weights).sum(axis=2, dtype=np.uint64) + wordhash.mix(np.arange(banding.bands, dtype=np.uint64) + np.uint64(1))).view("i8")
 
 
-def node_of(items: np.ndarray) -> int:
-    """Node of a set: 64 bits of the digest of all its shingles."""
-    return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(items: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Node of a set and a check: two numbers of 64 bits from the digest of all its shingles; ``bits`` makes nodes smaller, for tests."""
+    node, check = struct.unpack("<qq", hashlib.blake2b(items.tobytes(), digest_size=16).digest())
+    return (node if bits == 64 else node % (1 << bits)), check
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` without their ``check``, where nodes that several sets have are told apart by it.
+
+    Among 1e11 sets some hundreds have the 64 bits of another one. Only they get
+    new nodes, from node and check, so sets are told by 128 bits.
+    """
+    shared = rows.where("node is not null").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    shared = cut(shared.where("low < high").select(F.col("node").alias("_shared")), "shared-nodes")
+    if not shared.isEmpty():
+        rows = rows.join(shared, F.col("node") == F.col("_shared"), "left")
+        rows = rows.withColumn("node", F.when(F.col("_shared").isNotNull(), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("_shared")
+    return rows.drop("check")
 
 
 def sign(texts: list[str | None], banding: Banding):
-    """(set size, node, buckets) of each text, as lists; None for empty sets."""
-    sizes, nodes, keys = [], [], []
+    """(set size, node, check, buckets) of each text, as lists; None for empty sets."""
+    sizes, nodes, checks, keys = [], [], [], []
     for _, _, run in wordhash.buffers(texts):
         sets = wordhash.shingles(wordhash.words(run, wordhash.WHITE), banding.width)
         full = [s for s in sets if len(s)]
         found = iter(band_keys(circulant_signatures(full, banding.bands * banding.rows), banding) if full else ())
         for s in sets:
             sizes.append(len(s))
-            nodes.append(node_of(s) if len(s) else None)
+            node, check = node_of(s, banding.node_bits) if len(s) else (None, None)
+            nodes.append(node)
+            checks.append(check)
             keys.append(next(found) if len(s) else None)
-    return sizes, nodes, keys
+    return sizes, nodes, checks, keys
 
 
 def signatures(rows: DataFrame, banding: Banding) -> DataFrame:
-    """``rows`` with its last column, the text, replaced by ``n_shingles``, ``node`` and ``buckets``. No shuffle."""
+    """``rows`` with its last column, the text, replaced by ``n_shingles``, ``node``, ``check`` and ``buckets``. No shuffle."""
     prepare(rows.sparkSession)
     keys = rows.schema.fields[:-1]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", n_shingles long, node long, buckets array<long>"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", n_shingles long, node long, check long, buckets array<long>"
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sizes, nodes, found = sign(part.column(len(keys)).to_pylist(), banding)
+                sizes, nodes, checks, found = sign(part.column(len(keys)).to_pylist(), banding)
                 cols = [part.column(i) for i in range(len(keys))]
-                cols += [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in keys), "n_shingles", "node", "buckets"])
+                cols += [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in keys), "n_shingles", "node", "check", "buckets"])
         tidy()
 
     return rows.mapInArrow(run, schema)
@@ -270,16 +289,16 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding: Ban
     met = cut(rows.join(shared, "bucket"), "buckets")
     free_shuffles(nodes.sparkSession)
     # a bucket's pivot is the member that meets the most nodes over all of its buckets
-    size = met.groupBy("bucket").agg(F.count("*").alias("n"))
+    size = cut(met.groupBy("bucket").agg(F.count("*").alias("n")), "sizes")  # as with `shared`
     meets = met.join(size, "bucket").groupBy("node").agg(F.sum("n").alias("meets"))
-    pivots = met.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node"))["node"].alias("pivot"))
+    pivots = cut(met.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node"))["node"].alias("pivot")), "pivots")
     pairs = met.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     edges = cut(verified(cut(pairs, "pairs"), fetch, banding), "links")
     free_shuffles(nodes.sparkSession)
     labels = cut(components(edges), "labels")
     # a bucket whose nodes are in one component has nothing left to compare
-    held = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    held = cut(met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "held")
+    several = cut(held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket"), "several")
     more = cut(compared(cut(held.join(several, "bucket"), "open"), nodes, fetch, banding), "links")
     return labels if more.isEmpty() else cut(components(edges.union(more)), "labels")
 
@@ -292,7 +311,7 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str =
     its component. Repeated rows are decided alike.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    signed = cut(signatures(base, banding), "signatures")
+    signed = told_apart(cut(signatures(base, banding), "signatures"))
     full = signed.where("node is not null")
     nodes = cut(
         full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep"), F.first("buckets").alias("buckets")), "nodes"

@@ -74,6 +74,13 @@ def _hash_buffer(texts: list[bytes], separators: np.ndarray) -> Words:
     return Words(hashes, edges, buffer[ends - 1], lines[after] > lines[ends - 1])
 
 
+def places(text: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the words of a text, and the bytes after them."""
+    gap = separators[np.frombuffer(b"\n" + text + b"\n", np.uint8)]
+    turns = np.flatnonzero(gap[1:] != gap[:-1])
+    return turns[::2], turns[1::2]
+
+
 def buffers(texts: list[str | None]):
     """(first, last, UTF-8 texts) of runs of texts of bounded size; a longer text is a run by itself."""
     claim("words")

@@ -108,3 +108,9 @@ def test_words_and_separators():
     h = found.hashes
     assert found.edges.tolist() == [0, 4, 4, 5] and h[0] == h[2] == h[3] and h[1] == h[4] and h[0] != h[1]
     assert len(minhash.sign(["a b c d e f", None, " "], Banding())[0]) == 3
+
+
+def test_sets_that_have_the_same_node_are_told_apart(spark):
+    rng = random.Random(12)
+    texts = [*family(rng, 40, 3), *family(rng, 40, 5), *family(rng, 40, 0)]
+    same(spark, list(enumerate(texts)), Banding(node_bits=5))

@@ -79,7 +79,14 @@ def test_passages(spark, docs):
         assert [r.removed for r in rows] == [False] + [True] * (len(rows) - 1) and {r.copies for r in rows} == {len(rows)}
         sets = [grams(text(r)) for r in rows]
         assert all(any(100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets))
-    assert (got.n_words >= passages.Setting().least).all()
+    for _, rows in got.groupby("doc_id"):  # pieces are short, the stretches they make up are not
+        ends, stretches = 0, []
+        for r in rows.sort_values(["first_word", "n_words"]).itertuples():
+            if r.first_word > ends or not stretches:
+                stretches.append([r.first_word, 0])
+            ends = stretches[-1][1] = max(stretches[-1][1], r.first_word + r.n_words)
+        assert all(b - a >= passages.Setting().inner for a, b in stretches)
+    assert (got.groupby("cluster_id").doc_id.nunique() > 1).all()
 
 
 def test_quality(spark, docs):
