@@ -6,6 +6,10 @@ a pre-token to its packed little-endian ids; only pre-tokens not seen before go
 through the tokenizers library, in batches. The memo is emptied when it reaches
 ``capacity`` entries, so a worker's memory does not follow the corpus.
 
+Strings of the tokenizer's added tokens are taken out first, and the texts
+between them are cut each for itself, as the library does. With ``plain`` they
+are ordinary text.
+
 Texts made of ASCII and Latin-1 letters are cut with the tokenizer's own
 pre-token pattern (the Unicode classes have a plain equivalent there). Any
 other text is cut at white space only, where no pattern reaches across, and the
@@ -42,22 +46,27 @@ CUTS = {
 _LOADED: dict[tuple, "MemoTokenizer"] = {}
 
 
-def load(path: str, capacity: int = 1_000_000) -> "MemoTokenizer":
+def load(path: str, capacity: int = 1_000_000, plain: bool = False) -> "MemoTokenizer":
     """The process-wide tokenizer of a vocabulary file."""
     claim("tokenizer", _LOADED.clear)
-    if (path, capacity) not in _LOADED:
-        _LOADED[path, capacity] = MemoTokenizer(path, capacity)
-    return _LOADED[path, capacity]
+    if (path, capacity, plain) not in _LOADED:
+        _LOADED[path, capacity, plain] = MemoTokenizer(path, capacity, plain)
+    return _LOADED[path, capacity, plain]
 
 
 class MemoTokenizer:
-    """``encode`` gives the same ids as the library's ``encode_batch`` without special tokens."""
+    """``encode`` gives the same ids as the library's ``encode_batch`` with ``add_special_tokens=False``."""
 
-    def __init__(self, path: str, capacity: int):
+    def __init__(self, path: str, capacity: int, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that depend on what stands around them are not supported")
+        names = sorted((t.content for t in added), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.typecode = "H" if self.dtype.itemsize == 2 else "I"
         self.kind = "word" if self.tokenizer.normalizer is not None else "byte"
@@ -66,6 +75,12 @@ class MemoTokenizer:
         self.memo: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
+        if self.added and self.added.search(text):
+            parts = self.added.split(text)  # every second one is an added token
+            return [piece for i, part in enumerate(parts) for piece in ((part,) if i % 2 else self._cut(part))]
+        return self._cut(text)
+
+    def _cut(self, text: str) -> list[str]:
         if not text.isascii() and RARE.search(text):
             return self.coarse.findall(text)
         return self.fine.findall(text.lower() if self.kind == "word" else text)

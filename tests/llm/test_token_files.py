@@ -36,3 +36,30 @@ def test_empty_table(spark):
     root = scratch(spark, "t")
     write_token_files(frame(spark, []), root, WORD, end_id=1, shards=3)
     assert read_token_files(spark, root).count() == 0
+
+
+def test_ids_are_the_library_s_for_all_kinds_of_text():
+    import random
+
+    from millrace.llm.memo_tokenizer import MemoTokenizer
+
+    rng = random.Random(5)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "  ", "\n", "a", "Hello", "'s", "don't", "12", "é", "你好", "x́", "\u00a0", "!?", "<|endof", "text|>", "İ"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        for plain_ in (False, True):
+            tok = Tokenizer.from_file(public_tokenizers.path(name))
+            tok.encode_special_tokens = plain_
+            own = MemoTokenizer(public_tokenizers.path(name), 500, plain_)
+            got = [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)]
+            assert got == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_strings_of_added_tokens_are_those_tokens(spark):
+    texts = ["a <|endoftext|> b", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|>"]
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    root = scratch(spark, "t")
+    write_token_files(docs, root, WORD, end_id=1, shards=2)
+    want = plain(docs.collect())
+    got = read_token_files(spark, root).orderBy("doc_id").collect()
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array(want[i, t], "<u4")) for i, t in enumerate(texts)]
