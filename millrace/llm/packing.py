@@ -2,11 +2,12 @@
 
 The plan needs the histogram of piece lengths alone, which has at most
 ``capacity`` entries however many pieces there are. Exact-complement hashing
-runs on it: for the longest length left, the gap is looked up among single
-lengths, then among hashed sums of two and of three lengths that are still
-available; a hit closes as many sequences at once as the availability counts
-allow. Where no exact complement is left, best fit takes the longest length
-that fits, until the gap is closed or nothing fits.
+runs on it: an index holds combinations of one, two and three lengths by their
+sum. Gaps are looked up in it, for single lengths first, then pairs, then
+triples, each time from the longest length down, and a hit closes as many
+sequences at once as the availability counts allow. When no gap has an exact
+complement left, best fit packs the rest: the longest length that fits, until
+the gap is closed or nothing fits.
 
 The plan is a list of (sequence pattern, times). Every piece has a rank among
 the pieces of its length; ranks are dealt to patterns by ranges, so pieces find
@@ -92,61 +93,96 @@ class Plan:
         return sum(t for _, t in self.patterns)
 
 
+class SumIndex:
+    """Combinations of one, two and three available lengths by their sum.
+
+    ``pairs[s]`` holds pairs of lengths, ``triples[s]`` a pair's sum with a third
+    length; the longest lengths come last, where a lookup begins. Counts only
+    fall, so a combination that is not there any more never comes back and is
+    dropped when a lookup meets it: all lookups together cost no more than the
+    index has entries, about ``capacity**2``.
+    """
+
+    def __init__(self, have: list[int], reach: int):
+        self.have = have
+        capacity, lengths = len(have) - 1, [n for n, c in enumerate(have) if c and n]
+        self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.triples: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        if reach > 1:
+            for k, a in enumerate(lengths):
+                for b in lengths[: k + 1]:
+                    if a + b > capacity:
+                        break
+                    self.pairs[a + b].append((a, b))
+        if reach > 2:
+            for total in sorted(self.pairs, reverse=True):  # a small pair's sum is met with a long third
+                for c in lengths:
+                    if total + c > capacity:
+                        break
+                    self.triples[total + c].append((total, c))
+
+    def there(self, *lengths: int) -> bool:
+        return all(self.have[n] >= lengths.count(n) for n in lengths)
+
+    def pair(self, total: int, *held: int) -> tuple[int, int] | None:
+        """Two lengths of this sum that are there beside those held."""
+        entries = self.pairs.get(total, [])
+        for i in range(len(entries) - 1, -1, -1):
+            if self.there(*entries[i], *held):
+                return entries[i]
+            if not self.there(*entries[i]):
+                entries.pop(i)
+        return None
+
+    def triple(self, total: int, held: int) -> tuple[int, int, int] | None:
+        entries = self.triples.get(total, [])
+        for i in range(len(entries) - 1, -1, -1):
+            two, c = entries[i]
+            if self.there(c, held) and (found := self.pair(two, c, held)):
+                return (c, *found)
+            if not self.have[c] or not self.pairs[two]:
+                entries.pop(i)
+        return None
+
+    def filling(self, gap: int, held: int, size: int) -> tuple[int, ...] | None:
+        """So many lengths of exactly this sum that are there beside the one held."""
+        if size == 1:
+            return (gap,) if self.there(gap, held) else None
+        return self.pair(gap, held) if size == 2 else self.triple(gap, held)
+
+
 def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:
     """The plan of fewest sequences among those that look for complements of up to three, two and one lengths."""
     return min((_plan(histogram, capacity, reach) for reach in (3, 2, 1)), key=lambda p: p.sequences)
 
 
 def _plan(histogram: dict[int, int], capacity: int, reach: int) -> Plan:
-    """Exact-complement hashing over a histogram of lengths, then best fit for what is left."""
-    have = np.zeros(capacity + 1, "i8")
-    for n, c in histogram.items():
-        have[n] = c
+    """Exact complements from the index of sums while there are any, then best fit for what is left."""
+    have = [histogram.get(n, 0) for n in range(capacity + 1)]
+    index = SumIndex(have, reach)
     patterns: list[tuple[tuple[int, ...], int]] = []
 
     def take(lengths: tuple[int, ...]) -> None:
-        need: dict[int, int] = defaultdict(int)
-        for n in lengths:
-            need[n] += 1
-        times = min(int(have[n]) // k for n, k in need.items())
+        need = {n: lengths.count(n) for n in lengths}
+        times = min(have[n] // k for n, k in need.items())
         for n, k in need.items():
             have[n] -= k * times
         patterns.append((lengths, times))
 
-    def pair(total: int, spare: np.ndarray) -> tuple[int, int] | None:
-        """Two available lengths of this sum, the longest first."""
-        a = np.arange((total + 1) // 2, total)
-        ok = a[(spare[a] > 0) & (spare[total - a] > 0) & ((a != total - a) | (spare[a] > 1))]
-        return (int(ok[-1]), int(total - ok[-1])) if len(ok) else None
-
-    def triple(total: int, spare: np.ndarray) -> tuple[int, int, int] | None:
-        for a in range(total - 2, total // 3 - 1, -1):
-            if a > 0 and spare[a] > 0:
-                spare[a] -= 1
-                found = pair(total - a, spare)
-                spare[a] += 1
-                if found:
-                    return (a, *found)
-        return None
-
-    for n in range(capacity, 0, -1):
-        while have[n]:
-            gap = capacity - n
-            if not gap:
-                take((n,))
-                continue
-            have[n] -= 1
-            found = (gap,) if have[gap] else (reach > 1 and pair(gap, have)) or (reach > 2 and triple(gap, have))
-            have[n] += 1
-            if found:
+    if have[capacity]:
+        take((capacity,))
+    for size in range(1, reach + 1):
+        for n in range(capacity - 1, 0, -1):
+            while have[n] and (found := index.filling(capacity - n, n, size)):
                 take((n, *found))
-                continue
-            bin_, left = [n], gap
+    for n in range(capacity, 0, -1):  # no gap can be filled exactly now
+        while have[n]:
+            bin_, left = [n], capacity - n
             have[n] -= 1
-            while left and (fit := np.flatnonzero(have[: left + 1])).size:
-                bin_.append(int(fit[-1]))
-                have[bin_[-1]] -= 1
-                left -= bin_[-1]
+            while fits := [x for x in range(min(left, n), 0, -1) if have[x]][:1]:
+                bin_ += fits
+                have[fits[0]] -= 1
+                left -= fits[0]
             for x in bin_:
                 have[x] += 1
             take(tuple(bin_))
