@@ -9,7 +9,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -74,10 +75,32 @@ def claim(operator: str, release=None) -> None:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lost executors cost no recomputation of what is above."""
-    path = scratch(df.sparkSession, label)
+    """``df`` written to the shared folder and read again: lost executors cost no recomputation of what is above.
+
+    The files go when the driver's JVM ends, if :func:`discard` has not taken them away before.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order: str, into: str = "rank") -> DataFrame:
+    """A dense rank from 0 over the whole table, in an order that ties do not fix, without one task for all rows.
+
+    Rows go to range partitions, are sorted there and numbered by partition and
+    place, and are written, as another evaluation would draw other ranges; the
+    rows of the partitions before are added from one row for each partition.
+    """
+    placed = df.withColumn("_tie", F.monotonically_increasing_id())  # equal rows may part
+    placed = placed.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").withColumn("_at", F.monotonically_increasing_id())
+    placed = cut(placed.drop("_tie"), "numbered")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))  # as the numbering has them
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    return placed.join(F.broadcast(bases), part == F.col("_part")).withColumn(into, F.col("_base") + place).drop("_at", "_part", "_base")
 
 
 def free_shuffles(spark: SparkSession) -> None:
