@@ -10,8 +10,8 @@ UTF-8 length of its text plus one (null: none, so one).
 
 Within a shard, records are numbered without gaps: virtual slots in order, and
 records within a slot by id, size and checksum. The numbers are slot bases
-(prefix sums over the slot table) plus a rank within the slot, so no task
-holds a shard.
+(prefix sums over the slot table) plus a rank within the slot, from range
+partitions over all records, so no task holds a shard or a slot.
 
 Defined results: a null id is hashed as the word ``null``; rows with the same
 id share a slot, and equal rows take its numbers in any order; an empty table
@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.runtime import cut, numbered
+
 SLOTS = 4096
 
 
@@ -87,13 +89,14 @@ def shard(docs: DataFrame, n_shards: int = 16, n_slots: int = SLOTS, slot_map: D
     records = docs.select(
         F.col(id_col).alias("doc_id"), text_size(F.col(text_col)).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), virtual_slot(F.col(id_col), n_slots).alias("vslot")
     )
-    slots = slot_table(records)
+    slots = cut(slot_table(records), "slots")
     slot_map = assign_slots(slots, n_shards) if slot_map is None else slot_map
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     bases = slot_map.join(slots, "vslot").withColumn("base", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
     bases = F.broadcast(bases.select("vslot", "shard", "version", "base"))  # n_slots rows at most
-    within = Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32")
-    ranked = records.withColumn("rank", F.row_number().over(within) - 1)
-    return ranked.join(bases, "vslot").select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank")).cast("long").alias("slot"), "vslot", F.col("version").alias("map_version")
+    ranked = numbered(records, "vslot", "doc_id", "size", "text_crc32")
+    starts = Window.orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = slots.select("vslot", F.coalesce(F.sum("n_rows").over(starts), F.lit(0)).alias("first"))
+    return ranked.join(F.broadcast(firsts), "vslot").join(bases, "vslot").select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("first")).cast("long").alias("slot"), "vslot", F.col("version").alias("map_version")
     )

@@ -37,3 +37,27 @@ def test_shards_are_even_and_growth_moves_little(spark):
 
 def test_empty_table(spark):
     assert shard(frame(spark, [])).count() == 0
+
+
+def test_slots_and_shards_match_a_plain_version(spark):
+    """Hot ids, repeated rows and clashing names; slots by MD5, the largest first to the lightest shard."""
+    import hashlib
+
+    rows = [(i % 40 if i % 3 else 7, "é" * (i % 17) if i % 5 else None, "en", "s", i) for i in range(600)]
+    docs = crowded(frame(spark, rows).repartition(6))
+    slot = lambda k: int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16) % 64
+    size = lambda t: len((t or "").encode()) + 1
+    total = {}
+    for k, t, *_ in rows:
+        total[slot(k)] = total.get(slot(k), 0) + size(t)
+    loads, where = [0] * 5, {}
+    for s in sorted(total, key=lambda s: (-total[s], s)):
+        where[s] = loads.index(min(loads))
+        loads[where[s]] += total[s]
+    got = shard(docs, n_shards=5, n_slots=64).toPandas()
+    assert len(got) == 600 and all(got.vslot == [slot(k) for k in got.doc_id]) and all(got.shard == [where[s] for s in got.vslot])
+    for _, own in got.groupby("shard"):
+        own = own.sort_values("slot")
+        assert own.slot.tolist() == list(range(len(own)))
+        keys = list(zip(own.vslot, own.doc_id, own["size"], own.text_crc32))
+        assert keys == sorted(keys)
