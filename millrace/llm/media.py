@@ -33,6 +33,7 @@ from millrace.llm.runtime import cut, prepare
 WIDTH = 192
 FRAME_ROWS = 256
 DELAY = 10  # hundredths of a second
+MOST_PIXELS = 1 << 26  # of a canvas or image: 256 MB as decoded
 CLEAR, STOP = 256, 257
 
 _INDEX = np.arange(256)
@@ -176,15 +177,18 @@ class Frame:
         return self.canvas[self.top : self.top + self.height, self.left : self.left + self.width]
 
 
-def decode_frames(data: bytes) -> Iterator[Frame]:
-    """The frames of a file, one at a time. A frame's canvas is valid until the next is asked for."""
+def decode_frames(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """The frames of a file, one at a time. A frame's canvas is valid until the next is asked for.
+
+    A file whose canvas or images have more than ``most_pixels`` is bad: its header alone would take that memory.
+    """
     try:
-        yield from _decode(data)
+        yield from _decode(data, most_pixels)
     except (IndexError, struct.error) as e:
         raise BadImage("the file is cut") from e
 
 
-def _decode(data: bytes) -> Iterator[Frame]:
+def _decode(data: bytes, most_pixels: int) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise BadImage("no GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -209,6 +213,8 @@ def _decode(data: bytes) -> Iterator[Frame]:
             at += n + 1
         return b"".join(parts), at + 1
 
+    if width * height > most_pixels:
+        raise BadImage(f"a canvas of {width} x {height}")
     shared, at = palette_at(flags, at)
     canvas = np.zeros((height, width, 4), np.uint8)
     control = (0, 0, None)  # disposal, delay, transparent index
@@ -230,6 +236,8 @@ def _decode(data: bytes) -> Iterator[Frame]:
         palette = own if own is not None else shared
         if palette is None:
             raise BadImage("no palette")
+        if w * h > most_pixels:
+            raise BadImage(f"an image of {w} x {h}")
         stream, after = blocks(at + 1)
         indices = np.frombuffer(lzw_decode(stream, data[at], w * h), np.uint8)
         if len(indices) < w * h:
@@ -290,27 +298,36 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def timed_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for each frame: when it shows, for how long, where it was drawn, and the canvas's colour histogram."""
+    """A row for each frame: when it shows, for how long, where it was drawn, and the canvas's colour histogram.
+
+    A bad file has a last row with an ``error`` and no values, after the frames that could be read.
+    """
     prepare(media.sparkSession)
 
     def run(batches):
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 clock, out = 0, []
-                for k, f in enumerate(decode_frames(data)):
-                    out.append({"doc_id": key, "frame": k, "start_ms": clock, "delay_ms": 10 * f.delay, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "histogram": histogram(f.canvas).tolist()})
-                    clock += 10 * f.delay
+                try:
+                    for k, f in enumerate(decode_frames(data)):
+                        out.append({"doc_id": key, "frame": k, "start_ms": clock, "delay_ms": 10 * f.delay, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "histogram": histogram(f.canvas).tolist()})
+                        clock += 10 * f.delay
+                except BadImage as e:
+                    out.append({"doc_id": key, "error": str(e)})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("frame", "start_ms", "delay_ms", "left", "top", "width", "height")), ("histogram", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("frame", "start_ms", "delay_ms", "left", "top", "width", "height")), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
     rows = media.select(F.col(id_col).cast("long").alias("doc_id"), media_col).where(F.col(media_col).isNotNull())
-    return rows.mapInArrow(run, "doc_id long, frame long, start_ms long, delay_ms long, left long, top long, width long, height long, histogram array<long>")
+    return rows.mapInArrow(run, "doc_id long, frame long, start_ms long, delay_ms long, left long, top long, width long, height long, histogram array<long>, error string")
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """What the stored files hold, read back through the decoder: checksums of payload and file, and the histogram over frames."""
+    """What the stored files hold, read back through the decoder: checksums of payload and file, and the histogram over frames.
+
+    A bad file has an ``error``, its own length and checksum, and nulls.
+    """
     prepare(media.sparkSession)
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64()), ("duration_ms", pa.int64()), ("feature", pa.string())]
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64()), ("duration_ms", pa.int64()), ("feature", pa.string()), ("error", pa.string())]
     schema = pa.schema(fields)
 
     def run(batches):
@@ -320,12 +337,17 @@ def media_features(media: DataFrame) -> DataFrame:
                 out = []
                 for key, n, data in zip(*(part.column(i).to_pylist() for i in range(3))):
                     sha, tail, size, clock, frames, cells = hashlib.sha256(), b"", 0, 0, 0, np.zeros(64, "i8")
-                    for f in decode_frames(data):
-                        samples = f.drawn[..., 0].tobytes()
-                        sha.update(samples)
-                        tail, size, clock, frames = (tail + samples)[-16:], size + len(samples), clock + 10 * f.delay, frames + 1
-                        cells += histogram(f.drawn)
-                    out.append((key, n, size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), frames, clock, ",".join(map(str, cells))))
+                    stored = len(data), hashlib.sha256(data).hexdigest()
+                    try:
+                        for f in decode_frames(data):
+                            samples = f.drawn[..., 0].tobytes()
+                            sha.update(samples)
+                            tail, size, clock, frames = (tail + samples)[-16:], size + len(samples), clock + 10 * f.delay, frames + 1
+                            cells += histogram(f.drawn)
+                    except BadImage as e:
+                        out.append((key, n, None, None, None, *stored, None, None, None, str(e)))
+                        continue
+                    out.append((key, n, size, sha.hexdigest(), zlib.crc32(tail), *stored, frames, clock, ",".join(map(str, cells)), None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)], schema=schema)
 
     kinds = {pa.int64(): "long", pa.string(): "string"}

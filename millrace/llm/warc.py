@@ -9,8 +9,13 @@ and is followed by two line ends, and the digests of block and payload.
 
 Pages with equal payloads are stored once: the one with the smallest id is a
 ``response``, the others are ``revisit`` records that name it. Groups are found
-from digests alone (smallest id by partial aggregation); payloads are never
-gathered by group.
+from digests alone (smallest id by partial aggregation); pages meet their
+group's smallest id in a join by digest, whose one side is a table of its own,
+so that Spark splits the other where one payload is hot.
+
+A record that breaks the format comes back as a row with an ``error`` and no
+values, and so does what cannot be unpacked; after the latter the rest of the
+archive cannot be read and is left.
 
 Defined results: a null payload is empty; rows with the smallest id of their
 group are all responses if that id is repeated; null ids come after all others;
@@ -28,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.runtime import SharedFiles, prepare
+from millrace.llm.runtime import SharedFiles, cut, prepare
 
 #: Fixed values of the format.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -36,7 +41,7 @@ VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, archive string"
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, archive string, error string"
 
 
 class BadRecord(ValueError):
@@ -97,7 +102,7 @@ def parse_record(data: bytes) -> dict:
     if not end:
         raise BadRecord("no end of headers")
     h = headers(head)
-    missing = {"warc-type", "warc-record-id", "warc-date", "content-length"} - set(h)
+    missing = {"warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"} - set(h)
     if missing:
         raise BadRecord(f"no header {sorted(missing)}")
     if not h["content-length"].isdigit() or len(body) != int(h["content-length"]) + 4 or body[-4:] != b"\r\n\r\n":
@@ -110,6 +115,8 @@ def parse_record(data: bytes) -> dict:
     if not end or not status.startswith(b"HTTP/"):
         raise BadRecord("no HTTP header")
     http = headers(http_lines)
+    if not http.get("content-length", "").isdigit():
+        raise BadRecord("no length of the payload")
     stated = h["warc-payload-digest"].removeprefix("sha1:")
     size = int(http["content-length"])
     if h["warc-type"] == "response":
@@ -176,12 +183,29 @@ def read_archive(stream, chunk: int = 1 << 18):
         yield b"".join(parts)
 
 
+def checked(data: bytes) -> dict:
+    """The parts of a record, or what is wrong with it."""
+    try:
+        return parse_record(data)
+    except ValueError as e:  # also of a page id or of bytes that are no text
+        return {"error": str(e)}
+
+
+def records_of(stream):
+    """The decoded records of an archive; where it cannot be unpacked any more, a dict with the error."""
+    try:
+        yield from read_archive(stream)
+    except (BadRecord, zstandard.ZstdError) as e:
+        yield {"error": str(e)}
+
+
 def with_revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
     """(page_id, url, payload, sha1, refers_to) of each page."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload")
     ).withColumn("sha1", F.sha1("payload"))
     firsts = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = cut(firsts, "firsts")
     joined = rows.join(firsts.select("sha1", "first"), "sha1", "left")
     again = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= least_bytes), F.col("first"))
     return joined.select("page_id", "url", "payload", "sha1", again.alias("refers_to"))
@@ -221,7 +245,7 @@ def write_archives(pages: DataFrame, root: str, least_bytes: int = 0, sample: in
 
 
 def read_archives(spark, root: str, names: list[str], payloads: bool = True) -> DataFrame:
-    """The checked records of the archives; a broken record fails the read."""
+    """The checked records of the archives, and a row with an ``error`` for each broken one."""
     prepare(spark)
 
     def read(batches):
@@ -230,12 +254,12 @@ def read_archives(spark, root: str, names: list[str], payloads: bool = True) ->
             for k in batch.column(0).to_pylist():
                 with files.stream(names[k]) as stream:
                     out, size = [], 0
-                    for data in read_archive(stream):
-                        record = parse_record(data) | {"archive": names[k]}
+                    for data in records_of(stream):
+                        record = (data if isinstance(data, dict) else checked(data)) | {"archive": names[k]}
                         if not payloads:
                             record["payload"] = None
                         out.append(record)
-                        size += len(data) if payloads else 200
+                        size += len(data) + 200 if payloads else 200
                         if size > 8 << 20:
                             yield pa.RecordBatch.from_pylist(out, schema=ARROW)
                             out, size = [], 0
@@ -243,6 +267,6 @@ def read_archives(spark, root: str, names: list[str], payloads: bool = True) ->
                         yield pa.RecordBatch.from_pylist(out, schema=ARROW)
 
     ARROW = pa.schema(
-        [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("archive", pa.string())]
+        [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("archive", pa.string()), ("error", pa.string())]
     )
     return spark.range(0, len(names), 1, max(1, len(names))).mapInArrow(read, RECORD)
