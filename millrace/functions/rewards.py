@@ -333,57 +333,80 @@ def tool_length(completion: Column, longest: float = 512.0) -> Column:
     return F.when(has, F.least(F.bround(F.size(words(thought)) / longest, 2), F.lit(1.0))).otherwise(F.lit(0.0))
 
 
-def multiset_similarity(a: list, b: list) -> float:
-    """Jaccard similarity of multisets; equal lists are 1."""
+def multiset_similarity(a: list, b: list, strict: bool = False) -> float:
+    """Jaccard similarity of multisets; equal lists are 1, and with ``strict`` all others 0."""
     if a == b:
         return 1.0
-    if not a or not b:
+    if not a or not b or strict:
         return 0.0
     common = sum((Counter(a) & Counter(b)).values())
     return common / (len(a) + len(b) - common)
 
 
-def tool_calls_score(want: list[dict], have: list[dict], best: float = 3.0, worst: float = -3.0) -> float:
-    """Names as multisets, then for each wanted call the best unused call of its name by argument names and values."""
+TOOL_DETAILS = ("full", "refined", "intermediate", "coarse")
+
+
+def tool_calls_score(want: list[dict], have: list[dict], best: float = 3.0, worst: float = -3.0, detail: str = "full") -> float:
+    """Names as multisets, then for each wanted call the best unused call of its name by argument names and values.
+
+    ``refined`` takes names that are not all equal for nothing; ``intermediate``
+    counts whole calls in place of their arguments; ``coarse`` knows right and wrong.
+    """
     if want == have:
         return best
-    total, reach, unused = multiset_similarity([c["name"] for c in want], [c["name"] for c in have]), 1.0, list(range(len(have)))
+    if detail == "coarse":
+        return worst
+    strict, whole = detail == "refined", detail == "intermediate"
+    total, reach, unused = multiset_similarity([c["name"] for c in want], [c["name"] for c in have], strict), 1.0, list(range(len(have)))
+
+    def rating(call: dict, other: dict) -> float:
+        if whole:
+            return float(call == other)
+        args, given = call["parameters"], other["parameters"]
+        return multiset_similarity(list(args), list(given), strict) + sum(1.0 for k, v in args.items() if k in given and given[k] == v)
+
     for call in want:
-        args = call["parameters"]
-        reach += 1.0 + len(args)
-        rated = [
-            (multiset_similarity(list(args), list(have[i]["parameters"])) + sum(1.0 for k, v in args.items() if k in have[i]["parameters"] and have[i]["parameters"][k] == v), -i)
-            for i in unused
-            if have[i]["name"] == call["name"]
-        ]
-        top, at = max(rated, default=(0.0, 0))
+        reach += 1.0 + (0 if whole else len(call["parameters"]))
+        top, at = max([(rating(call, have[i]), -i) for i in unused if have[i]["name"] == call["name"]], default=(0.0, 0))
         if top > 0:
             unused.remove(-at)
             total += top
     return (best - worst) * total / reach + worst
 
 
+def tool_range(step: int, best: float = 3.0, worst: float = -3.0, schedule: str | None = None) -> tuple[float, float]:
+    """(best, worst) at a training step: a third of them before step 30 (``two_stage``), or growing from 2 with the step (``linear``), at most 3."""
+    if schedule == "two_stage":
+        return (best / 3, worst / 3) if step < 30 else (best, worst)
+    if schedule == "linear":
+        return min((best - 2) * step / 150 + 2, 3.0), max((worst + 2) * step / 150 - 2, -3.0)
+    return best, worst
+
+
 def _tools(text: str) -> list[dict]:
     return [json.loads(line) for line in text.split("<tool_call>")[1].split("</tool_call>")[0].strip().split("\n")]
 
 
-def _tool_reward(completion: str | None, solution: str | None, best: float, worst: float) -> float:
+def _tool_reward(completion: str | None, solution: str | None, best: float, worst: float, detail: str = "full") -> float:
     if "<tool_call>" not in (solution or ""):
         return 0.0
     want = _tools(solution)
     try:
         if "</tool_call>" not in completion:
             return worst
-        return tool_calls_score(want, _tools(completion), best, worst)
+        return tool_calls_score(want, _tools(completion), best, worst, detail)
     except (ValueError, IndexError, TypeError):
         return worst
 
 
 @reward("tooluse_correctness")
-def tool_correctness(completion: Column, solution: Column, best: float = 3.0, worst: float = -3.0) -> Column:
+def tool_correctness(completion: Column, solution: Column, best: float = 3.0, worst: float = -3.0, detail: str = "full") -> Column:
+    if detail not in TOOL_DETAILS:
+        raise ValueError(f"unknown detail {detail}")
+
     @F.pandas_udf("double")
     def judge(given: pd.Series, truth: pd.Series) -> pd.Series:
-        return pd.Series([_tool_reward(g, t, best, worst) for g, t in zip(given, truth)], dtype=float)
+        return pd.Series([_tool_reward(g, t, best, worst, detail) for g, t in zip(given, truth)], dtype=float)
 
     return judge(completion, solution)
 

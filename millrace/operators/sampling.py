@@ -16,22 +16,26 @@ def draw(key: Column, seed: int = 42) -> Column:
     return (F.pmod(key.cast("long") * 48271 + seed, F.lit(PRIME)) * 69621 + 11) % PRIME
 
 
+def placed(df: DataFrame, *keys: str) -> tuple[DataFrame, Column, Column]:
+    """Rows in range partitions of the keys, sorted there and written, with expressions for a row's partition and its place in it.
+
+    Ranged rows are written once, as another evaluation would draw other ranges.
+    """
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    return written(rows, "placed"), F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))  # as the numbering has them
+
+
 def ranked(df: DataFrame, order: str, name: str, *tie: str) -> DataFrame:
     """A dense rank from 0 over the whole table, without one task for all rows.
 
-    Rows go to range partitions, are sorted there and numbered by partition and
-    place; a row's rank is the number of rows in the partitions before its own
-    plus its place. Ranged rows are written once, as another evaluation would
-    draw other ranges. The partition sizes are one row for each partition.
+    A row's rank is the number of rows in the range partitions before its own
+    plus its place. The partition sizes are one row for each partition.
     """
-    keys = [order, *tie]
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
-    placed = written(placed, "ranked")
-    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))  # as the numbering has them
-    sizes = placed.groupBy(part.alias("__part")).count()
+    rows, part, place = placed(df, order, *tie)
+    sizes = rows.groupBy(part.alias("__part")).count()
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
-    numbered = placed.join(F.broadcast(bases), part == F.col("__part"))
+    numbered = rows.join(F.broadcast(bases), part == F.col("__part"))
     return numbered.withColumn(name, F.col("__base") + place).drop("__at", "__part", "__base")
 
 

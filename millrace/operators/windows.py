@@ -136,9 +136,26 @@ def smoothed_series(df: DataFrame, key: str, value: str, *order: str, smooth: fl
 
 
 def sessions(df: DataFrame, key: str, order: str, begins: Column, *tie: str) -> DataFrame:
-    """A ``session`` number within each key: it goes up where a row begins a session; rows before the first are session 0."""
-    w = Window.partitionBy(key).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("session", F.sum(F.coalesce(begins.cast("int"), F.lit(0))).over(w).cast("long"))
+    """A ``session`` number within each key: it goes up where a row begins a session; rows before the first are session 0.
+
+    Begins are counted within range partitions of key and order; only a key that
+    goes over a partition's end takes on counts from others, and there are no
+    more such (key, partition) rows than twice the partitions. So a hot key is
+    as many tasks as it has partitions.
+    """
+    from millrace.operators.sampling import placed
+
+    rows, part, _ = placed(df.withColumn("__one", F.coalesce(begins.cast("long"), F.lit(0))), key, order, *tie)
+    rows = rows.withColumn("__part", part)
+    own = Window.partitionBy("__part", key).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("session", F.sum("__one").over(own))
+    totals = rows.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__p")).agg(F.sum("__one").alias("__n"))
+    by_key = Window.partitionBy("__key")
+    before = by_key.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    more = totals.withColumn("__parts", F.count("*").over(by_key)).withColumn("__more", F.sum("__n").over(before))
+    more = F.broadcast(more.where("__parts > 1 and __more > 0").select("__key", "__p", "__more"))
+    out = counted.join(more, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__p")), "left")
+    return out.withColumn("session", F.col("session") + F.coalesce("__more", F.lit(0))).select(*df.columns, "session")
 
 
 def last_value_of_trajectory(df: DataFrame, request: str, order: str, value: str, into: str) -> DataFrame:

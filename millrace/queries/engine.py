@@ -228,6 +228,22 @@ def stream_preprocess(spark, sf_dir):
     return jobs.run_to_table(rows, shared_folder(spark, "stream"), shared_folder(spark, "mark"))
 
 
+@query("T3_stream_shuffle", "select lane, count(*) as n, count(distinct doc_id) as ids, sum(doc_id)::bigint as total, (count(*) - 1)::bigint as last_place, true as moved from (select doc_id, doc_id % 3 as lane from documents) group by 1")
+def stream_shuffle(spark, sf_dir):
+    """Every row comes out once, in another order than it came in."""
+    folder = shared_folder(spark, "feed")
+    rows = read(spark, sf_dir, "documents").select((F.col("doc_id") % 3).alias("lane"), F.to_json(F.struct("doc_id", "text")).alias("row"))
+    rows.write.parquet(folder)
+    rows.select("lane").distinct().select("lane", F.lit(None).cast("string").alias("row")).coalesce(1).write.mode("append").parquet(folder)
+    out, mark = shared_folder(spark, "stream"), shared_folder(spark, "mark")
+    files = jobs.read_stream(spark, folder, "*.parquet", rows.schema, 1)
+    mixed = jobs.run_to_table(jobs.shuffle_stream(files, "lane", "row", 50), out, mark)
+    doc = F.get_json_object("row", "$.doc_id").cast("long")
+    return mixed.groupBy("lane").agg(
+        F.count("*").alias("n"), F.countDistinct(doc).alias("ids"), F.sum(doc).alias("total"), F.max("place").alias("last_place"), (F.sum((doc != 3 * F.col("place") + F.col("lane")).cast("int")) > F.count("*") / 2).alias("moved")
+    )
+
+
 @query("T4_stream_packing", "select count(*) as items, sum(n_chars % 1000 + 1)::bigint as filled, true as fits from documents")
 def stream_packing(spark, sf_dir):
     folder = shared_folder(spark, "feed")

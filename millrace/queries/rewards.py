@@ -64,6 +64,16 @@ truth = lambda: F.concat(F.lit("<tool_call>\n{\"name\": \"f\", \"parameters\": {
 one("R23_tool_format", lambda: R.tool_format(F.when(F.col("turn") % 4 == 3, c()).otherwise(tool()), truth()), "case when turn % 4 = 3 then 0.0::double else 1.0::double end")
 one("R24_tool_length", lambda: six(R.tool_length(F.concat(F.lit("<think>"), t(), F.lit("</think>")))), "least(round_even(len([w for w in regexp_split_to_array(text, '\\s+') if w <> '']) / 512.0::double, 2), 1.0::double)")
 one("R25_tool_correctness", lambda: six(R.tool_correctness(tool(), truth())), "case when turn = conv_id % 4 then 3.0::double else 1.0::double end")
+scalar(
+    "R25_tool_modes", "completions",
+    {
+        "refined": (lambda: six(R.tool_correctness(tool(), truth(), detail="refined")), "case when turn = conv_id % 4 then 3.0::double else 1.0::double end"),
+        "intermediate": (lambda: six(R.tool_correctness(tool(), truth(), detail="intermediate")), "case when turn = conv_id % 4 then 3.0::double else 0.0::double end"),
+        "coarse": (lambda: six(R.tool_correctness(tool(), truth(), detail="coarse")), "case when turn = conv_id % 4 then 3.0::double else -3.0::double end"),
+        "two_stage": (lambda: six(R.tool_correctness(tool(), truth(), *R.tool_range(15, schedule="two_stage"))), "case when turn = conv_id % 4 then 1.0::double else round(1 / 3.0, 6)::double end"),
+        "linear": (lambda: six(R.tool_correctness(tool(), truth(), *R.tool_range(75, schedule="linear"))), "case when turn = conv_id % 4 then 2.5::double else round(5 * 2 / 3.0 - 2.5, 6)::double end"),
+    },
+)
 one("R26_judge_yes_no", lambda: R.judge_yes_no(F.when(F.col("turn") % 4 == 1, F.lit("well [yes]")).otherwise(F.lit("[NO]"))), "case when turn % 4 = 1 then 1.0::double else 0.0::double end")
 one(
     "R27_deepeyes",

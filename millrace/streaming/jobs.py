@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.operators.sampling import PRIME, best_fit
+
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 16) -> DataFrame:
     """Parquet files of one name pattern in a folder, as they come."""
@@ -37,17 +39,7 @@ def pack_stream(stream: DataFrame, key: str, item: str, length: str, volume: int
         rows = pd.concat(list(batches))
         end = bool((rows[length] < 0).any())
         todo = [*zip(items, sizes), *rows.loc[rows[length] >= 0, [item, length]].itertuples(index=False)]
-        todo.sort(key=lambda r: (-r[1], r[0]))
-        bins: list[list] = []
-        for i, n in todo:
-            fit = [b for b in bins if b[1] + n <= volume]
-            best = max(fit, key=lambda b: b[1]) if fit else None
-            if best is None:
-                bins.append([[int(i)], int(n), [int(n)]])
-            else:
-                best[0].append(int(i))
-                best[1] += int(n)
-                best[2].append(int(n))
+        bins = [[[int(i) for i, _ in b], sum(int(n) for _, n in b), [int(n) for _, n in b]] for b in best_fit(sorted(todo), volume)]
         bins.sort(key=lambda b: -b[1])
         last = None if end or not bins else bins.pop()
         if last:
@@ -77,3 +69,45 @@ def session_stream(stream: DataFrame, key: str, order: list[str], begins: str, v
         yield pd.DataFrame(out, columns=["key", "session", "n", "total"])
 
     return stream.groupBy(key).applyInPandasWithState(run, "key long, session long, n long, total double", "session long, n long, total double", "append", "NoTimeout")
+
+
+def shuffle_stream(stream: DataFrame, lane: str, row: str, buffer: int = 1000, seed: int = 42) -> DataFrame:
+    """(lane, place, row): a shuffle through a buffer for each lane, in the order of ``place``.
+
+    Rows are texts (JSON of a struct, say). The first ``buffer`` rows of a lane
+    fill its buffer; then every row takes the place of a drawn one, which goes
+    out. A null row empties the buffer, in drawn order. Draws depend on the
+    seed, the lane and the number of rows gone out, not on micro-batches.
+    """
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, gone = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        out: list[str] = []
+
+        def send(at: int, new: str | None) -> None:
+            out.append(held[at])
+            if new is None:
+                held[at] = held[-1]
+                held.pop()
+            else:
+                held[at] = new
+
+        for batch in batches:
+            for text in batch[row]:
+                if text is None:
+                    while held:
+                        send(_drawn(seed, k[0], gone + len(out), len(held)), None)
+                elif len(held) < buffer:
+                    held.append(text)
+                else:
+                    send(_drawn(seed, k[0], gone + len(out), len(held)), text)
+        state.update((held, gone + len(out)))
+        yield pd.DataFrame({"lane": [k[0]] * len(out), "place": range(gone, gone + len(out)), "row": out})
+
+    return stream.groupBy(lane).applyInPandasWithState(run, "lane long, place long, row string", "held array<string>, gone long", "append", "NoTimeout")
+
+
+def _drawn(seed: int, lane: int, n: int, below: int) -> int:
+    """A number below a bound, from a seed, a lane and a count."""
+    x = (seed * 69_621 + lane * 16_807 + n * 48_271 + 11) % PRIME
+    return (x * 48_271 + x // 127) % PRIME % below

@@ -309,3 +309,20 @@ def test_prefix_and_strip_like_python(spark, text):
     once = normalize.prepend_once(lit(text))
     got = value(spark, once, normalize.prepend_once(once), strip(lit(text)), words(lit(text)))
     assert got[0] == got[1] and got[2] == text.strip() and got[3] == text.split()
+
+
+def test_sessions_of_a_hot_key_go_over_partitions(spark):
+    rows = [(1 if i % 3 else None, i, i % 7 == 0) for i in range(4000)] + [(k, k, True) for k in range(2, 60)]
+    want, seen = {}, {}
+    for k, t, b in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        seen[k] = seen.get(k, 0) + b
+        want[k, t] = seen[k]
+    df = spark.createDataFrame(rows, "k int, t int, b boolean").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = windows.sessions(df, "k", "t", F.col("b")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {(r["k"], r["t"]): r["session"] for r in got} == want and len(got) == len(rows)
