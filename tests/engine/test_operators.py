@@ -326,3 +326,17 @@ def test_sessions_of_a_hot_key_go_over_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert {(r["k"], r["t"]): r["session"] for r in got} == want and len(got) == len(rows)
+
+
+def test_layouts_with_drawn_questions(spark):
+    from millrace.plans.presets import PIXELPROSE_QUESTIONS, PRESETS, SA1B_QUESTIONS
+
+    both = lambda df: [(r["messages"][0]["content"], r["messages"][1]["content"]) for r in df.collect()]
+    rows = spark.createDataFrame([(k, f"cap {k}", "u", f"{{'a': 1, 'global_caption': 'it\\'s {k}'}}", f"This image displays: x{k} ", ["q0", "q1", "q2"], ["a0", "a1", "a2"], "i") for k in range(30)], "key long, global_caption string, url string, cap_seg string, vlm_caption string, questions array<string>, answers array<string>, image string")
+    got = both(PRESETS["sa1b"](rows.withColumn("opensource_url", F.col("url"))))
+    assert {q for q, _ in got} == set(SA1B_QUESTIONS) and {a for _, a in got} == {f"cap {k}" for k in range(30)}
+    assert {a for _, a in both(PRESETS["sa1b_dense"](rows))} == {f"it's {k}" for k in range(30)}
+    got = both(PRESETS["pixelprose"](rows))
+    assert {q for q, _ in got} == set(PIXELPROSE_QUESTIONS) and {a for _, a in got} == {f"x{k}" for k in range(30)}
+    got = both(PRESETS["ocrvqa"](rows))
+    assert {q for q, _ in got} == {"q0", "q1", "q2"} and all(q[1:] == a[1:] for q, a in got)
