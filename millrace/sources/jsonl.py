@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.normalize import sanitise
+from millrace.sources.workers import written
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, file, line): lines in the order of their file, numbered within it."""
+    """(value, file, line): ``line`` rises from line to line of a file; it has gaps, as parts of files are read side by side."""
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     return rows.withColumn("line", F.monotonically_increasing_id())
 
@@ -99,7 +100,8 @@ def union_dicts(frames: list[DataFrame]) -> DataFrame | None:
 
 
 def write_two(df: DataFrame, condition: Column, passed: str, rejected: str, drop: tuple[str, ...] = ()) -> None:
-    """Rows that meet a condition (without some fields) to one place and the others to another."""
+    """Rows that meet a condition (without some fields) to one place and the others to another; the input is evaluated once."""
+    df = written(df, "split")
     ok = F.coalesce(condition, F.lit(False))
     write_lines(df.where(ok).drop(*drop), passed)
     write_lines(df.where(~ok), rejected)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -67,6 +68,7 @@ class Meta:
 
 
 REGISTRY: list[Meta] = []
+LOG = logging.getLogger(__name__)
 
 
 def register(meta: Meta, exist_ok: bool = False) -> Meta:
@@ -108,6 +110,20 @@ def select_subsets(wanted: tuple[str, ...], meta: Meta) -> list[Subset]:
     return [names.get(w, Subset(w)) for w in wanted]
 
 
+#: Fixed value: a hub is asked so often, a local folder once.
+HUB_ATTEMPTS = 3
+
+
+def attempted(load: Callable[[], DataFrame], times: int) -> DataFrame:
+    """What ``load`` gives at its first success; the error of the last attempt otherwise."""
+    for _ in range(times - 1):
+        try:
+            return load()
+        except Exception as e:
+            LOG.warning("a load failed and is tried again: %s", e)
+    return load()
+
+
 def load_one(spark: SparkSession, text: str, base: str = "") -> DataFrame:
     """Resolve a source, read its subsets, rename, preprocess, prune and sample."""
     from pyspark.sql import functions as F
@@ -119,7 +135,7 @@ def load_one(spark: SparkSession, text: str, base: str = "") -> DataFrame:
     frames = []
     for subset in select_subsets(source.subsets, meta):
         if meta.load:
-            df = meta.load(spark, meta, subset)
+            df = attempted(lambda subset=subset: meta.load(spark, meta, subset), 1 if meta.path else HUB_ATTEMPTS)
         elif meta.path is None:
             raise NotImplementedError(f"{source.name} is on a hub; give a local path or a load function")
         elif "." in meta.path.rsplit("/", 1)[-1]:

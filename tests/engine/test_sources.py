@@ -93,3 +93,23 @@ def test_stream_packing_carries_the_open_bin(spark, tmp_path):
     bins = sorted((r["shard"], sorted(r["items"]), r["filled"]) for r in got.collect())
     assert sum(f for s, _, f in bins if s == 0) == 150 and sum(f for s, _, f in bins if s == 1) == 10 and all(f <= 100 for _, _, f in bins)
     assert sorted(i for _, items, _ in bins for i in items) == [1, 2, 3, 9]
+
+
+def test_hubs_are_asked_three_times_and_folders_once(spark):
+    from millrace.sources.registry import Meta, load_one, register
+
+    for path, good, want in ((None, 3, 3), (None, 4, 3), ("/own/place", 2, 1)):
+        asked = []
+
+        def load(session, meta, subset):
+            asked.append(subset.name)
+            if len(asked) < good:
+                raise OSError("not now")
+            return session.range(4).select(F.col("id").cast("string").alias("channel"))
+
+        register(Meta(path=path, ms_id="own/flaky", load=load, preprocess=lambda df: df), exist_ok=True)
+        try:
+            assert load_one(spark, "own/flaky").count() == 4 and good <= want
+        except OSError:
+            assert good > want
+        assert len(asked) == want
