@@ -172,7 +172,7 @@ def average_ranks(df: DataFrame, by: str, value: str, into: str) -> DataFrame:
     first = Window.partitionBy("_b")
     bases = sums.select("_p", "_b", (F.col("_all") - F.min("_all").over(first)).alias("_base"))  # a row for every 100,000 values
     upto = F.sum("_c").over(Window.partitionBy("_p", "_b").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = parts.withColumn("_upto", upto).join(F.broadcast(bases), ["_p", "_b"])
+    ranks = parts.withColumn("_upto", upto).join(bases, ["_p", "_b"])
     ranks = ranks.select("_b", "_v", (F.col("_base") + F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(into))
     return df.join(ranks, (F.col(by) == F.col("_b")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_b", "_v")
 
