@@ -104,3 +104,18 @@ def test_interlaced_rows_and_broken_files():
     for bad in (good[:-30], good[:5], b"PNG" + good, good[:20]):
         with pytest.raises(M.BadImage):
             list(M.decode_frames(bad))
+
+
+def test_bad_files_are_rows_with_an_error(spark):
+    good = M.store_payload("x" * 60_000)[1]
+    huge = good[:6] + struct.pack("<HH", 65_535, 65_535) + good[10:]
+    wide = good.replace(struct.pack("<BHHHHB", 0x2C, 0, 0, 192, 256, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, 65_535, 65_535, 0), 1)
+    rows = [(1, 5, good), (2, 5, huge), (3, 5, good[:-40]), (4, 5, b""), (5, 5, wide)]
+    files = spark.createDataFrame([(k, n, bytearray(d)) for k, n, d in rows], "doc_id long, n_bytes long, media binary").coalesce(1)
+    got = {r["doc_id"]: r for r in M.media_features(files).collect()}
+    assert got[1]["error"] is None and got[1]["n_frames"] == 2
+    for k, _, data in rows[1:]:
+        assert got[k]["error"] and got[k]["feature"] is None and got[k]["payload_sha256"] is None and got[k]["media_bytes"] == len(data)
+    frames = [(r["doc_id"], r["frame"]) for r in M.timed_frames(files).orderBy("doc_id", "start_ms").collect() if r["error"] is None]
+    assert frames == [(1, 0), (1, 1), (3, 0)]
+    assert {r["doc_id"] for r in M.timed_frames(files).where("error is not null").collect()} == {2, 3, 4, 5}

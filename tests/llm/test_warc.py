@@ -63,3 +63,28 @@ def test_broken_records_are_refused():
     for bad in (good[:-1], good.replace(b"WARC/1.1", b"WARC/9"), good.replace(b"abc\r\n", b"abd\r\n"), good.replace(b"WARC-Type: response", b"WARC-Type: other"), good.replace(b"WARC-Date:", b"No-Date:")):
         with pytest.raises(warc.BadRecord):
             warc.parse_record(bad)
+
+
+def test_broken_records_are_rows_with_an_error(spark):
+    from millrace.llm.runtime import SharedFiles
+
+    good = [warc.build_record(i, "u", b"abc%d" % i, warc.digest(b"abc%d" % i), None) for i in range(4)]
+    bad = [good[0][:-1], good[1].replace(b"<urn:page:1>", b"<urn:page:x>"), good[2].replace(b"WARC-Payload-Digest", b"No-Digest"), good[3].replace(b"Content-Length: 4\r\n\r\n", b"Content-Length: z\r\n\r\n", 1)]
+    root = scratch(spark, "warc")
+    files = SharedFiles(root)
+    files.write("00000.warc.zst", warc.archive([good[0], *bad, good[3]], b""))
+    files.write("00001.warc.zst", [b"".join(warc.archive(good[:2], b""))[:-6]])
+    files.write("00002.warc.zst", [b"no archive at all"])
+    rows = warc.read_archives(spark, root, [f"0000{k}.warc.zst" for k in range(3)]).collect()
+    read = sorted((r["archive"], r["page_id"]) for r in rows if r["error"] is None)
+    assert read == [("00000.warc.zst", 0), ("00000.warc.zst", 3), ("00001.warc.zst", 0)]
+    assert sorted(r["archive"][:5] for r in rows if r["error"]) == ["00000"] * 4 + ["00001", "00002"]
+    assert all(r["page_id"] is None and r["payload"] is None for r in rows if r["error"])
+
+
+def test_clashing_names(spark):
+    pages = spark.createDataFrame(ROWS, PAGES)
+    for c in ("n", "url_", "refers_to", "payload_digest", "archive", "error", "i", "t", "page"):
+        pages = pages.withColumn(c, F.lit("x"))
+    root = scratch(spark, "warc")
+    assert warc.read_archives(spark, root, warc.write_archives(pages, root)).where("error is null").count() == len(ROWS)
