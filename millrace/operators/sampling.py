@@ -72,9 +72,7 @@ def sample_times(df: DataFrame, n: int, key: str, shuffle: bool = True, seed: in
     if not total:
         return df
     copies, rest = divmod(n, total)
-    out = df.crossJoin(F.broadcast(df.sparkSession.range(copies))).drop("id") if copies and "id" not in df.columns else None
-    if copies and out is None:
-        out = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_copy")
+    out = df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("__copy") if copies else None
     drawn = df.withColumn("__draw", draw(F.col(key), seed) if shuffle else F.col(key))
     more = ranked(drawn, "__draw", "__row", key).where(F.col("__row") < rest).select(*df.columns) if rest else df.limit(0)
     return out.unionByName(more) if out is not None else more
