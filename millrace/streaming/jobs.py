@@ -6,6 +6,7 @@ micro-batch to the next flush when a row that marks the end of a key comes.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,13 +52,31 @@ def pack_stream(stream: DataFrame, key: str, item: str, length: str, volume: int
     return stream.groupBy(key).applyInPandasWithState(run, "shard long, items array<long>, filled long", "items array<long>, sizes array<long>", "append", "NoTimeout")
 
 
-def session_stream(stream: DataFrame, key: str, order: list[str], begins: str, value: str) -> DataFrame:
-    """(key, session, n, total) of closed sessions; one closes when the next begins or at a row whose value is null."""
+def session_stream(stream: DataFrame, key: str, order: list[str], begins: str, value: str, delay: str | None = None) -> DataFrame:
+    """(key, session, n, total) of closed sessions; one closes when the next begins or at a row whose value is null.
+
+    Rows are put in order within a micro-batch. With ``delay`` the first column
+    of ``order`` is event time: a row waits in the state until the watermark has
+    passed it, so rows that come late by up to ``delay`` find their place whatever
+    the micro-batch; later ones go. A row without a time ends its key at once.
+    """
+    waits = delay is not None
+    if waits:
+        stream = stream.withWatermark(order[0], delay)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        session, n, total = state.get if state.exists else (0, 0, 0.0)
+        session, n, total, held = state.get if state.exists else (0, 0, 0.0, [])
+        rows = [r for batch in batches for r in batch[[*order, begins, value]].to_dict("records")]
+        rows += [dict(zip([*order, begins, value], pickle.loads(bytes(x)))) for x in held or []]
+        rows.sort(key=lambda r: [(pd.isna(r[c]), 0 if pd.isna(r[c]) else r[c]) for c in order])
+        ended = any(pd.isna(r[value]) for r in rows)
+        later = []
+        if waits and not ended:
+            passed = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+            later = [r for r in rows if r[order[0]] > passed]
+            rows = [r for r in rows if r[order[0]] <= passed]
         out = []
-        for r in pd.concat(list(batches)).sort_values(order, na_position="last").to_dict("records"):
+        for r in rows:
             end = pd.isna(r[value])
             if (r[begins] and not end) or end:
                 if n:
@@ -65,10 +84,13 @@ def session_stream(stream: DataFrame, key: str, order: list[str], begins: str, v
                 session, n, total = session + 1, 0, 0.0
             if not end:
                 n, total = n + 1, total + float(r[value])
-        state.update((session, n, total))
+        state.update((session, n, total, [pickle.dumps(list(r.values())) for r in later]))
+        if later:
+            state.setTimeoutTimestamp(max(int(min(r[order[0]] for r in later).timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "session", "n", "total"])
 
-    return stream.groupBy(key).applyInPandasWithState(run, "key long, session long, n long, total double", "session long, n long, total double", "append", "NoTimeout")
+    state = "session long, n long, total double, held array<binary>"
+    return stream.groupBy(key).applyInPandasWithState(run, "key long, session long, n long, total double", state, "append", "EventTimeTimeout" if waits else "NoTimeout")
 
 
 def shuffle_stream(stream: DataFrame, lane: str, row: str, buffer: int = 1000, seed: int = 42) -> DataFrame:

@@ -113,3 +113,28 @@ def test_hubs_are_asked_three_times_and_folders_once(spark):
         except OSError:
             assert good > want
         assert len(asked) == want
+
+
+def test_late_rows_find_their_session(spark, tmp_path):
+    """Rows of three files, each late by less than the delay; the order within a file tells nothing."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(minutes=i), 1 + i % 2, i % 8 < 2, 1.0) for i in range(120)]
+    parts = [[], [], []]
+    for i, r in enumerate(rows):
+        parts[min(i // 40 + (i % 40 > 30 and i % 3 == 0), 2)].append(r)  # some come one file late
+    ends = [(None, k, True, None) for k in (1, 2)]
+    schema = "ts timestamp, k long, begins boolean, v double"
+    for n, part in enumerate([*parts, ends]):
+        spark.createDataFrame(part[::-1], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+    stream = jobs.read_stream(spark, f"{tmp_path}/feed", "*.parquet", spark.read.parquet(f"{tmp_path}/feed").schema, 1)
+    got = jobs.run_to_table(jobs.session_stream(stream, "k", ["ts"], "begins", "v", "1 hour"), f"{tmp_path}/out", f"{tmp_path}/mark").collect()
+    want = {}
+    for k in (1, 2):
+        session = 0
+        for _, kk, begins, _ in rows:
+            if kk == k:
+                session += begins
+                want[k, session] = want.get((k, session), 0) + 1
+    assert {(r["key"], r["session"]): r["n"] for r in got} == want and len(got) == len(want)
