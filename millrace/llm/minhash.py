@@ -222,6 +222,7 @@ def compared(open_: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], Da
     spark = open_.sparkSession
     by_label = open_.groupBy("bucket", "label").count()
     largest = by_label.groupBy("bucket").agg(F.max(F.struct("count", "label"))["label"].alias("largest"), F.ceil(F.sum("count") / banding.chunk).cast("int").alias("chunks"))
+    largest = cut(largest, "largest")  # a side of its own, as in `link`
     rows = open_.join(largest, "bucket").select("bucket", "node", "label", "chunks", (F.col("label") != F.col("largest")).alias("minor"))
     held = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("passing", F.lit(False))
     passing = rows.where("minor and chunks > 1").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("passing", F.lit(True))
