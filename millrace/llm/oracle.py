@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, prefix_trie
+from millrace.llm import chat, phrases, prefix_trie
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -45,4 +45,4 @@ r(doc_id, root) as (select doc_id, doc_id from d union select r.doc_id, b.y from
 select doc_id, coalesce(n.n, 0) as n_shingles, min(root) as component_id, min(root) = doc_id as kept from r left join n using (doc_id) group by doc_id, n.n
 """
 
-ORACLE_SQL = {"op1_decontamination": DECONTAMINATION, "op6_warc": WARC, "op8_minhash": MINHASH, "op9_perspectives": chat.SQL, "op12_prefix_trie": prefix_trie.SQL}
+ORACLE_SQL = {"op1_decontamination": DECONTAMINATION, "op6_warc": WARC, "op8_minhash": MINHASH, "op9_perspectives": chat.SQL, "op11_phrases": phrases.SQL, "op12_prefix_trie": prefix_trie.SQL}

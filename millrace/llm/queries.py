@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, decontaminate, media, minhash, packing, passages, prefix_trie, quality, sharding, token_files, warc
+from millrace.llm import bpe, chat, decontaminate, media, minhash, packing, passages, phrases, prefix_trie, quality, sharding, token_files, warc
 from millrace.llm.oracle import ORACLE_SQL  # noqa: F401
 from millrace.llm.runtime import prepare, scratch
 
@@ -78,6 +78,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -88,5 +92,5 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_files, op3_sharding, op4_packing, op5_passages, op6_warc, op7_quality, op8_minhash, op9_perspectives, op10_media, op12_prefix_trie, op13_bpe)
+    for f in (op1_decontamination, op2_token_files, op3_sharding, op4_packing, op5_passages, op6_warc, op7_quality, op8_minhash, op9_perspectives, op10_media, op11_phrases, op12_prefix_trie, op13_bpe)
 }

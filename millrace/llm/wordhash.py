@@ -56,6 +56,8 @@ class Words:
     edges: np.ndarray
     last_byte: np.ndarray | None = None
     ends_line: np.ndarray | None = None  # whether a line end follows the word
+    starts: np.ndarray | None = None  # bytes of each word in the texts, with a line end before each text
+    ends: np.ndarray | None = None
 
 
 def _hash_buffer(texts: list[bytes], separators: np.ndarray) -> Words:
@@ -71,7 +73,7 @@ def _hash_buffer(texts: list[bytes], separators: np.ndarray) -> Words:
     edges = np.concatenate([[0], np.searchsorted(starts, np.cumsum(lengths + 1))])
     lines = np.cumsum(buffer == 10)
     after = np.append(starts[1:], len(buffer) - 1)
-    return Words(hashes, edges, buffer[ends - 1], lines[after] > lines[ends - 1])
+    return Words(hashes, edges, buffer[ends - 1], lines[after] > lines[ends - 1], starts, ends)
 
 
 def places(text: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
