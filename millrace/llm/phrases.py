@@ -34,18 +34,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import wordhash
-from millrace.llm.runtime import cut, prepare, tidy
+from millrace.llm.runtime import cut, discard, free_shuffles, prepare, tidy
 
 U = np.uint64
 SECTION_BITS = 16
-HELD = 400_000
+HELD, RECENT = 1_000_000, 1 << 16
 FULL = 255
 #: Bytes that end a piece, and those that end a word.
 PIECE = np.isin(np.arange(256), [*b".,;:!?", *range(10, 14)])
 WORD = PIECE | np.isin(np.arange(256), [32, 9])
-PARTIAL = "lang string, phrase string, hash long, n long, section int, cells binary"
+PARTIAL = "lang string, phrase string, n long, section int, cells binary"
 NAMES = [c.split()[0] for c in PARTIAL.split(", ")]
-KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+KINDS = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
 
 
 class Buckets:
@@ -80,10 +80,57 @@ class Bitmap:
         return (self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def rows_of(cells, counts=()) -> pa.RecordBatch:
-    rows = [(*c, None, None) for c in counts] + [(None, None, None, None, *c) for c in cells]
-    cols = zip(*rows) if rows else [()] * len(KINDS)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, KINDS)], NAMES)
+class Counts:
+    """Counts of phrases by hash: sorted arrays, and a small table of what came since they were sorted."""
+
+    def __init__(self):
+        self.keys, self.slots = np.empty(0, U), np.empty(0, "i8")
+        self.recent: dict[int, int] = {}
+        self.langs: list[str] = []
+        self.texts: list[bytes] = []
+        self.n = np.zeros(RECENT, "i8")
+
+    def add(self, keys: np.ndarray, n: np.ndarray, name) -> None:
+        """``keys`` differ; ``name`` gives the language and text of the one at a place."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        old = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.n[self.slots[at[old]]] += n[old]
+        recent = self.recent
+        new = np.flatnonzero(~old)
+        slots = []
+        for i, key in zip(new.tolist(), keys[new].tolist()):
+            slot = recent.get(key)
+            if slot is None:
+                slot = recent[key] = len(self.texts)
+                lang, text = name(i)
+                self.langs.append(lang)
+                self.texts.append(text)
+            slots.append(slot)
+        if len(self.texts) > len(self.n):
+            self.n = np.concatenate([self.n, np.zeros(max(len(self.n), len(self.texts)), "i8")])
+        self.n[slots] += n[new]
+        if len(recent) > RECENT:
+            keys = np.concatenate([self.keys, np.fromiter(recent.keys(), U, len(recent))])
+            order = np.argsort(keys)
+            self.keys, self.slots = keys[order], np.concatenate([self.slots, np.fromiter(recent.values(), "i8", len(recent))])[order]
+            recent.clear()
+
+    def rows(self, size: int = 1 << 16):
+        """What was counted, in batches."""
+        for a in range(0, len(self.texts), size):
+            texts = pa.array(self.texts[a : a + size], pa.binary()).cast(pa.string())
+            yield batch_of(pa.array(self.langs[a : a + size], pa.string()), texts, pa.array(self.n[a : a + len(texts)]))
+
+
+def batch_of(*cols: pa.Array) -> pa.RecordBatch:
+    """A batch of :data:`PARTIAL` from its first columns or its last two."""
+    none = [pa.nulls(len(cols[0]), k) for k in KINDS]
+    return pa.RecordBatch.from_arrays([*cols, *none[len(cols) :]] if len(cols) == 3 else [*none[: -len(cols)], *cols], NAMES)
+
+
+def cells_of(buckets: Buckets) -> list[pa.Array]:
+    rows = list(buckets.filled())
+    return [pa.array([r[i] for r in rows], KINDS[i - 2]) for i in (0, 1)]
 
 
 def hashed(texts: list[bytes], langs: list[str]) -> tuple[wordhash.Words, np.ndarray, np.ndarray]:
@@ -128,9 +175,7 @@ def level(docs: DataFrame, size: int, last: bool, bits: int, known, allowed) ->
         before = Bitmap(bits, known.value) if known else None
         bucket = Bitmap(bits, allowed.value) if allowed else None
         buckets = None if last else Buckets(bits)
-        counts: dict[int, int] = {}
-        names: dict[int, tuple[str, str]] = {}
-        given = lambda: rows_of((), [(*names[k], k if k < 1 << 63 else k - (1 << 64), n) for k, n in counts.items()])
+        counts = Counts()
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for first, end, texts in wordhash.buffers(batch.column(1).to_pylist()):
@@ -147,25 +192,21 @@ def level(docs: DataFrame, size: int, last: bool, bits: int, known, allowed) ->
                     buckets.add(longer[whole & there & shifted(there)])
                 at = np.flatnonzero(there)
                 keys, where, n = np.unique(grams[at], return_index=True, return_counts=True)
-                data = None
-                for key, place, times in zip(keys.tolist(), at[where].tolist(), n.tolist()):
-                    if key in counts:
-                        counts[key] += times
-                        continue
-                    if data is None:
-                        data = b"\n" + b"\n".join(texts)
-                        text_of = np.searchsorted(found.edges, at[where], side="right").tolist()
-                        text_of = dict(zip(at[where].tolist(), text_of))
-                    words = [data[found.starts[i] : found.ends[i]] for i in range(place, place + size)]
-                    counts[key] = times
-                    names[key] = langs[first + text_of[place] - 1], b" ".join(words).lower().decode()
-                if len(counts) > HELD:
-                    yield given()
-                    counts.clear()
-                    names.clear()
-        yield given()
+                at = at[where]
+                text_of = np.searchsorted(found.edges, at, side="right") - 1 + first
+                data = (b"\n" + b"\n".join(texts)).lower()
+                starts, ends = [[x[at + k].tolist() for k in range(size)] for x in (found.starts, found.ends)]
+
+                def name(i):
+                    return langs[text_of[i]], b" ".join(data[a[i] : b[i]] for a, b in zip(starts, ends))
+
+                counts.add(keys, n, name)
+                if len(counts.texts) > HELD:
+                    yield from counts.rows()
+                    counts = Counts()
+        yield from counts.rows()
         if buckets:
-            yield rows_of(list(buckets.filled()))
+            yield batch_of(*cells_of(buckets))
         tidy()
 
     return docs.mapInArrow(run, PARTIAL)
@@ -194,16 +235,19 @@ def bitmap(cells: DataFrame, bits: int, least: int) -> np.ndarray:
     return out
 
 
-def marked(frequent: DataFrame, bits: int) -> DataFrame:
-    """Cells (section, cells) that the hashes of all frequent phrases fill."""
+def marked(frequent: DataFrame, size: int, bits: int) -> DataFrame:
+    """Cells (section, cells) that the hashes of all frequent phrases of ``size`` words fill."""
 
     def run(batches):
         buckets = Buckets(bits)
         for batch in batches:
-            buckets.add(np.asarray(batch.column(0)).astype("i8").view(U), FULL)
-        yield rows_of(list(buckets.filled())).select(["section", "cells"])
+            langs = batch.column(0).to_pylist()
+            for first, end, texts in wordhash.buffers(batch.column(1).to_pylist()):
+                found, h, goes_on = hashed(texts, langs[first:end])
+                buckets.add(gram_hashes(h, goes_on, size)[0][found.edges[:-1]], FULL)
+        yield pa.RecordBatch.from_arrays(cells_of(buckets), ["section", "cells"])
 
-    return frequent.select("hash").mapInArrow(run, "section int, cells binary")
+    return frequent.select("lang", "phrase").mapInArrow(run, "section int, cells binary")
 
 
 def frequent_phrases(docs: DataFrame, longest: int, least: int, bits: int, lang_col: str, text_col: str) -> tuple[list[DataFrame], DataFrame]:
@@ -217,11 +261,13 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, bits: int, lang_
         counted = partial.where("phrase is not null")
         if size == 1:
             totals = cut(counted.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        found = cut(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("hash").alias("hash")).where(F.col("f") >= least), f"frequent-{size}")
-        tables.append(found.select("lang", "phrase", "f"))
+        found = cut(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), f"frequent-{size}")
+        tables.append(found)
         if size < longest:
-            known = spark.sparkContext.broadcast(bitmap(marked(found, bits), bits, FULL))
+            known = spark.sparkContext.broadcast(bitmap(marked(found, size, bits), bits, FULL))
             allowed = spark.sparkContext.broadcast(bitmap(partial.where("cells is not null"), bits, least))
+        discard(partial)
+        free_shuffles(spark)
     return tables, totals
 
 

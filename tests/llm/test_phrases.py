@@ -60,7 +60,8 @@ def test_longer_phrases_and_other_limits(spark):
 
 
 def test_tables_given_out_early(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "HELD", 5)
+    monkeypatch.setattr(phrases, "HELD", 50)
+    monkeypatch.setattr(phrases, "RECENT", 5)
     check(spark, made(5), bits=10)
 
 
