@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.canonical import row_key
 from millrace.operators.normalize import message, prepend_once
 
 
@@ -74,15 +75,14 @@ def find_all(tokens: Column, part: Column) -> Column:
 # --- joins -----------------------------------------------------------------
 
 
-def json_key(row: Column) -> Column:
-    """MD5 of a row's JSON."""
-    return F.md5(F.to_json(row))
+def cached_join(df: DataFrame, cache: DataFrame, fields: list[str], wanted: int, key: str = "row_md5", count: str = "n_choices") -> tuple[DataFrame, DataFrame]:
+    """(rows with what the cache has for them, rows that still need work), by the identity of ``fields``.
 
-
-def cached_join(df: DataFrame, cache: DataFrame, key: str, wanted: int, count: str = "n_choices") -> tuple[DataFrame, DataFrame]:
-    """(rows with what the cache has for them, rows that still need work)."""
+    The cache has a row for each ``key``; rows with fewer than ``wanted`` choices are worked on again.
+    """
+    keyed = df.withColumn(key, row_key(*fields))
     done = cache.where(F.col(count) >= wanted).select(key)
-    return df.join(cache, key, "left"), df.join(done, key, "left_anti")
+    return keyed.join(cache, key, "left"), keyed.join(done, key, "left_anti")
 
 
 def with_existing(df: DataFrame, listing: DataFrame, path: str) -> DataFrame:
@@ -128,37 +128,86 @@ def union_all(*frames: DataFrame) -> DataFrame | None:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 
+def source_of(place: Column, edges: list[float], seed: int) -> Column:
+    """The source that the draw of a place gives; arithmetic on its number."""
+    from millrace.operators.sampling import PRIME, draw
+
+    u = draw(place, seed) / float(PRIME)
+    source = F.lit(len(edges) - 1)
+    for k in range(len(edges) - 2, -1, -1):
+        source = F.when(u < edges[k], F.lit(k)).otherwise(source)
+    return source
+
+
+def draws_by_block(spark, source: Column, low: int, high: int, blocks: int = 1024) -> tuple[int, dict[int, dict[int, int]]]:
+    """(width of a block, draws of each source by block) of the places from ``low`` to ``high`` - 1."""
+    width = max(1, -(-(high - low) // blocks))
+    rows = spark.range(low, high).groupBy(source.alias("s"), F.floor((F.col("id") - low) / width).alias("b")).count().collect()
+    out: dict[int, dict[int, int]] = {}
+    for r in rows:
+        out.setdefault(r["s"], {})[r["b"]] = r["count"]
+    return width, out
+
+
+def last_place(spark, source: Column, shares: list[float], sizes: list[int], stop: str) -> int:
+    """Where a source (``first_exhausted``) or all of them have been drawn as often as they have rows.
+
+    Places are drawn up to a little more than the shares let expect, and twice as
+    many where that is too few; then counts by block lead to the place. The
+    driver sees at most 1,024 counts of a source at a time.
+    """
+    pick = min if stop == "first_exhausted" else max
+    length = int(1.1 * pick(n / w for n, w in zip(sizes, shares))) + 64
+    while True:
+        width, counts = draws_by_block(spark, source, 0, length)
+        reached = [k for k, n in enumerate(sizes) if sum(counts.get(k, {}).values()) >= n]
+        if reached and (pick is min or len(reached) == len(sizes)):
+            break
+        length *= 2
+
+    def place(k: int, low: int, high: int, width: int, counts: dict[int, int], n: int) -> int:
+        """The place of the n-th draw of source k."""
+        for b in sorted(counts):
+            if counts[b] >= n:
+                low, high = low + b * width, min(low + (b + 1) * width, high)
+                break
+            n -= counts[b]
+        if width == 1:
+            return low
+        width, inner = draws_by_block(spark, source, low, high)
+        return place(k, low, high, width, inner[k], n)
+
+    return pick(place(k, 0, length, width, counts[k], sizes[k]) for k in reached)
+
+
 def interleave(frames: list[DataFrame], weights: list[float], ordinal: str, seed: int = 42, stop: str = "first_exhausted", sizes: list[int] | None = None) -> DataFrame:
     """Rows in an order drawn by weights, with their place in ``position``.
 
     The draw of a place is arithmetic on its number, so it is made where the row
-    is. The lengths of the sources say where to stop; an exhausted source
-    begins again under ``all_exhausted``.
+    is, and counts of draws say where to stop: as many places are drawn as rows
+    are given out. An exhausted source begins again under ``all_exhausted``.
+    Every source has rows, and every weight is above 0.
     """
+    from millrace.operators.sampling import ranked
+
     spark = frames[0].sparkSession
     sizes = sizes or [f.count() for f in frames]
+    if not all(sizes) or not all(w > 0 for w in weights):
+        raise ValueError("sources have rows, and weights are above 0")
+    shares = [w / sum(weights) for w in weights]
     edges, total = [], 0.0
-    for w in weights:
-        total += w / sum(weights)
+    for w in shares:
+        total += w
         edges.append(total)
-    from millrace.operators.sampling import PRIME, draw, ranked
-
-    length = int(4 * sum(sizes) / min(w / sum(weights) for w in weights) + 64)
-    u = draw(F.col("id"), seed) / float(PRIME)
-    source = F.lit(len(edges) - 1)
-    for k in range(len(edges) - 2, -1, -1):
-        source = F.when(u < edges[k], F.lit(k)).otherwise(source)
-    places = spark.range(length).select(F.col("id").alias("position"), source.alias("source"))
-    parts = [ranked(places.where(F.col("source") == k), "position", "take") for k in range(len(frames))]
-    ends = [p.where(F.col("take") == sizes[k] - 1).agg(F.min("position").alias("end")) for k, p in enumerate(parts)]
-    ends = reduce(lambda a, b: a.union(b), ends)
-    last = ends.agg((F.min("end") if stop == "first_exhausted" else F.max("end")).alias("last"))  # one row
+    source = source_of(F.col("id"), edges, seed)
+    last = last_place(spark, source, shares, sizes, stop)
+    places = spark.range(last + 1).select(F.col("id").alias("position"), source.alias("source"))
     out = []
     for k, f in enumerate(frames):
-        numbered = ranked(f, ordinal, "_row")
-        rows = parts[k].withColumn("_row", F.col("take") % sizes[k]).join(numbered, "_row").drop("_row", "take")
+        takes = ranked(places.where(F.col("source") == k), "position", "_take")
+        rows = takes.withColumn("_row", F.col("_take") % sizes[k]).join(ranked(f, ordinal, "_row"), "_row").drop("_row", "_take")
         out.append(rows)
-    return union_all(*out).crossJoin(F.broadcast(last)).where(F.col("position") <= F.col("last")).drop("last")
+    return union_all(*out)
 
 
 def distinct_paths(df: DataFrame, paths: str) -> DataFrame:

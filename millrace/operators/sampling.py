@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.selection import first_of_groups, first_rows
 from millrace.sources.workers import written
 
 PRIME = 2147483647
@@ -41,17 +42,14 @@ def ranked(df: DataFrame, order: str, name: str, *tie: str) -> DataFrame:
 
 def balance_largest(df: DataFrame, category: str, first_score: str, second_score: str, composite: str, order: str, times: int = 3) -> DataFrame:
     """The largest category cut to ``times`` the second; rows with both scores 10 first, then by composite, then by order."""
-    sizes = df.groupBy(category).count()
-    by_size = Window.orderBy(F.desc("count"), category)
-    top = sizes.withColumn("_n", F.row_number().over(by_size)).where("_n <= 2")
-    cap = top.agg(F.max_by(category, F.lit(0) - F.col("_n")).alias("_largest"), F.min("count").alias("_second"), F.count("*").alias("_k"))
+    top = df.groupBy(category).count().orderBy(F.desc("count"), category).limit(2).collect()
+    if len(top) < 2 or top[0][category] is None:
+        return df
+    in_largest = F.col(category).eqNullSafe(F.lit(top[0][category]))
     first = (F.col(first_score) == 10) & (F.col(second_score) == 10)
-    marked = df.crossJoin(F.broadcast(cap))  # one row
-    large = marked.where((F.col(category) == F.col("_largest")) & (F.col("_k") == 2))
-    limit = F.col("_second") * times
-    kept = ranked(large.withColumn("_first", F.when(first, 0).otherwise(1)).withColumn("_minus", -F.col(composite)), "_first", "_row", "_minus", order).where(F.col("_row") < limit)
-    rest = marked.where((F.col(category) != F.col("_largest")) | (F.col("_k") < 2) | F.col("_largest").isNull())
-    return rest.select(*df.columns).unionByName(kept.select(*df.columns))
+    large = df.where(in_largest).withColumns({"_late": F.when(first, 0).otherwise(1), "_minus": -F.col(composite)})
+    kept = first_rows(large, times * top[1]["count"], "_late", "_minus", order, into="_in").where("_in")
+    return df.where(~in_largest).unionByName(kept.select(*df.columns))
 
 
 def drop_small(df: DataFrame, category: str, least: int = 10) -> DataFrame:
@@ -74,7 +72,7 @@ def sample_times(df: DataFrame, n: int, key: str, shuffle: bool = True, seed: in
     copies, rest = divmod(n, total)
     out = df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("__copy") if copies else None
     drawn = df.withColumn("__draw", draw(F.col(key), seed) if shuffle else F.col(key))
-    more = ranked(drawn, "__draw", "__row", key).where(F.col("__row") < rest).select(*df.columns) if rest else df.limit(0)
+    more = first_rows(drawn, rest, "__draw", key, into="__in").where("__in").select(*df.columns) if rest else df.limit(0)
     return out.unionByName(more) if out is not None else more
 
 
@@ -85,8 +83,8 @@ def split_train_val(df: DataFrame, key: str, ratio: float, seed: int = 42) -> tu
         return df, df.limit(0)
     if ratio == 1:
         return df.limit(0), df
-    marked = ranked(df.withColumn("_draw", draw(F.col(key), seed)), "_draw", "_row", key)
-    return marked.where(F.col("_row") >= n).drop("_row", "_draw"), marked.where(F.col("_row") < n).drop("_row", "_draw")
+    marked = first_rows(df.withColumn("_draw", draw(F.col(key), seed)), n, "_draw", key, into="_val").drop("_draw")
+    return marked.where(~F.col("_val")).drop("_val"), marked.where("_val").drop("_val")
 
 
 def split_head(df: DataFrame, ordinal: str, val: int, n: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -96,16 +94,13 @@ def split_head(df: DataFrame, ordinal: str, val: int, n: int | None = None) -> t
 
 
 def split_by_type(df: DataFrame, kind: str, key: str, share: float = 0.1, large: int = 20_000, fixed: int = 1000, seed: int = 42) -> DataFrame:
-    """A ``split`` column: of each kind a fixed number (large kinds) or a share, at least one, is test; rows without a kind go.
-
-    Rows are numbered once over all kinds, so a large kind is no large task.
-    """
-    rows = ranked(df.where(F.col(kind).isNotNull()).withColumn("_draw", draw(F.col(key), seed)), kind, "_row", "_draw", key)
-    sizes = rows.groupBy(F.col(kind).alias("_kind")).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    quota = F.when(F.col("_n") > large, F.lit(fixed)).otherwise(F.greatest(F.floor(F.col("_n") * share), F.lit(1)))
-    test = F.col("_row") - F.col("_first") < quota
-    marked = rows.join(sizes, F.col(kind) == F.col("_kind"))
-    return marked.withColumn("split", F.when(test, "test").otherwise("train")).select(*df.columns, "split")
+    """A ``split`` column: of each kind a fixed number (large kinds) or a share, at least one, is test; rows without a kind go."""
+    rows = df.where(F.col(kind).isNotNull()).withColumn("_draw", draw(F.col(key), seed))
+    n = F.col("count")
+    quota = F.when(n > large, F.lit(fixed)).otherwise(F.greatest(F.floor(n * share), F.lit(1)))
+    quotas = rows.groupBy(kind).count().select(kind, quota.cast("long").alias("k"))
+    marked = first_of_groups(rows, quotas, kind, "_draw", "_draw", key, into="_test")
+    return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).select(*df.columns, "split")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -256,15 +251,19 @@ def allocate_budget(df: DataFrame, root: str, order: str, weight: str, budget: i
 
 
 def batch_shares(df: DataFrame, key: str, ranks: int, batch: int, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """(rank, batch number) of each row of a seeded order; what fills no whole share or batch is left out."""
+    """(rank, batch number) of each row of a seeded order; what fills no whole share or batch is left out.
+
+    Only keys and what is drawn from them are ranked; ``key`` is unique, and other columns are joined to it.
+    """
     total = df.count()
     per = total // ranks // batch * batch
     if not per:
         return df.withColumns({"rank": F.lit(0), "batch": F.lit(0)}).limit(0)
-    rows = ranked(df.withColumn("_draw", draw(F.col(key), seed + epoch)), "_draw", "_row", key)
+    rows = ranked(df.select(key, draw(F.col(key), seed + epoch).alias("_draw")), "_draw", "_row", key)
     share = total // ranks
     rows = rows.withColumn("rank", F.floor(F.col("_row") / share).cast("int")).withColumn("_in", F.col("_row") % share)
-    return rows.where((F.col("rank") < ranks) & (F.col("_in") < per)).withColumn("batch", F.floor(F.col("_in") / batch).cast("int")).drop("_row", "_draw", "_in")
+    rows = rows.where((F.col("rank") < ranks) & (F.col("_in") < per)).select(key, "rank", F.floor(F.col("_in") / batch).cast("int").alias("batch"))
+    return (rows if df.columns == [key] else df.join(rows, key)).select(*df.columns, "rank", "batch")
 
 
 def contiguous_piece(df: DataFrame, ordinal: str, total: int, piece: int, pieces: int) -> DataFrame:

@@ -107,8 +107,8 @@ def valid_rejected(messages: Column, rejected: Column) -> Column:
     return F.coalesce(rejected.isNotNull() & (F.element_at(messages, -1)["content"] != rejected), F.lit(False))
 
 
-def tolerant(df: DataFrame, ok: Column, strict: bool = False) -> DataFrame:
-    """Rows for which a check holds; with ``strict`` another row is an error."""
+def checked(df: DataFrame, ok: Column, strict: bool = False) -> DataFrame:
+    """Rows for which a check holds; with ``strict`` another row is an error. For functions of rows see :mod:`millrace.operators.rows`."""
     good = F.coalesce(ok, F.lit(False))
     return df.where(F.when(good, True).otherwise(F.raise_error(F.lit("a row broke the check")).cast("boolean"))) if strict else df.where(good)
 

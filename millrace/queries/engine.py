@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from millrace.operators import metrics, normalize, reshape
+from millrace.operators.rows import RowFunction
 from millrace.plans import curation, loading
 from millrace.plans.presets import PRESETS
 from millrace.queries.base import CONVS, SAMPLES, query, read, samples
@@ -276,9 +277,22 @@ def resumable(spark, sf_dir):
     return spark.read.parquet(out).agg(F.count("*").alias("n"), F.countDistinct("batch").alias("batches"))
 
 
-@query("D1_transform", "select doc_id, upper(lang) as lang from documents")
+def spoken(row: dict):
+    """A row function as users write them: the words of a turn as rows, system turns none, empty turns an error."""
+    if row["role"] == "system":
+        return None
+    words = row["text"].split()
+    if not words:
+        raise ValueError("no words")
+    return [{"role": row["role"], "word": w, "place": i} for i, w in enumerate(words)]
+
+
+@query("D1_transform", "select conv_id || ':' || turn as key, role, len(w) as words, md5(array_to_string(w, ' ')) as text from (select *, regexp_extract_all(text, '\\S+') as w from conversations where role <> 'system') where len(w) > 0")
 def transform(spark, sf_dir):
-    return read(spark, sf_dir, "documents").transform(lambda df: df.select("doc_id", F.upper("lang").alias("lang")))
+    turns = read(spark, sf_dir, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
+    results, _ = RowFunction(spoken, "role string, word string, place int", ("role", "text"))(turns, "key")
+    words = results.groupBy(F.col("_key").alias("key"), "role").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))  # a turn's words
+    return words.select("key", "role", F.size("w").cast("long").alias("words"), F.md5(F.array_join(F.col("w.word"), " ")).alias("text"))
 
 
 @query("D3_metric", "select event_type, round(avg(value), 6) as mean, count(*) as n from events group by 1")

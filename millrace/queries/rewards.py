@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import rewards as R
+from millrace.functions.canonical import row_key
 from millrace.functions.parts import loss_scale, media_type, message_scales, split_parts, strategy_scales
 from millrace.operators import reshape
 from millrace.operators.normalize import reasoning_wrapper
 from millrace.operators.normalize import self_cognition as fill
-from millrace.queries.base import COMPLETIONS, completions, query, read, scalar, six
+from millrace.queries.base import COMPLETIONS, completions, python_string, query, read, scalar, six
 
 c, s, t = (lambda: F.col("completion")), (lambda: F.col("solution")), (lambda: F.col("text"))
 ANSWER = "trim(regexp_extract(completion, '(?s)<answer>(.*?)</answer>', 1))"
@@ -85,7 +86,11 @@ one("R29_calculator", lambda: R.calculator(F.concat(F.lit("("), F.col("turn"), F
 scalar("R30_react_action", "completions", {"action": (lambda: R.react_action(react())[0], "'look'"), "given": (lambda: R.react_action(react())[1], "'{\"a\": ' || turn || '}'")})
 one("R19_thinking_tips", lambda: R.thinking_tips(R.choice_accuracy(c(), s())), f"case when substring({ANSWER}, 1, 1) = substring(solution, 1, 1) then 1.0::double else 0.0::double end")
 one("X4_media_type", lambda: media_type(F.concat(F.lit("a/b."), F.get(F.array(*map(F.lit, ("MP4", "wav", "png"))), (F.col("turn") % 3).cast("int")))), "case turn % 3 when 0 then 'video' when 1 then 'audio' else 'image' end")
-one("X5_row_key", lambda: reshape.json_key(F.struct("conv_id", "turn")), "md5('{\"conv_id\":' || conv_id || ',\"turn\":' || turn || '}')")
+one(
+    "X5_row_key",
+    lambda: row_key("turn", "text", "conv_id", F.struct(F.lit(None).cast("int").alias("none"), (F.col("turn") / 2).alias("half"), F.array("solution", F.lit("é")).alias("list")).alias("meta"), "choices"),
+    f"""md5('{{"conv_id": ' || conv_id || ', "meta": {{"half": ' || (turn / 2)::double || ', "list": [' || {python_string('solution')} || ', "\\u00e9"], "none": null}}, "text": ' || {python_string('text')} || ', "turn": ' || turn || '}}')""",
+)
 one("X6_find_all", lambda: F.array_join(reshape.find_all(F.transform(F.sequence(F.lit(0), F.col("turn")), lambda x: (x % 2).cast("int")), F.array(F.lit(1), F.lit(0))), ","), "array_to_string([i for i in range(1, turn, 2)], ',')")
 one("X8_reasoning_wrapper", lambda: reasoning_wrapper(t(), s()), "'<think>' || text || '</think>' || chr(10) || chr(10) || '<answer>' || solution || '</answer>'")
 

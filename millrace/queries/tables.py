@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import metrics as A
+from millrace.functions.canonical import json_row_key
 from millrace.operators import reshape, sampling, validate, windows
-from millrace.queries.base import COMPLETIONS, SAMPLES, completions, query, read, samples, six
+from millrace.operators.rows import RowFunction
+from millrace.queries.base import COMPLETIONS, SAMPLES, completions, python_string, query, read, samples, six
 
 REASON = """case when coalesce(answer_accuracy_score, -1) <> 10 then 'answer_accuracy' when coalesce(question_logic_score, 0) < 8 then 'question_logic'
   when coalesce(composite_score, 0) < 7 then 'composite' when should_filter then 'should_filter' end"""
@@ -84,10 +86,33 @@ def contains_mc(spark, sf_dir):
     return read(spark, sf_dir, "documents").where(F.contains(F.concat("source", F.lit("_mc")), F.lit("1_mc"))).select("doc_id")
 
 
-@query("F12_tolerant_map", "select doc_id, i::int as part from documents, (select unnest(range(0, 3)) as i) r where doc_id % 4 <> 0 and i < doc_id % 4")
+def pieces(row: dict):
+    """Sentences of a text as rows: fails for some documents, gives nothing for others, and no row that fits for a few."""
+    if row["doc_id"] % 11 == 0:
+        raise ValueError(f"document {row['doc_id']}")
+    if row["doc_id"] % 4 == 0:
+        return None
+    if row["doc_id"] % 13 == 0:
+        return {"piece": "x", "n": "no number"}
+    parts = [p for p in row["text"].split(".") if p]
+    return {"n": len(row["text"])} if len(parts) == 1 else [{"piece": p, "n": len(p)} for p in parts]
+
+
+PIECES = """with f as (select doc_id, case when doc_id % 11 = 0 then 'ValueError: document ' || doc_id when doc_id % 4 <> 0 and doc_id % 13 = 0 then 'does not fit' end as error, list_filter(string_split(text, '.'), lambda p: p <> '') as parts, text from documents),
+  k as (select *, case when len(parts) = 1 then [{'piece': null, 'n': length(text)}] else list_transform(parts, lambda p: {'piece': p, 'n': length(p)}) end as rows from f where error is null and doc_id % 4 <> 0)"""
+
+
+@query(
+    "F12_tolerant_map",
+    PIECES + """ select doc_id, i - 1 as part, md5(rows[i].piece) as piece, rows[i].n as n, null as error from (select *, unnest(range(1, len(rows) + 1)) as i from k)
+      union all select doc_id, null, null, null, error from f where error is not null""",
+)
 def tolerant_map(spark, sf_dir):
-    docs = validate.tolerant(read(spark, sf_dir, "documents"), F.when(F.col("doc_id") % 4 != 0, True))
-    return docs.select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int") - 1)).alias("part"))
+    docs = read(spark, sf_dir, "documents")
+    results, rejects = RowFunction(pieces, "piece string, n long", ("doc_id", "text"))(docs, "doc_id")
+    error = F.when(F.startswith("_error", F.lit("ValueError")), F.col("_error")).otherwise("does not fit")
+    out = results.select(F.col("_key").cast("long").alias("doc_id"), F.col("_part").alias("part"), F.md5("piece").alias("piece"), "n", F.lit(None).cast("string").alias("error"))
+    return out.unionByName(rejects.select(F.col("_key").cast("long").alias("doc_id"), error.alias("error")), allowMissingColumns=True)
 
 
 @query("F13_kind_whitelist", "select doc_id from documents where lang in ('en', 'fr')")
@@ -631,12 +656,12 @@ def batch_shares(spark, sf_dir):
 def contiguous(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id")
     n = docs.count()
-    return docs.repartitionByRange(4, "doc_id").select("doc_id", F.floor(F.col("doc_id") * 4 / n).cast("int").alias("shard"))
+    return docs.select("doc_id", F.floor(F.col("doc_id") * 4 / n).cast("int").alias("shard"))
 
 
 @query("K17_good_rows", "select doc_id from documents where n_chars > 100")
 def good_rows(spark, sf_dir):
-    return validate.tolerant(read(spark, sf_dir, "documents"), F.col("n_chars") > 100).select("doc_id")
+    return validate.checked(read(spark, sf_dir, "documents"), F.col("n_chars") > 100).select("doc_id")
 
 
 @query("K18_sort_by_request", f"select md5(conv_id::varchar) as request, turn, row_number() over (order by md5(conv_id::varchar), turn) - 1 as place from {COMPLETIONS}")
@@ -654,11 +679,24 @@ def padding(spark, sf_dir):
 # --- joins -----------------------------------------------------------------
 
 
-@query("J1_cached", "select doc_id, quality as cached, quality is null as todo from documents left join labels using (doc_id)")
+@query(
+    "J1_cached",
+    f"""select doc_id, md5('{{"id": ' || doc_id || ', "messages": [{{"content": ' || {python_string('text')} || ', "role": "user"}}, {{"content": ' || {python_string("source || ' é'")} || ', "role": "assistant"}}], "score": ' || (n_chars / 4)::double || ', "system": ' ||
+      case when doc_id % 2 = 0 then 'null' else {python_string('lang')} end || '}}') as row_md5, case when doc_id % 3 <> 0 then doc_id % 6 end as n_choices, not (doc_id % 3 <> 0 and doc_id % 6 >= 4) as todo from documents""",
+)
 def cached(spark, sf_dir):
-    docs, cache = read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("cached"), F.lit(4).alias("n_choices"))
-    found, todo = reshape.cached_join(docs, cache, "doc_id", 4)
-    return found.join(todo.withColumn("t", F.lit(True)), "doc_id", "left").select("doc_id", "cached", F.col("t").isNotNull().alias("todo"))
+    """The cache is lines of JSON with the choices of each row; its fields are in another order than the rows'."""
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    messages = F.array(turn("user", F.col("text")), turn("assistant", F.concat("source", F.lit(" é")))).alias("messages")
+    system = F.when(F.col("doc_id") % 2 != 0, F.col("lang")).alias("system")
+    docs = read(spark, sf_dir, "documents").select(system, F.col("doc_id").alias("id"), messages, (F.col("n_chars") / 4).alias("score"))
+    choices = F.sequence(F.lit(1), F.col("id") % 6)
+    choices = F.when(F.col("id") % 6 > 0, choices).otherwise(F.array().cast("array<bigint>")).alias("choices")
+    lines = docs.where("id % 3 <> 0").select(F.to_json(F.to_variant_object(F.struct(choices, "messages", "score", "system", "id"))).alias("line"))
+    cache = lines.select(json_row_key(F.col("line")).alias("row_md5"), F.size(F.try_variant_get(F.parse_json("line"), "$.choices", "array<variant>")).cast("long").alias("n_choices"))
+    found, todo = reshape.cached_join(docs, cache, ["id", "messages", "score", "system"], 4)
+    left = todo.select(F.col("id").alias("t"))
+    return found.join(left, F.col("id") == F.col("t"), "left").select(F.col("id").alias("doc_id"), "row_md5", "n_choices", F.col("t").isNotNull().alias("todo"))
 
 
 @query("J2_listing", "select url, page_id from pages where page_id % 3 = 0")
