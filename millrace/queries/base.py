@@ -134,7 +134,7 @@ def six(c: Column) -> Column:
 def python_string(text: str) -> str:
     """SQL: a text as Python's json.dumps writes it."""
     code, low = "unicode(ch)", "(unicode(ch) - 65536)"
-    short = " ".join(f"when ch = chr({ord(a)}) then '\{b}'" for a, b in [('"', '"'), ("\\", "\\"), ("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")])
+    short = " ".join(f"when ch = chr({ord(a)}) then '\\{b}'" for a, b in [('"', '"'), ("\\", "\\"), ("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")])
     pair = f"printf('\\u%04x', 55296 + ({low} >> 10)) || printf('\\u%04x', 56320 + ({low} & 1023))"
     one = f"case {short} when {code} between 32 and 126 then ch when {code} < 65536 then printf('\\u%04x', {code}) else {pair} end"
     return f"""'"' || coalesce(array_to_string(list_transform(regexp_extract_all({text}, '(?s).'), lambda ch: {one}), ''), '') || '"'"""

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from millrace.operators import metrics, normalize, reshape
 from millrace.operators.rows import RowFunction
 from millrace.plans import curation, loading
-from millrace.plans.presets import PRESETS
 from millrace.queries.base import CONVS, SAMPLES, query, read, samples
 from millrace.queries.tables import REASON, draw_sql
 from millrace.sources import jsonl
@@ -198,18 +197,6 @@ def load_dataset(spark, sf_dir):
     return reshape.union_all(*[df.agg(F.lit(n).alias("part"), F.count("*").alias("n")) for n, df in (("train", train), ("val", val))])
 
 
-@query("presets", "select 'dolly_15k' as name, count(*) as n, count(*) * 2 as messages from documents union all select 'stsb', count(*) filter (doc_id % 2 = 0), (count(*) filter (doc_id % 2 = 0)) * 2 from documents union all select 'hc3', count(*) * 2, count(*) * 4 from documents union all select 'aishell1', count(*), count(*) * 2 from documents")
-def presets(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    frames = {
-        "dolly_15k": d.select(F.col("source").alias("context"), F.col("lang").alias("instruction"), F.col("text").alias("response")),
-        "stsb": d.select(F.when(F.col("doc_id") % 2 == 0, 0.5).alias("score"), F.col("lang").alias("sentence1"), F.col("source").alias("sentence2")),
-        "hc3": d.select(F.col("source").alias("question"), F.array("lang").alias("human_answers"), F.array("text").alias("chatgpt_answers")),
-        "aishell1": d.select("text", F.col("source").alias("audio")),
-    }
-    return reshape.union_all(*[PRESETS[n](f).agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.sum(F.size("messages")).alias("messages")) for n, f in frames.items()])
-
-
 # --- streams ---------------------------------------------------------------
 
 
