@@ -196,15 +196,17 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: larger neighbours of a node go to the smallest of its neighbourhood
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")  # sides of their own, so that Spark can split the joins where a node is a hub
         large = both.where("v > u").join(least, "u").select(*ordered(F.col("v"), F.col("m"))).where("a <> b").distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        large = cut(large, "large")
+        low = cut(large.groupBy("b").agg(F.min("a").alias("m")), "low")
         small = large.join(low, "b")
         small = small.select(*ordered(F.col("a"), F.col("m"))).union(small.select(*ordered(F.col("b"), F.col("m")))).where("a <> b").distinct()
         after = cut(small, "edges")
         found = state(after)
-        discard(now)
+        for done in (now, least, large, low):
+            discard(done)
         now = after
         if found == seen:
             break
@@ -325,7 +327,7 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str =
 
     labels = link(nodes.select("node", "buckets"), fetch, banding)
     smallest = nodes.join(labels, "node", "left").select("node", "rep.doc_id", F.coalesce("label", "node").alias("label"))
-    ids = smallest.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    ids = cut(smallest.groupBy("label").agg(F.min("doc_id").alias("component_id")), "ids")
     ids = cut(smallest.join(ids, "label").select("node", "component_id"), "component-ids")
     out = signed.select("doc_id", "text_hash", "n_shingles", "node").join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
