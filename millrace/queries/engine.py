@@ -6,12 +6,14 @@ import json
 
 from pyspark.sql import functions as F
 
-from millrace.operators import metrics, normalize, reshape
+from millrace.operators import normalize, reshape
+from millrace.operators.aggregates import ExactMean, aggregated
 from millrace.operators.rows import RowFunction
 from millrace.plans import curation, loading
 from millrace.queries.base import CONVS, SAMPLES, query, read, samples
 from millrace.queries.tables import REASON, draw_sql
 from millrace.sources import jsonl
+from millrace.sources.indexed import read_indexed, write_indexed
 from millrace.sources.registry import Meta, Source, Subset, register, register_json, select_subsets
 from millrace.sources.workers import shared_folder
 from millrace.streaming import jobs
@@ -155,11 +157,13 @@ def cached_source(spark, sf_dir):
     return jsonl.read_cache(spark, path, 1000)
 
 
-@query("S17_S18_indexed", "select doc_id, lang from documents where doc_id in (3, 77, 150)")
-def indexed(spark, sf_dir):
+@query("S17_S18_indexed", "with r as (select doc_id, lang, md5(text) as text, row_number() over (order by doc_id) - 1 as _row, count(*) over () as n from documents) select _row, doc_id, lang, text, false as scan from r where _row in (3, 77, 150, n - 1) union all select _row, doc_id, lang, text, true from r")
+def indexed_rows(spark, sf_dir):
+    """Rows 3, 77, 150 and the last one by number, and a scan."""
     path = shared_folder(spark, "indexed")
-    jsonl.write_indexed(read(spark, sf_dir, "documents").select("doc_id", "lang"), path, "doc_id", 64)
-    return jsonl.read_indexed(spark, path, "doc_id", [3, 77, 150])
+    write_indexed(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), path, "doc_id", shard_bytes=1 << 20)
+    parts = [read_indexed(spark, path, rows).withColumn("scan", F.lit(rows is None)) for rows in ([3, 77, 150, -1], None)]
+    return reshape.union_all(*parts).withColumn("text", F.md5("text"))
 
 
 @query("S20_union_dicts", "select doc_id, lang, null::bigint as page_id from documents union all select null, null, page_id from pages")
@@ -282,9 +286,9 @@ def transform(spark, sf_dir):
     return words.select("key", "role", F.size("w").cast("long").alias("words"), F.md5(F.array_join(F.col("w.word"), " ")).alias("text"))
 
 
-@query("D3_metric", "select event_type, round(avg(value), 6) as mean, count(*) as n from events group by 1")
+@query("D3_metric", "select event_type, round(avg(value), 6) as mean from events group by 1")
 def metric(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg((F.round(metrics.mean_or(F.col("value")), 6) + 0.0).alias("mean"), F.count("*").alias("n"))
+    return aggregated(read(spark, sf_dir, "events"), ["event_type"], ExactMean("value"), ["value"]).withColumn("mean", F.round("mean", 6) + 0.0)
 
 
 @query("D5_custom_loader", "select lang as channel, count(*) as n from documents group by 1")
@@ -332,6 +336,29 @@ def agent_formats(spark, sf_dir):
     return read(spark, sf_dir, "documents").withColumn("calls", calls).select("doc_id", *[tool_calls_text(F.col("calls"), k).alias(k) for k in forms])
 
 
+READ_FORMS = ("react_en", "qwen_en", "qwen3_coder", "hermes", "hunyuan_hermes", "glm4", "glm4_5", "llama3", "deepseek_v3_1", "seed_oss", "mistral")
+
+
+@query(
+    "D7_calls_read",
+    "with d as (select doc_id, '[' || lang || '{\"n\":' || n_chars || ',\"of\":\"' || source || '\"}, ' || source || '{}]' as calls, case when doc_id % 2 = 0 then '[]' else '[' || lang || '{\"n\":1}]' end as other from documents) select doc_id, "
+    + ", ".join(f"calls as {k}" for k in READ_FORMS) + ", other as broken from d",
+)
+def calls_read(spark, sf_dir):
+    """Calls written in each form between whole texts, and read back; broken ones are none, or ReAct."""
+    from millrace.functions.agents import read_calls, tool_calls_text
+
+    given = F.concat(F.lit('{"n": '), "n_chars", F.lit(', "of": "'), "source", F.lit('"}'))
+    calls = F.array(F.struct(F.col("lang").alias("name"), given.alias("arguments")), F.struct(F.col("source").alias("name"), F.lit("{}").alias("arguments")))
+    shown = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.to_json(x["arguments"]))), ", "), F.lit("]"))
+    docs = read(spark, sf_dir, "documents").withColumn("calls", calls)
+    before = {k: F.lit("") if k in ("glm4", "llama3") else F.col("text") for k in READ_FORMS}  # in these two, text before a call is part of it
+    texts = docs.select("doc_id", "lang", *[F.concat(before[k], F.lit("\n") if k not in ("glm4",) else F.lit(""), tool_calls_text(F.col("calls"), k)).alias(k) for k in READ_FORMS])
+    react = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("\nAction: "), "lang", F.lit('\nAction Input: {"n": 1}\nObservation:'))).otherwise("")
+    broken = read_calls(F.concat(F.lit('<tool_call>{"name": "x", "arguments": {oops</tool_call>'), react), "hermes")
+    return texts.select("doc_id", *[shown(read_calls(F.col(k), k)).alias(k) for k in READ_FORMS], shown(broken).alias("broken"))
+
+
 @query(
     "D7_agent_results",
     """with d as (select doc_id, coalesce(text, '') as a, lang || chr(10) as b, chr(10) as nl from documents) select doc_id,

@@ -82,16 +82,6 @@ def read_cache(spark: SparkSession, path: str, longest: int, length: str = "leng
     return rows.where(size <= longest)
 
 
-def write_indexed(df: DataFrame, path: str, ordinal: str, rows_per_file: int = 1_000_000) -> None:
-    """Rows in order of an ordinal, for reading by it."""
-    df.repartitionByRange(ordinal).sortWithinPartitions(ordinal).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
-
-
-def read_indexed(spark: SparkSession, path: str, ordinal: str, at: list[int]) -> DataFrame:
-    """Rows by ordinal; row-group statistics skip the rest."""
-    return spark.read.parquet(path).where(F.col(ordinal).isin(at))
-
-
 def union_dicts(frames: list[DataFrame]) -> DataFrame | None:
     """Rows of any keys as one table."""
     from millrace.operators.reshape import union_all
