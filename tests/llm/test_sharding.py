@@ -4,7 +4,7 @@ from cases import crowded, frame
 from pyspark.sql import functions as F
 
 from millrace.llm.runtime import scratch
-from millrace.llm.sharding import add_shard, assign_slots, load_map, save_map, shard, slot_table, text_size, virtual_slot
+from millrace.llm.sharding import SLOTS, add_shard, assign_slots, load_map, save_map, shard, slot_table, text_size, virtual_slot
 
 
 def test_rows_sizes_and_numbers(spark):
@@ -35,6 +35,25 @@ def test_shards_are_even_and_growth_moves_little(spark):
     assert load_map(spark, path).first()["version"] == 2
 
 
+def test_an_edit_of_the_stored_map_moves_its_slots_alone(spark, tmp_path):
+    rows = [(i, "x" * (i % 50), "en", "s", i) for i in range(3000)]
+    docs, path = frame(spark, rows), f"file://{tmp_path}/map"
+    first = shard(docs, map_path=path).toPandas().set_index("doc_id")
+    again = shard(docs, map_path=path).toPandas().set_index("doc_id")
+    assert (first.shard == again.shard[first.index]).all() and set(first.map_version) == set(again.map_version) == {1}
+    assert load_map(spark, path).count() == SLOTS  # slots that no row has yet have a shard too
+    records = docs.select(text_size(F.col("text")).alias("size"), virtual_slot(F.col("doc_id")).alias("vslot"))
+    save_map(add_shard(load_map(spark, path), slot_table(records), 16), path)
+    old, new = (load_map(spark, path, v).toPandas().set_index("vslot").shard for v in (1, 2))
+    edited = set(old.index[old != new.reindex(old.index)])
+    grown = shard(docs.union(frame(spark, [(10**6 + i, "new", "en", "s", 3) for i in range(2000)])), map_path=path).toPandas().set_index("doc_id")
+    assert set(grown.map_version) == {2} and len(grown) == 5000
+    for i, r in first.iterrows():
+        assert grown.shard[i] == (16 if r.vslot in edited else r.shard)
+    for _, own in grown.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+
+
 def test_empty_table(spark):
     assert shard(frame(spark, [])).count() == 0
 
