@@ -84,8 +84,8 @@ def _lcs(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def text_overlap(prediction: Column, label: Column) -> Column:
-    """(rouge-1, rouge-2, rouge-l, bleu-4) over words between white space, times 100; not the segmented kind."""
+def text_overlap(prediction: Column, label: Column, digits: int = 6) -> Column:
+    """(rouge-1, rouge-2, rouge-l, bleu-4) over words between white space, times 100; texts that share no word have 0."""
     import math
     from collections import Counter
 
@@ -96,7 +96,7 @@ def text_overlap(prediction: Column, label: Column) -> Column:
         return 2 * hits / (a + b) if a + b else 0.0
 
     def bleu(h, r):
-        if not h:
+        if not set(h) & set(r):
             return 0.0
         logs, k = 0.0, 0
         for n in range(1, 5):
@@ -111,7 +111,7 @@ def text_overlap(prediction: Column, label: Column) -> Column:
     def one(p, t):
         h, r = (p or "").split(), (t or "").split()
         rouge = [f1(sum((grams(h, n) & grams(r, n)).values()), sum(grams(h, n).values()), sum(grams(r, n).values())) for n in (1, 2)]
-        return [round(100 * x, 6) for x in (*rouge, f1(_lcs(h, r), len(h), len(r)), bleu(h, r))]
+        return [round(100 * x, digits) for x in (*rouge, f1(_lcs(h, r), len(h), len(r)), bleu(h, r))]
 
     @F.pandas_udf("array<double>")
     def run(p: pd.Series, t: pd.Series) -> pd.Series:
@@ -120,6 +120,19 @@ def text_overlap(prediction: Column, label: Column) -> Column:
     return run(prediction, label)
 
 
+OVERLAPS = ("rouge_1", "rouge_2", "rouge_l", "bleu_4")
+
+
+def corpus_overlap(df: DataFrame, prediction: str, label: str) -> DataFrame:
+    """One row: the means of ``text_overlap`` over rows with words on both sides, and ``n``, their number; 0 where there are none.
+
+    Both columns are arrays of words, as ``segment.segmented`` gives them; null and empty ones are left out.
+    """
+    both = df.where((F.size(prediction) > 0) & (F.size(label) > 0))
+    scores = both.select(text_overlap(F.array_join(prediction, " "), F.array_join(label, " "), 15).alias("v"))
+    return scores.agg(*[F.round(mean_or(F.col("v")[i]), 6).alias(name) for i, name in enumerate(OVERLAPS)], F.count("*").alias("n"))
+
+
 def reward_report(df: DataFrame, group: str, reward: str, functions: list[str], batch_std: bool = False) -> DataFrame:
     """Mean of group means and deviations, share of groups without variance, mean and deviation of each function."""
     groups = df.groupBy(group).agg(F.avg(reward).alias("_m"), F.coalesce(F.stddev_samp(reward), F.lit(0.0)).alias("_s"))

@@ -97,6 +97,16 @@ def all_exist(df: DataFrame, listing: DataFrame, key: str, paths: str) -> DataFr
     return df.join(lost, key, "left_anti")
 
 
+def media_present(df: DataFrame, listing: DataFrame, media: str) -> DataFrame:
+    """Rows with media (an array of paths) all of which are in a listing; rows without any, or with a null among them, go.
+
+    Lists are looked up once each, so a list that many rows share is no hot group.
+    """
+    lists = df.select(media).where(F.size(media) > 0).distinct()
+    lost = lists.select(media, F.explode(media).alias("path")).join(listing.select("path").distinct(), "path", "left_anti").select(media).distinct()
+    return df.where(F.size(media) > 0).join(lost, media, "left_anti").select(df.columns)
+
+
 def results_to_rows(rows: DataFrame, results: DataFrame, request: str = "request_id") -> DataFrame:
     """Request-level results on all rows of the request."""
     return rows.join(results, request)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from millrace.operators import reshape
 from millrace.plans.presets import GROUNDING, PRESETS, grounding_prompt
 from millrace.queries.base import flat, python_string, query, read
-from millrace.queries.tables import draw_sql
+from millrace.queries.tables import draw_sql, page_folder
+from millrace.sources.listing import list_files
 
 c, lit = F.col, F.lit
 NL = "chr(10)"
@@ -165,3 +166,25 @@ def xlam(spark, sf_dir):
     first = F.to_json(F.to_variant_object(call("f", F.struct(c("source").alias("b"), lit(1.0).alias("a")))))
     rows = read(spark, sf_dir, "documents").select(c("doc_id").alias("key"), c("text").alias("query"), F.concat(lit("["), first, lit(',{"name":"g","arguments":{}}]')).alias("answers"), c("doc_id").cast("string").alias("tools"))
     return PRESETS["xlam_grpo"](rows).select(c("tools")[0].cast("long").alias("doc_id"), F.md5(flat(c("messages"))).alias("text"))
+
+
+@query(
+    "presets_in_folders",
+    f"""with p as (select *, (page_id % 7) || '/' || (page_id % 3) || '/p.' || page_id || case when page_id % 2 = 0 then '.mp4' else '.HTML' end as path from pages where page_id % 3 <> 0)
+    select 'sharegpt4o' as name, page_id, 'user: ' || url as text, path as media from p union all
+    select 'video_chatgpt', page_id, 'user: ' || url || {NL} || 'assistant: ' || page_id, path from p where page_id % 2 = 0 and page_id % 5 <> 0""",
+)
+def presets_in_folders(spark, sf_dir):
+    """Layouts whose rows stay only with their media: those of a real folder tree, as listed."""
+    pages, base = page_folder(spark, sf_dir)
+    listing = list_files(spark, base).withColumn("path", F.concat(lit("media/"), "path"))
+    said = F.array(F.struct(lit("human").alias("from"), c("url").alias("value")))
+    images = pages.select(lit("media").alias("root"), F.array("path").alias("images"), said.alias("conversations"))
+    asked = F.when(c("page_id") % 5 == 0, "None").otherwise(c("url"))
+    films = pages.select(lit("media").alias("root"), asked.alias("query"), lit(None).cast("string").alias("question_1"), c("page_id").cast("string").alias("response"), F.regexp_replace("path", r"\.[^.]*$", "").alias("video_name"))
+    out = []
+    for name, rows, media in (("sharegpt4o", images, "images"), ("video_chatgpt", films, "videos")):
+        kept = reshape.media_present(PRESETS[name](rows), listing, media)
+        path = F.substring(c(media)[0], 7, 1000)
+        out.append(kept.select(lit(name).alias("name"), F.regexp_extract(path, r"p\.(\d+)", 1).cast("long").alias("page_id"), F.trim(flat(c("messages"))).alias("text"), path.alias("media")))
+    return reshape.union_all(*out)

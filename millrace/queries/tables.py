@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.operators import metrics as A
 from millrace.functions.canonical import json_row_key
-from millrace.operators import reshape, sampling, validate, windows
+from millrace.operators import reshape, sampling, segment, validate, windows
 from millrace.operators.rows import RowFunction
 from millrace.queries.base import COMPLETIONS, SAMPLES, completions, python_string, query, read, samples, six
+from millrace.sources.listing import list_files, write_files
+from millrace.sources.workers import shared_folder
 
 REASON = """case when coalesce(answer_accuracy_score, -1) <> 10 then 'answer_accuracy' when coalesce(question_logic_score, 0) < 8 then 'question_logic'
   when coalesce(composite_score, 0) < 7 then 'composite' when should_filter then 'should_filter' end"""
@@ -61,6 +63,24 @@ def paths_exist(spark, sf_dir):
     return reshape.all_exist(docs, listing, "doc_id", "paths").select("doc_id")
 
 
+def page_folder(spark, sf_dir):
+    """(pages with the path of their medium, a real folder tree that holds two thirds of those)."""
+    kind = F.when(F.col("page_id") % 2 == 0, "mp4").otherwise("HTML")
+    pages = read(spark, sf_dir, "pages").withColumn("path", F.concat(F.col("page_id") % 7, F.lit("/"), F.col("page_id") % 3, F.lit("/p."), "page_id", F.lit("."), kind))
+    base = shared_folder(spark, "media")
+    write_files(pages.where("page_id % 3 <> 0"), base, "path", "html")
+    return pages, base
+
+
+@query("F4_media_folder", "select page_id from pages where page_id % 3 <> 0 and (page_id + 1) % 3 <> 0")
+def media_folder(spark, sf_dir):
+    """Rows all of whose media (their own, the next page's place, and an empty one) lie in a folder, as its listing tells."""
+    pages, base = page_folder(spark, sf_dir)
+    again = F.when((F.col("page_id") + 1) % 3 == 0, "lost").otherwise(F.col("path"))
+    rows = pages.select("page_id", F.array("path", again, F.lit("")).alias("paths"))
+    return reshape.all_exist(rows, list_files(spark, base), "page_id", "paths").select("page_id")
+
+
 @query("F5_two_scores", f"select id from {SAMPLES} t where video_dependency_score >= 7 and audio_dependency_score >= 7")
 def two_scores(spark, sf_dir):
     return samples(spark, sf_dir).where("coalesce(video_dependency_score, 0) >= 7 and coalesce(audio_dependency_score, 0) >= 7").select("id")
@@ -274,6 +294,17 @@ def text_overlap(spark, sf_dir):
     return rows.select("conv_id", "turn", *[F.col("v")[i].alias(n) for i, n in enumerate(("rouge_1", "rouge_2", "rouge_l", "bleu_4"))])
 
 
+@query("A11_corpus_means")
+def corpus_means(spark, sf_dir):
+    """Each assistant turn against the next one, both without their blanks and cut again by the words of all turns: the means of the corpus."""
+    turns = completions(spark, sf_dir)
+    words = segment.word_table(turns, "text")
+    bare = turns.withColumn("text", F.regexp_replace("text", r"\s+", ""))
+    cut = segment.segmented(bare, "text", words, "words", letters=r"\S+").select("conv_id", "turn", "words")
+    pairs = cut.withColumn("following", F.lead("words").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return A.corpus_overlap(pairs, "words", "following")
+
+
 @query("A12_weighted_reward", f"select conv_id, turn, round(case when reward = 3 then 0.0 else reward end + 0.5 * other, 6)::double as total from {REWARDS}")
 def weighted(spark, sf_dir):
     r = F.when(F.col("reward") == 3, F.lit(float("nan"))).otherwise(F.col("reward"))
@@ -705,6 +736,15 @@ def listing(spark, sf_dir):
     return reshape.with_existing(pages, pages.where("page_id % 3 = 0").select(F.col("url").alias("path")), "url").select("url", "page_id")
 
 
+@query("J2_media_folder", "select page_id, (page_id % 7) || '/' || (page_id % 3) as folder from pages where page_id % 3 <> 0 and page_id % 2 = 0")
+def media_stems(spark, sf_dir):
+    """Pages whose film is in a folder tree: names without their ending, from the listing of its mp4 files."""
+    pages, base = page_folder(spark, sf_dir)
+    films = list_files(spark, base, "mp4").select(F.concat_ws("/", "folder", "stem").alias("path"))
+    rows = pages.withColumn("path", F.regexp_replace("path", r"\.[^.]*$", ""))
+    return reshape.with_existing(rows, films, "path").select("page_id", F.regexp_extract("path", "(.*)/", 1).alias("folder"))
+
+
 @query("J3_all_exist", "select page_id from pages where page_id % 3 = 0 and (page_id + 1) % 4 <> 0")
 def all_exist(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", F.array(F.concat(F.lit("a"), "page_id"), F.concat(F.lit("b"), "page_id")).alias("p"))
