@@ -63,3 +63,23 @@ def test_strings_of_added_tokens_are_those_tokens(spark):
     want = plain(docs.collect())
     got = read_token_files(spark, root).orderBy("doc_id").collect()
     assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array(want[i, t], "<u4")) for i, t in enumerate(texts)]
+
+
+def test_shards_are_bounded_and_whole(spark, tmp_path):
+    rows = [(i if i % 11 else None, "word and " * (i * 7 % 40), "en", "s", 1) for i in range(300)] + [(500, "long text " * 5000, "en", "s", 1)]
+    docs = frame(spark, rows)
+    sets = []
+    for name, bounds in (("whole", {}), ("bytes", {"shard_bytes": 2000}), ("docs", {"shard_docs": 7, "task_bytes": 3000})):
+        root = f"{tmp_path}/{name}"
+        manifest = write_token_files(docs, root, WORD, end_id=1, **bounds)
+        got = read_token_files(spark, root).toPandas().sort_values("start")
+        sets.append([tuple(r) for r in got.fillna(-1).itertuples(index=False)])
+        assert manifest == read_manifest(root) and sum(s["n_docs"] for s in manifest["shards"]) == len(rows)
+        if name == "bytes":
+            width = np.dtype(manifest["dtype"]).itemsize
+            small = [s for s in manifest["shards"] if s["n_docs"] > 1]
+            assert len(small) >= sum(s["n_tokens"] for s in small) * width / 2000 and all(s["n_tokens"] * width <= 2000 or s["n_docs"] == 1 for s in manifest["shards"])
+        if name == "docs":
+            assert all(s["n_docs"] <= 7 for s in manifest["shards"])
+    assert sets[0] == sets[1] == sets[2]
+    assert [(r[1], r[1] + r[2]) for r in sets[0]][1:] == [(a[1] + a[2], a[1] + a[2] + b[2]) for a, b in zip(sets[0], sets[0][1:])]
