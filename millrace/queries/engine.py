@@ -15,6 +15,7 @@ from millrace.queries.tables import REASON, draw_sql
 from millrace.sources import jsonl
 from millrace.sources.indexed import read_indexed, write_indexed
 from millrace.sources.registry import Meta, Source, Subset, register, register_json, select_subsets
+from millrace.sources.listing import write_files
 from millrace.sources.workers import shared_folder
 from millrace.streaming import jobs
 
@@ -93,17 +94,12 @@ def array_file(spark, sf_dir):
     return jsonl.read_array_file(spark, path, "conv_id long, text string").select("conv_id", "text")
 
 
-@query("S7_scan_folders", "select doc_id, lang as folder, 'part' as stem from documents where lang <> 'es'")
+@query("S7_scan_folders", "select doc_id, lang as folder, 'part-' || (doc_id // 1000) as stem from documents where lang <> 'es'")
 def scan_folders(spark, sf_dir):
+    """Array files of the ids of a language, a thousand in each, which executors write into a folder of the language."""
     base = shared_folder(spark, "tree")
-    docs = read(spark, sf_dir, "documents")
-    for lang in ("en", "fr", "de", "es"):
-        text = docs.where(F.col("lang") == lang).agg(F.to_json(F.collect_list(F.struct("doc_id"))).alias("v")).first()[0]  # a small fixture of ids
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-        path = fs.Path(f"{base}/{lang}/part.json")
-        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-        out.write(bytearray(text.encode()))
-        out.close()
+    ids = read(spark, sf_dir, "documents").groupBy("lang", F.floor(F.col("doc_id") / 1000).alias("k")).agg(F.to_json(F.collect_list(F.struct("doc_id"))).alias("ids"))
+    write_files(ids.withColumn("path", F.concat("lang", F.lit("/part-"), "k", F.lit(".json"))), base, "path", "ids")
     return jsonl.scan_folders(spark, base, "es", "doc_id long").select("doc_id", "folder", "stem")
 
 

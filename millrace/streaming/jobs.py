@@ -6,7 +6,6 @@ micro-batch to the next flush when a row that marks the end of a key comes.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -63,11 +62,26 @@ def session_stream(stream: DataFrame, key: str, order: list[str], begins: str, v
     waits = delay is not None
     if waits:
         stream = stream.withWatermark(order[0], delay)
+    fields, types = list(dict.fromkeys([*order, begins, value])), dict(stream.dtypes)
+    times = {c for c in fields if types[c].startswith("timestamp")}
+
+    def kept(c: str, x):
+        """A value as the state holds it, in the type of its column: times are microseconds."""
+        if pd.isna(x):
+            return None
+        if c in times:
+            return pd.Timestamp(x).value // 1000
+        if types[c] in ("tinyint", "smallint", "int", "bigint"):  # floats where a batch has nulls
+            return int(x)
+        return x.item() if hasattr(x, "item") else x
+
+    def taken(c: str, x):
+        return pd.Timestamp(x, unit="us") if c in times and x is not None else x
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        session, n, total, held = state.get if state.exists else (0, 0, 0.0, [])
-        rows = [r for batch in batches for r in batch[[*order, begins, value]].to_dict("records")]
-        rows += [dict(zip([*order, begins, value], pickle.loads(bytes(x)))) for x in held or []]
+        session, n, total, *held = state.get if state.exists else (0, 0, 0.0, *[[] for _ in fields])
+        rows = [r for batch in batches for r in batch[fields].to_dict("records")]
+        rows += [{c: taken(c, x) for c, x in zip(fields, r)} for r in zip(*held)]
         rows.sort(key=lambda r: [(pd.isna(r[c]), 0 if pd.isna(r[c]) else r[c]) for c in order])
         ended = any(pd.isna(r[value]) for r in rows)
         later = []
@@ -84,12 +98,13 @@ def session_stream(stream: DataFrame, key: str, order: list[str], begins: str, v
                 session, n, total = session + 1, 0, 0.0
             if not end:
                 n, total = n + 1, total + float(r[value])
-        state.update((session, n, total, [pickle.dumps(list(r.values())) for r in later]))
+        state.update((session, n, total, *[[kept(c, r[c]) for r in later] for c in fields]))
         if later:
             state.setTimeoutTimestamp(max(int(min(r[order[0]] for r in later).timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "session", "n", "total"])
 
-    state = "session long, n long, total double, held array<binary>"
+    held_types = ", ".join(f"held_{i} array<{'long' if c in times else types[c]}>" for i, c in enumerate(fields))
+    state = f"session long, n long, total double, {held_types}"
     return stream.groupBy(key).applyInPandasWithState(run, "key long, session long, n long, total double", state, "append", "EventTimeTimeout" if waits else "NoTimeout")
 
 

@@ -138,3 +138,18 @@ def test_late_rows_find_their_session(spark, tmp_path):
                 session += begins
                 want[k, session] = want.get((k, session), 0) + 1
     assert {(r["key"], r["session"]): r["n"] for r in got} == want and len(got) == len(want)
+
+
+def test_held_rows_keep_their_types(spark, tmp_path):
+    """Rows wait in the state with times to the microsecond, whole numbers and nulls; ties in time go by the second column, nulls last."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1, 0, 0, 0, 7)
+    big = 2**53 + 1
+    rows = [(start, big + 2, 1, False, 1.0), (start, None, 1, True, 8.0), (start, big, 1, True, 2.0), (start + timedelta(microseconds=1), big + 4, 1, False, 4.0)]
+    schema = "ts timestamp, id long, k long, begins boolean, v double"
+    for part in (rows[:1], rows[1:2], rows[2:], [(None, None, 1, True, None)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+    stream = jobs.read_stream(spark, f"{tmp_path}/feed", "*.parquet", spark.read.parquet(f"{tmp_path}/feed").schema, 1)
+    got = jobs.run_to_table(jobs.session_stream(stream, "k", ["ts", "id"], "begins", "v", "1 hour"), f"{tmp_path}/out", f"{tmp_path}/mark").collect()
+    assert sorted((r["session"], r["n"], r["total"]) for r in got) == [(1, 2, 3.0), (2, 2, 12.0)]
