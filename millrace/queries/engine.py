@@ -260,7 +260,7 @@ def resumable(spark, sf_dir):
     out, mark = shared_folder(spark, "batches"), shared_folder(spark, "mark")
     work = lambda df, k: df.select("doc_id").write.mode("overwrite").parquet(f"{out}/batch={k}")
     for _ in range(2):  # the second run finds nothing left to do
-        jobs.run_batches(jobs.read_stream(spark, sf_dir, "documents.parquet", docs.schema), work, mark)
+        jobs.run_batches(jobs.read_stream(spark, sf_dir, "documents.parquet", docs.schema, None), work, mark)
     return spark.read.parquet(out).agg(F.count("*").alias("n"), F.countDistinct("batch").alias("batches"))
 
 

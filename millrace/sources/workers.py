@@ -38,6 +38,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path, which may be remote, is a folder's."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return bool(files.exists(hadoop) and files.getFileStatus(hadoop).isDirectory())
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` evaluated once: written to the shared folder and read again, so that all that is built on it sees the same rows.
 

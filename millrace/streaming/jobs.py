@@ -12,11 +12,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators.sampling import PRIME, best_fit
+from millrace.sources.workers import is_folder
 
 
-def read_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 16) -> DataFrame:
-    """Parquet files of one name pattern in a folder, as they come."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", name).parquet(folder)
+def read_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int | None = 16) -> DataFrame:
+    """Parquet files of one name pattern in a folder, as they come; a name that is a folder's means the files in it.
+
+    Without ``files_per_batch`` a micro-batch is all that is there.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if is_folder(spark, f"{folder}/{name}"):
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
