@@ -93,11 +93,16 @@ def split_head(df: DataFrame, ordinal: str, val: int, n: int | None = None) -> t
     return top.where(F.col(ordinal) >= val), top.where(F.col(ordinal) < val)
 
 
-def split_by_type(df: DataFrame, kind: str, key: str, share: float = 0.1, large: int = 20_000, fixed: int = 1000, seed: int = 42) -> DataFrame:
-    """A ``split`` column: of each kind a fixed number (large kinds) or a share, at least one, is test; rows without a kind go."""
+def split_by_type(df: DataFrame, kind: str, key: str, share: float = 0.1, large: int | None = 20_000, fixed: int = 1000, seed: int = 42) -> DataFrame:
+    """A ``split`` column: of each kind a fixed number (large kinds) or a share, at least one, is test; rows without a kind go.
+
+    With ``large=None`` no kind is large, and a share of each is test.
+    """
     rows = df.where(F.col(kind).isNotNull()).withColumn("_draw", draw(F.col(key), seed))
     n = F.col("count")
-    quota = F.when(n > large, F.lit(fixed)).otherwise(F.greatest(F.floor(n * share), F.lit(1)))
+    quota = F.greatest(F.floor(n * share), F.lit(1))
+    if large is not None:
+        quota = F.when(n > large, F.lit(fixed)).otherwise(quota)
     quotas = rows.groupBy(kind).count().select(kind, quota.cast("long").alias("k"))
     marked = first_of_groups(rows, quotas, kind, "_draw", "_draw", key, into="_test")
     return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).select(*df.columns, "split")

@@ -16,13 +16,13 @@ def quality_filter(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return validate.split_by_reason(df, validate.quality_rules(*cols))
 
 
-def curate(df: DataFrame, category: str = "type", key: str = "id", least: int = 10, threshold: int = 7) -> DataFrame:
-    """Quality filter, small categories out, the largest cut, both dependency scores high, a split by category."""
+def curate(df: DataFrame, category: str = "type", key: str = "id", least: int = 10, threshold: int = 7, large: int | None = None) -> DataFrame:
+    """Quality filter, small categories out, the largest cut, both dependency scores high, a split by category (a share of each; ``large`` as in ``split_by_type``)."""
     kept, _ = quality_filter(df)
-    large = sampling.drop_small(kept, category, least)
-    even = sampling.balance_largest(large, category, "video_dependency_score", "audio_dependency_score", "composite_score", key)
+    common = sampling.drop_small(kept, category, least)
+    even = sampling.balance_largest(common, category, "video_dependency_score", "audio_dependency_score", "composite_score", key)
     strong = even.where((F.col("video_dependency_score") >= threshold) | (F.col("audio_dependency_score") >= threshold))
-    return sampling.split_by_type(strong, category, key)
+    return sampling.split_by_type(strong, category, key, large=large)
 
 
 def flagship(turns: DataFrame) -> DataFrame:

@@ -152,6 +152,30 @@ def test_splits_are_disjoint_and_whole(spark):
     assert sampling.sample_times(df, 250, "id").count() == 250 and sampling.sample_times(df, 0, "id").count() == 0
 
 
+def test_large_kinds_are_split_as_the_queries_have_it(spark, tmp_path):
+    """More than 20,000 rows of one kind: a fixed number by default, a share in the queries that split by type."""
+    import duckdb
+
+    from millrace.plans.curation import curate
+    from millrace.queries import ORACLE, QUERIES
+
+    docs = spark.range(20_101).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") < 100, "fr").otherwise("en").alias("lang"), F.lit(300).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).where("doc_id % 5 = 0").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("K6_split_by_type", "A23_split_summary"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(got.columns)} from ({ORACLE[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    kinds = sampling.split_by_type(docs, "lang", "doc_id").where("split = 'test'").groupBy("lang").count()
+    assert {r["lang"]: r["count"] for r in kinds.collect()} == {"fr": 10, "en": 1000}
+    scores = {"answer_accuracy_score": 10, "question_logic_score": 10, "composite_score": 10, "video_dependency_score": 10, "audio_dependency_score": 10}
+    rows = spark.range(20_001).select("id", F.lit("t").alias("type"), F.lit(False).alias("should_filter"), *[F.lit(v).alias(k) for k, v in scores.items()])
+    assert curate(rows).where("split = 'test'").count() == 2000
+
+
 def test_bins_hold_their_volume(spark):
     df = spark.range(300).select((F.col("id") % 2).alias("batch"), "id", (F.col("id") * 37 % 90 + 1).alias("n"))
     bins = sampling.pack_groups(df, "batch", "id", "n", 100).collect()
