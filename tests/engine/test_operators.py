@@ -174,6 +174,7 @@ def test_large_kinds_are_split_as_the_queries_have_it(spark, tmp_path):
     scores = {"answer_accuracy_score": 10, "question_logic_score": 10, "composite_score": 10, "video_dependency_score": 10, "audio_dependency_score": 10}
     rows = spark.range(20_001).select("id", F.lit("t").alias("type"), F.lit(False).alias("should_filter"), *[F.lit(v).alias(k) for k, v in scores.items()])
     assert curate(rows).where("split = 'test'").count() == 2000
+    assert QUERIES["K6_split_by_type"](spark, str(tmp_path)).where("split = 'test'").count() == 2010
 
 
 def test_bins_hold_their_volume(spark):
