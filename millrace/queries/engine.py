@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from millrace.operators import normalize, reshape
-from millrace.operators.aggregates import ExactMean, aggregated
+from millrace.operators.aggregates import Aggregate, ExactMean, aggregated
 from millrace.operators.rows import RowFunction
 from millrace.plans import curation, loading
 from millrace.queries.base import CONVS, SAMPLES, query, read, samples
@@ -282,9 +282,31 @@ def transform(spark, sf_dir):
     return words.select("key", "role", F.size("w").cast("long").alias("words"), F.md5(F.array_join(F.col("w.word"), " ")).alias("text"))
 
 
-@query("D3_metric", "select event_type, round(avg(value), 6) as mean from events group by 1")
+class MeanOfRows(Aggregate):
+    """The exact mean of a column and the number of all rows, those with nulls too."""
+
+    result = "found struct<mean: double, n: bigint>"
+
+    def __init__(self, column: str):
+        self.mean = ExactMean(column)
+
+    def zero(self):
+        return self.mean.zero(), 0
+
+    def update(self, state, row):
+        return self.mean.update(state[0], row), state[1] + 1
+
+    def merge(self, a, b):
+        return self.mean.merge(a[0], b[0]), a[1] + b[1]
+
+    def finish(self, state):
+        return {"mean": self.mean.finish(state[0]), "n": state[1]}
+
+
+@query("D3_metric", "select event_type, round(avg(value), 6) as mean, count(*) as n from events group by 1")
 def metric(spark, sf_dir):
-    return aggregated(read(spark, sf_dir, "events"), ["event_type"], ExactMean("value"), ["value"]).withColumn("mean", F.round("mean", 6) + 0.0)
+    found = aggregated(read(spark, sf_dir, "events"), ["event_type"], MeanOfRows("value"), ["value"])
+    return found.select("event_type", (F.round("found.mean", 6) + 0.0).alias("mean"), "found.n")
 
 
 @query("D5_custom_loader", "select lang as channel, count(*) as n from documents group by 1")

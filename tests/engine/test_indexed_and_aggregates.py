@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.agents import read_calls, tool_calls_text
 from millrace.operators.aggregates import Aggregate, ExactMean, aggregated
+from millrace.queries import QUERIES
 from millrace.sources import indexed
 
 
@@ -109,3 +110,11 @@ def test_calls_in_broken_and_odd_texts(spark):
     assert calls(spark, '<tool_call>f\n```json{"a": 2}```</tool_call>', "hunyuan_hermes") == [("f", {"a": 2})]
     text = tool_calls_text(F.array(F.struct(F.lit("f").alias("name"), F.lit('{"a": 1, "b": "x y"}').alias("arguments"))), "glm4_5")
     assert calls(spark, spark.range(1).select(text).first()[0], "glm4_5") == [("f", {"a": 1, "b": "x y"})]
+
+
+def test_metric_counts_all_rows(spark, tmp_path):
+    """The mean leaves nulls out, the number of rows does not."""
+    rows = [("a", 1.0), ("a", None), ("a", 3.0), (None, 5.0), ("b", None)]
+    spark.createDataFrame(rows, "event_type string, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_type"]: (r["mean"], r["n"]) for r in QUERIES["D3_metric"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (2.0, 3), None: (5.0, 1), "b": (None, 1)}
