@@ -9,7 +9,8 @@ and near copies are found from any of their windows whose least gram is intact.
 
 Documents that collide are compared where they do: each with the first document of
 its bucket, and those that have no passage in common with it with the first of
-them, up to ``rounds`` times; word by word from the common gram outwards, over changed
+them, up to ``rounds`` times. Those that are left without one are compared with all
+of their bucket that have ``run`` words in a row in common with them. All go word by word from the common gram outwards, over changed
 words as long as the five-word shingles of the two places have a Jaccard
 similarity of 0.75 or more. What is found from several grams of one pair is
 chained under the same rule, and a chain of at least ``least`` words is a link. It
@@ -23,8 +24,9 @@ Places are counted in words (runs without ASCII white space), and words around a
 gram travel as 16 bits each. Texts move once, those with a collision, to be read
 at the places in question, and once to be edited.
 
-Bounds: rows are per gram or per link; a bucket is joined with one row, so a hot
-one is split by Spark's skew join; a document's rows stream in order.
+Bounds: rows are per gram or per link; in the rounds a bucket is joined with one row, so a hot
+one is split by Spark's skew join; what the rounds leave over is compared in
+pairs, as many as there are different surroundings that share a piece; a document's rows stream in order.
 
 Defined results: null and empty texts have no passage; null ids count as larger
 than all others; rows equal in id and text are one document, and are edited
@@ -60,7 +62,9 @@ class Setting:
     numerator: int = 75  # a link: 100 * intersection >= numerator * union
     width: int = 5  # words of a shingle
     gap: int = 12  # words between parts of a chain
-    rounds: int = 3  # documents of a bucket that the others are compared with, one after another, while any is left without a passage
+    rounds: int = 3  # documents of a bucket that the others are compared with, one after another, before those left without a passage meet all
+    run: int = 20  # words in a row that similar places share, however their changes lie
+    step: int = 4  # words from one piece of surroundings to the next
 
     @property
     def cost(self) -> int:
@@ -276,6 +280,69 @@ def chained(rows: DataFrame, setting: Setting) -> DataFrame:
     return rows.mapInArrow(run, "doc long, text_key long, first int, end int, of_doc long, of_key long, of_first int, of_end int")
 
 
+def pieces(rows: DataFrame, setting: Setting) -> DataFrame:
+    """(piece, doc, text_key): hashes of the pieces of each row's surroundings, with their gram and place; places that share ``run`` words in a row share one."""
+    size, step, width = setting.run - setting.step + 1, setting.step, 2 * setting.reach + setting.gram
+    starts = np.arange(0, width - size + 1, step)
+    factors = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(size)], np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            around = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(-1, width)
+            value = np.stack([wordhash.mix(around[:, s : s + size].astype(np.uint64)) @ factors for s in starts], axis=1)
+            gram = np.asarray(batch.column(0)).view("u8")[:, None]
+            value = wordhash.mix(wordhash.mix(value) + gram + starts.astype(np.uint64))
+            row, at = np.nonzero(np.stack([(around[:, s : s + size] != 0).all(axis=1) for s in starts], axis=1))
+            cols = [pa.array(value[row, at].view("i8")), *[pa.array(np.asarray(batch.column(i))[row]) for i in (1, 2)]]
+            yield pa.RecordBatch.from_arrays(cols, ["piece", *KEYS])
+        tidy()
+
+    return rows.select("gram", *KEYS, "around").mapInArrow(run, "piece long, doc long, text_key long")
+
+
+def open_pairs(met: DataFrame, alone: DataFrame, pairs: DataFrame, setting: Setting) -> DataFrame:
+    """Pairs of documents (doc, text_key, of_doc, of_key), compared at all of their grams where either has a row of ``alone``."""
+    a, b = F.struct(*KEYS), F.struct(F.col("of_doc").alias("doc"), F.col("of_key").alias("text_key"))
+    pairs = pairs.where("doc <> of_doc or text_key <> of_key").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    pairs = cut(pairs.select("a.*", F.col("b.doc").alias("of_doc"), F.col("b.text_key").alias("of_key")), "left_pairs")
+    of_names = {"doc": "of_doc", "text_key": "of_key", "place": "of_place", "around": "of_around"}
+    places = alone.select("gram", *KEYS).distinct()
+    at = places.join(pairs, KEYS).unionByName(places.withColumnsRenamed(of_names).join(pairs, ["of_doc", "of_key"])).distinct()
+    others = met.groupBy("gram", *KEYS, "around").agg(F.min("place").alias("place")).withColumnsRenamed(of_names)
+    rows = met.join(cut(at, "left_at"), ["gram", *KEYS]).join(others, ["gram", "of_doc", "of_key"])
+    found = cut(compared(rows, setting), "compared")
+    free_shuffles(met.sparkSession)
+    return found
+
+
+def left_over(met: DataFrame, alone: DataFrame, setting: Setting) -> list[DataFrame]:
+    """What the rounds may have missed: rows of ``alone``, which found no passage, compared with all others of their buckets that can share one.
+
+    Those can that have ``run`` words in a row in common, in the same place as seen
+    from the gram, and so a piece. Rows with the same surroundings meet the first of
+    them, and all meet the first of each of their pieces; those that have no passage
+    in common with any of these meet all that have a piece in common with them.
+    """
+    of_names = {"doc": "of_doc", "text_key": "of_key"}
+    row = ["gram", *KEYS, "place"]
+    alone = cut(met.join(alone, row, "left_semi"), "alone")
+    near = met.join(alone.select("gram").distinct(), "gram", "left_semi")
+    faces = cut(near.groupBy("gram", "around").agg(F.min(F.struct(*KEYS)).alias("p")).select("gram", "around", "p.*"), "faces")
+    theirs = cut(pieces(faces, setting), "pieces").withColumnsRenamed(of_names)
+    firsts = theirs.groupBy("piece").agg(F.min(F.struct("of_doc", "of_key")).alias("p")).select("piece", "p.*")
+    found = []
+    for others in (firsts, theirs):
+        mine = cut(pieces(faces.join(alone.select("gram", "around").distinct(), ["gram", "around"], "left_semi"), setting), "pieces")
+        pairs = mine.join(others, "piece").select(*KEYS, "of_doc", "of_key")
+        if not found:
+            pairs = pairs.unionByName(alone.join(faces.withColumnsRenamed(of_names), ["gram", "around"]).select(*KEYS, "of_doc", "of_key"))
+        found.append(open_pairs(met, alone, pairs, setting))
+        passed = found[-1].where(F.col("end") - F.col("first") >= setting.least)
+        passed = passed.select(*row).unionByName(passed.select("gram", F.col("of_doc").alias("doc"), F.col("of_key").alias("text_key"), (F.col("place") + F.col("shift")).alias("place")))
+        alone = cut(alone.join(passed.distinct(), row, "left_anti"), "alone")
+    return found
+
+
 def links(base: DataFrame, setting: Setting) -> DataFrame:
     """Places of documents with the place of an earlier document that is like each."""
     spark = base.sparkSession
@@ -290,17 +357,22 @@ def links(base: DataFrame, setting: Setting) -> DataFrame:
     rows = base.join(places, (F.col("doc") == F.col("d")) & (F.col("text_key") == F.col("k"))).select(*KEYS, "grams", "places", "text")
     met = cut(surroundings(rows, setting), "met")
     free_shuffles(spark)
-    found = []
+    found, every, alone = [], met, None
     for _ in range(setting.rounds):
         pivots = met.groupBy("gram").agg(F.min(F.struct(*KEYS, "place", "around")).alias("p"))
         pivots = cut(pivots.select(F.col("gram").alias("g"), F.col("p.doc").alias("of_doc"), F.col("p.text_key").alias("of_key"), F.col("p.place").alias("of_place"), F.col("p.around").alias("of_around")), "pivots")
         pairs = met.join(pivots, F.col("gram") == F.col("g")).where("doc <> of_doc or text_key <> of_key").drop("g")
         found.append(cut(compared(pairs, setting), "compared"))
         free_shuffles(spark)
-        short = found[-1].where(F.col("end") - F.col("first") < setting.least).select("gram", *KEYS, "place").distinct()
-        met = cut(met.join(short, ["gram", *KEYS, "place"], "left_semi"), "met")
+        row = ["gram", *KEYS, "place"]
+        short = found[-1].where(F.col("end") - F.col("first") < setting.least).select(*row).distinct()
+        passed = found[-1].where(F.col("end") - F.col("first") >= setting.least).select(*row).distinct()
+        alone = cut(short, "short") if alone is None else alone.join(passed, row, "left_anti")
+        met = cut(met.join(short, row, "left_semi"), "met")
         if met.isEmpty():
             break
+    if alone is not None and not alone.isEmpty():
+        found += left_over(every, alone, setting)
     pairs = reduce(DataFrame.unionByName, found).drop("gram", "place").dropDuplicates()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [*KEYS, "of_doc", "of_key", "first", "end", "far_first", "far_end", "shift", "changed"]

@@ -283,3 +283,17 @@ def test_recall_and_precision_over_a_table(spark):
     left = longest_shared({r["doc_id"]: r["text"] or "" for r in remove_repeats(docs).collect()})
     print("left over", sum(n > 50 for n in left.values()), sorted(left.items(), key=lambda x: -x[1])[:12])
     assert sum(n > 50 for n in left.values()) <= 0.05 * len(have)
+
+
+def test_a_crowded_bucket_loses_no_pair(spark):
+    """A phrase of 31 words in many texts: pairs that share more than it are found, however many documents come before them in its bucket."""
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    phrase = words(31)
+    texts = {i: words(40) + phrase + words(40) for i in range(8)}
+    for i in range(12):
+        shared = words(10) + phrase + words(10)  # one window of 51 words, mostly with its least gram in the phrase
+        texts |= {k: words(40) + shared + words(40) for k in (100 + 2 * i, 101 + 2 * i)}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    gone = {(r["doc"], r["first_word"], r["n_words"], r["keeper"]) for r in clusters(docs).where("removed").collect()}
+    assert gone == {(101 + 2 * i, 40, 51, 100 + 2 * i) for i in range(12)}
