@@ -65,6 +65,7 @@ class Setting:
     rounds: int = 3  # documents of a bucket that the others are compared with, one after another, before those left without a passage meet all
     run: int = 20  # words in a row that similar places share, however their changes lie
     step: int = 4  # words from one piece of surroundings to the next
+    at_once: int = 500_000  # pairs at a gram whose surroundings are joined at a time
 
     @property
     def cost(self) -> int:
@@ -309,10 +310,15 @@ def open_pairs(met: DataFrame, alone: DataFrame, pairs: DataFrame, setting: Sett
     places = alone.select("gram", *KEYS).distinct()
     at = places.join(pairs, KEYS).unionByName(places.withColumnsRenamed(of_names).join(pairs, ["of_doc", "of_key"])).distinct()
     others = met.groupBy("gram", *KEYS, "around").agg(F.min("place").alias("place")).withColumnsRenamed(of_names)
-    rows = met.join(cut(at, "left_at"), ["gram", *KEYS]).join(others, ["gram", "of_doc", "of_key"])
-    found = cut(compared(rows, setting), "compared")
+    at = cut(at, "left_at")
     free_shuffles(met.sparkSession)
-    return found
+    slices, found = at.count() // setting.at_once + 1, []
+    for n in range(slices):  # by gram, so that surroundings of some pairs at a time are on disk
+        part = F.pmod(F.xxhash64("gram"), F.lit(slices)) == n
+        rows = met.where(part).join(at.where(part), ["gram", *KEYS]).join(others.where(part), ["gram", "of_doc", "of_key"])
+        found.append(cut(compared(rows, setting), "compared"))
+        free_shuffles(met.sparkSession)
+    return reduce(DataFrame.unionByName, found)
 
 
 def left_over(met: DataFrame, alone: DataFrame, setting: Setting) -> list[DataFrame]:
