@@ -15,6 +15,9 @@ from millrace.operators.sampling import PRIME, best_fit
 from millrace.sources.workers import is_folder
 
 
+GIVEN = 1000  # rows that a shuffle holds besides its buffer
+
+
 def read_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int | None = 16) -> DataFrame:
     """Parquet files of one name pattern in a folder, as they come; a name that is a folder's means the files in it.
 
@@ -130,6 +133,13 @@ def shuffle_stream(stream: DataFrame, lane: str, row: str, buffer: int = 1000, s
         held, gone = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         out: list[str] = []
 
+        def given() -> pd.DataFrame:
+            nonlocal gone
+            rows = pd.DataFrame({"lane": [k[0]] * len(out), "place": range(gone, gone + len(out)), "row": out})
+            gone += len(out)
+            out.clear()
+            return rows
+
         def send(at: int, new: str | None) -> None:
             out.append(held[at])
             if new is None:
@@ -147,8 +157,10 @@ def shuffle_stream(stream: DataFrame, lane: str, row: str, buffer: int = 1000, s
                     held.append(text)
                 else:
                     send(_drawn(seed, k[0], gone + len(out), len(held)), text)
+                if len(out) >= GIVEN:  # rows go out as they come, whatever the size of a micro-batch
+                    yield given()
         state.update((held, gone + len(out)))
-        yield pd.DataFrame({"lane": [k[0]] * len(out), "place": range(gone, gone + len(out)), "row": out})
+        yield given()
 
     return stream.groupBy(lane).applyInPandasWithState(run, "lane long, place long, row string", "held array<string>, gone long", "append", "NoTimeout")
 

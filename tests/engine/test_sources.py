@@ -170,3 +170,27 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
         want = con.execute(ORACLE[name])
         assert got.columns == [c[0] for c in want.description]
         assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_shuffled_rows_go_out_in_parts():
+    """A large micro-batch is not held whole: rows leave as they come, with places in a row."""
+    import pandas as pd
+
+    class Stream:
+        def groupBy(self, lane):
+            return self
+
+        def applyInPandasWithState(self, run, *_):
+            return run
+
+    class State:
+        exists, kept = False, None
+
+        def update(self, kept):
+            self.kept = kept
+
+    run, state = jobs.shuffle_stream(Stream(), "lane", "row", 50), State()
+    given = list(run((1,), (pd.DataFrame({"row": [str(i) for i in range(a, a + 2500)]}) for a in (0, 2500)), state))
+    rows = pd.concat(given)
+    assert max(map(len, given)) <= jobs.GIVEN and list(rows["place"]) == list(range(4950))
+    assert sorted([*rows["row"], *state.kept[0]], key=int) == [str(i) for i in range(5000)] and state.kept[1] == 4950
