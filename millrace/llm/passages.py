@@ -9,8 +9,10 @@ and near copies are found from any of their windows whose least gram is intact.
 
 Documents that collide are compared where they do: each with the first document of
 its bucket, and those that have no passage in common with it with the first of
-them, up to ``rounds`` times. Those that are left without one are compared with all
-of their bucket that have ``run`` words in a row in common with them. All go word by word from the common gram outwards, over changed
+them, up to ``rounds`` times. Those whose words then go with no earlier document are
+compared with the first that has a window of ``least`` words in common with them, and then with
+all earlier ones of their bucket whose surroundings can be alike: they have a shingle in common
+that is not among the most frequent (a prefix filter, which loses none). All go word by word from the common gram outwards, over changed
 words as long as the five-word shingles of the two places have a Jaccard
 similarity of 0.75 or more. What is found from several grams of one pair is
 chained under the same rule, and a chain of at least ``least`` words is a link. It
@@ -26,7 +28,8 @@ at the places in question, and once to be edited.
 
 Bounds: rows are per gram or per link; in the rounds a bucket is joined with one row, so a hot
 one is split by Spark's skew join; what the rounds leave over is compared in
-pairs, as many as there are different surroundings that share a piece; a document's rows stream in order.
+pairs that have about as many words in common as a passage has, so texts that share a
+phrase of up to ``least`` - 8 words make none; a document's rows stream in order.
 
 Defined results: null and empty texts have no passage; null ids count as larger
 than all others; rows equal in id and text are one document, and are edited
@@ -63,8 +66,6 @@ class Setting:
     width: int = 5  # words of a shingle
     gap: int = 12  # words between parts of a chain
     rounds: int = 3  # documents of a bucket that the others are compared with, one after another, before those left without a passage meet all
-    run: int = 20  # words in a row that similar places share, however their changes lie
-    step: int = 4  # words from one piece of surroundings to the next
     at_once: int = 500_000  # pairs at a gram whose surroundings are joined at a time
 
     @property
@@ -72,6 +73,11 @@ class Setting:
         """Shingles in common that make up for one that is not."""
         return -(-2 * self.numerator // (100 - self.numerator))
 
+    @property
+    def common(self) -> int:
+        """Shingles beyond the gram that two passages have in common at least."""
+        return -(-2 * self.numerator * (self.least - self.width + 1) // (100 + self.numerator)) - (self.gram - self.width + 1)
+
 
 def documents_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc")
@@ -281,71 +287,132 @@ def chained(rows: DataFrame, setting: Setting) -> DataFrame:
     return rows.mapInArrow(run, "doc long, text_key long, first int, end int, of_doc long, of_key long, of_first int, of_end int")
 
 
-def pieces(rows: DataFrame, setting: Setting) -> DataFrame:
-    """(piece, doc, text_key): hashes of the pieces of each row's surroundings, with their gram and place; places that share ``run`` words in a row share one."""
-    size, step, width = setting.run - setting.step + 1, setting.step, 2 * setting.reach + setting.gram
-    starts = np.arange(0, width - size + 1, step)
-    factors = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(size)], np.uint64)
+def hashed(around: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, whether all are there) of every ``size`` words in a row, in each row of surroundings."""
+    powers, inverses = wordhash._powers_to(around.shape[1] + 1)
+    mixed = wordhash.mix(around.astype(np.uint64)) * powers[: around.shape[1]]
+    first = np.zeros((len(around), 1), np.uint64)
+    sums, there = (np.concatenate([first, np.cumsum(x, axis=1, dtype=np.uint64)], axis=1) for x in (mixed, around != 0))
+    n = around.shape[1] - size + 1
+    return wordhash.mix((sums[:, size:] - sums[:, :n]) * inverses[:n]), there[:, size:] - there[:, :n] == size
+
+
+def keys_of(faces: DataFrame, setting: Setting, whole: bool) -> DataFrame:
+    """(key, face) of surroundings (gram, face, around): ``whole``, of all windows of ``least`` words with the gram in its place; else of all shingles that go beyond the gram.
+
+    A shingle that occurs again has another key, so that those two faces have in common are counted as often as they occur in both.
+    """
+    reach, gram = setting.reach, setting.gram
 
     def run(batches):
         for batch in batches:
-            around = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(-1, width)
-            value = np.stack([wordhash.mix(around[:, s : s + size].astype(np.uint64)) @ factors for s in starts], axis=1)
-            gram = np.asarray(batch.column(0)).view("u8")[:, None]
-            value = wordhash.mix(wordhash.mix(value) + gram + starts.astype(np.uint64))
-            row, at = np.nonzero(np.stack([(around[:, s : s + size] != 0).all(axis=1) for s in starts], axis=1))
-            cols = [pa.array(value[row, at].view("i8")), *[pa.array(np.asarray(batch.column(i))[row]) for i in (1, 2)]]
-            yield pa.RecordBatch.from_arrays(cols, ["piece", *KEYS])
+            if not batch.num_rows:
+                continue
+            around = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, 2 * reach + gram)
+            value, there = hashed(around, setting.least if whole else setting.width)
+            start = np.arange(value.shape[1])
+            if whole:
+                there = there & (start <= reach) & (start + setting.least >= reach + gram)
+                value = value + start.astype(np.uint64)
+            else:
+                there = there & ((start < reach) | (start + setting.width > reach + gram))
+                order = np.argsort(np.where(there, value, 0), axis=1, kind="stable")
+                value, there = np.take_along_axis(value, order, axis=1), np.take_along_axis(there, order, axis=1)
+                new = np.ones(value.shape, bool)
+                new[:, 1:] = (value[:, 1:] != value[:, :-1]) | ~there[:, :-1]
+                value = value + (start - np.maximum.accumulate(np.where(new, start, 0), axis=1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            value = wordhash.mix(value + np.asarray(batch.column(0)).view("u8")[:, None])
+            row, at = np.nonzero(there)
+            yield pa.RecordBatch.from_arrays([pa.array(value[row, at].view("i8")), pa.array(np.asarray(batch.column(1))[row])], ["key", "face"])
         tidy()
 
-    return rows.select("gram", *KEYS, "around").mapInArrow(run, "piece long, doc long, text_key long")
+    return faces.select("gram", "face", "around").mapInArrow(run, "key long, face long")
 
 
-def open_pairs(met: DataFrame, alone: DataFrame, pairs: DataFrame, setting: Setting) -> DataFrame:
-    """Pairs of documents (doc, text_key, of_doc, of_key), compared at all of their grams where either has a row of ``alone``."""
-    a, b = F.struct(*KEYS), F.struct(F.col("of_doc").alias("doc"), F.col("of_key").alias("text_key"))
-    pairs = pairs.where("doc <> of_doc or text_key <> of_key").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    pairs = cut(pairs.select("a.*", F.col("b.doc").alias("of_doc"), F.col("b.text_key").alias("of_key")), "left_pairs")
+def open_links(met: DataFrame, alone: DataFrame, pairs: DataFrame, setting: Setting) -> DataFrame:
+    """Links of pairs of documents (doc, text_key, of_doc, of_key), compared at all grams where the first has a row of ``alone``."""
+    pairs = cut(pairs.distinct(), "left_pairs")
+    at = cut(alone.select("gram", *KEYS).distinct().join(pairs, KEYS), "left_at")
     of_names = {"doc": "of_doc", "text_key": "of_key", "place": "of_place", "around": "of_around"}
-    places = alone.select("gram", *KEYS).distinct()
-    at = places.join(pairs, KEYS).unionByName(places.withColumnsRenamed(of_names).join(pairs, ["of_doc", "of_key"])).distinct()
-    others = met.groupBy("gram", *KEYS, "around").agg(F.min("place").alias("place")).withColumnsRenamed(of_names)
-    at = cut(at, "left_at")
     free_shuffles(met.sparkSession)
     slices, found = at.count() // setting.at_once + 1, []
     for n in range(slices):  # by gram, so that surroundings of some pairs at a time are on disk
         part = F.pmod(F.xxhash64("gram"), F.lit(slices)) == n
-        rows = met.where(part).join(at.where(part), ["gram", *KEYS]).join(others.where(part), ["gram", "of_doc", "of_key"])
+        others = met.where(part).join(at.where(part).select("gram", F.col("of_doc").alias("doc"), F.col("of_key").alias("text_key")).distinct(), ["gram", *KEYS], "left_semi")
+        others = others.groupBy("gram", *KEYS, "around").agg(F.min("place").alias("place")).withColumnsRenamed(of_names)
+        rows = alone.where(part).join(at.where(part), ["gram", *KEYS]).join(others, ["gram", "of_doc", "of_key"])
         found.append(cut(compared(rows, setting), "compared"))
         free_shuffles(met.sparkSession)
-    return reduce(DataFrame.unionByName, found)
+    return cut(chain(reduce(DataFrame.unionByName, found), setting), "links")
 
 
-def left_over(met: DataFrame, alone: DataFrame, setting: Setting) -> list[DataFrame]:
-    """What the rounds may have missed: rows of ``alone``, which found no passage, compared with all others of their buckets that can share one.
+def chain(found: DataFrame, setting: Setting) -> DataFrame:
+    """Links from compared rows, pair by pair."""
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*KEYS, "of_doc", "of_key", "first", "end", "far_first", "far_end", "shift", "changed"]
+    pairs = found.drop("gram", "place").dropDuplicates()
+    return chained(pairs.select(*order).repartition(parts, *KEYS, "of_doc", "of_key").sortWithinPartitions(*order), setting)
+
+
+def uncovered(rows: DataFrame, found: DataFrame, setting: Setting) -> DataFrame:
+    """``rows`` without those whose gram is in words that an earlier document has."""
+    gone = islands(found.select(*KEYS, "first", "end").distinct(), "stretch").groupBy(*KEYS, "stretch").agg(F.max("end").alias("stop"))
+    gone = cut(gone.withColumnsRenamed({"doc": "d", "text_key": "k"}), "gone")
+    inside = (F.col("doc") == F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("place") >= F.col("stretch")) & (F.col("place") + setting.gram <= F.col("stop"))
+    return cut(rows.join(gone, inside, "left_anti"), "alone")
 
-    Those can that have ``run`` words in a row in common, in the same place as seen
-    from the gram, and so a piece. Rows with the same surroundings meet the first of
-    them, and all meet the first of each of their pieces; those that have no passage
-    in common with any of these meet all that have a piece in common with them.
+
+def left_over(met: DataFrame, alone: DataFrame, setting: Setting) -> list[DataFrame]:
+    """What the rounds may have missed: links of rows of ``alone``, whose words go with no earlier document, to all earlier ones of their buckets.
+
+    Rows with the same surroundings meet the first of them, and all meet the first
+    document of each of their windows of ``least`` words; so copies of one passage
+    meet one document. Those left over may be near copies of others: two places of
+    ``least`` words that are alike have ``common`` shingles around the gram in common,
+    so they have one among all but the ``common`` - 1 most frequent of each (a prefix
+    filter). They meet the first document that has it, and if no words go with that one, all.
     """
+    me, other = F.struct(*KEYS), F.struct("of_doc", "of_key")
     of_names = {"doc": "of_doc", "text_key": "of_key"}
-    row = ["gram", *KEYS, "place"]
-    alone = cut(met.join(alone, row, "left_semi"), "alone")
-    near = met.join(alone.select("gram").distinct(), "gram", "left_semi")
-    faces = cut(near.groupBy("gram", "around").agg(F.min(F.struct(*KEYS)).alias("p")).select("gram", "around", "p.*"), "faces")
-    theirs = cut(pieces(faces, setting), "pieces").withColumnsRenamed(of_names)
-    firsts = theirs.groupBy("piece").agg(F.min(F.struct("of_doc", "of_key")).alias("p")).select("piece", "p.*")
+    large = met.groupBy("gram").count().where("count > 2").select("gram")  # of two rows the first round has compared the one with the other
+    alone = alone.join(cut(large, "large"), "gram", "left_semi")
+    alone = cut(met.join(alone, ["gram", *KEYS, "place"], "left_semi").withColumn("face", F.xxhash64("gram", "around")), "alone")
     found = []
-    for others in (firsts, theirs):
-        mine = cut(pieces(faces.join(alone.select("gram", "around").distinct(), ["gram", "around"], "left_semi"), setting), "pieces")
-        pairs = mine.join(others, "piece").select(*KEYS, "of_doc", "of_key")
-        if not found:
-            pairs = pairs.unionByName(alone.join(faces.withColumnsRenamed(of_names), ["gram", "around"]).select(*KEYS, "of_doc", "of_key"))
-        found.append(open_pairs(met, alone, pairs, setting))
-        passed = found[-1].where(F.col("end") - F.col("first") >= setting.least)
-        passed = passed.select(*row).unionByName(passed.select("gram", F.col("of_doc").alias("doc"), F.col("of_key").alias("text_key"), (F.col("place") + F.col("shift")).alias("place")))
-        alone = cut(alone.join(passed.distinct(), row, "left_anti"), "alone")
+
+    def faces_of(rows: DataFrame) -> DataFrame:
+        """(gram, face, around, of_doc, of_key, open): surroundings at the grams of ``rows`` with their first document, and whether any of the rows has them."""
+        own = rows.select(F.col("face").alias("own")).distinct()
+        near = met.join(cut(rows.select("gram").distinct(), "grams"), "gram", "left_semi").groupBy("gram", "around").agg(F.min(F.struct(*KEYS)).alias("p"))
+        near = near.select("gram", F.xxhash64("gram", "around").alias("face"), "around", F.col("p.doc").alias("of_doc"), F.col("p.text_key").alias("of_key"))
+        return cut(near.join(own, F.col("face") == F.col("own"), "left").withColumn("open", F.col("own").isNotNull()).drop("own"), "faces")
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        """Pairs (face, of_doc, of_key) are compared; returned are the rows left over."""
+        pairs = alone.select("face", *KEYS).distinct().join(pairs, "face").where(other < me).drop("face")
+        found.append(open_links(met, alone, pairs, setting))
+        return uncovered(alone, found[-1], setting)
+
+    faces = faces_of(alone)
+    names = faces.select("face", "of_doc", "of_key", "open")
+    keys = cut(keys_of(faces, setting, True).join(names, "face"), "windows")
+    firsts = cut(keys.groupBy("key").agg(F.min(other).alias("p"), F.count_if("open").alias("n")).where("n > 0").select("key", "p.*"), "firsts")
+    same = keys.where("open").select("key", "face").join(firsts, "key").drop("key")
+    alone = meet(same.unionByName(names.where("open").drop("open")).distinct())
+    if alone.isEmpty():
+        return found
+    faces = faces_of(alone)
+    names = faces.select("face", "of_doc", "of_key", "open")
+    keys = cut(keys_of(faces, setting, False).join(names.select("face", "open"), "face"), "shingles")
+    often = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("m")).where("n > 1 and m > 0").select("key", "n"), "often")
+    ordered = keys.join(often, "key").groupBy("face").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("k")).where(F.size("k") >= setting.common)
+    rare = ordered.select("face", F.explode(F.expr(f"slice(k, 1, size(k) - {setting.common - 1})")).alias("k")).select("face", F.col("k.key").alias("key"))
+    rare = cut(rare.join(names, "face"), "rare")
+    firsts = cut(rare.groupBy("key").agg(F.min(other).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", "p.*"), "firsts")
+    alone = meet(rare.where("open").select("key", "face").join(firsts, "key").drop("key").distinct())
+    if not alone.isEmpty():
+        rest = rare.join(alone.select("face").distinct(), "face", "left_semi").select("key", "face", F.struct("of_doc", "of_key").alias("own"))
+        pairs = rest.join(rare.select("key", "of_doc", "of_key"), "key").where(other < F.col("own")).select("face", "of_doc", "of_key").distinct()
+        alone = meet(pairs)
     return found
 
 
@@ -372,17 +439,15 @@ def links(base: DataFrame, setting: Setting) -> DataFrame:
         free_shuffles(spark)
         row = ["gram", *KEYS, "place"]
         short = found[-1].where(F.col("end") - F.col("first") < setting.least).select(*row).distinct()
-        passed = found[-1].where(F.col("end") - F.col("first") >= setting.least).select(*row).distinct()
-        alone = cut(short, "short") if alone is None else alone.join(passed, row, "left_anti")
+        alone = cut(short, "short") if alone is None else alone
         met = cut(met.join(short, row, "left_semi"), "met")
         if met.isEmpty():
             break
-    if alone is not None and not alone.isEmpty():
-        found += left_over(every, alone, setting)
-    pairs = reduce(DataFrame.unionByName, found).drop("gram", "place").dropDuplicates()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [*KEYS, "of_doc", "of_key", "first", "end", "far_first", "far_end", "shift", "changed"]
-    return cut(chained(pairs.select(*order).repartition(parts, *KEYS, "of_doc", "of_key").sortWithinPartitions(*order), setting), "links")
+    linked = cut(chain(reduce(DataFrame.unionByName, found), setting), "links")
+    alone = uncovered(alone, linked, setting)
+    if alone.isEmpty():
+        return linked
+    return reduce(DataFrame.unionByName, [linked, *left_over(every, alone, setting)])
 
 
 def islands(places: DataFrame, into: str) -> DataFrame:

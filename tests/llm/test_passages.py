@@ -297,3 +297,25 @@ def test_a_crowded_bucket_loses_no_pair(spark):
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
     gone = {(r["doc"], r["first_word"], r["n_words"], r["keeper"]) for r in clusters(docs).where("removed").collect()}
     assert gone == {(101 + 2 * i, 40, 51, 100 + 2 * i) for i in range(12)}
+
+
+def test_a_common_phrase_makes_no_pairs(spark, monkeypatch):
+    """Texts that share 40 words and no passage are compared with a few others each, not with all; a near copy among them is found."""
+    from millrace.llm import passages
+
+    rng, rows = random.Random(5), []
+    real = passages.compared
+
+    def counted(pairs, setting):
+        rows.append(pairs.count())
+        return real(pairs, setting)
+
+    monkeypatch.setattr(passages, "compared", counted)
+    phrase = words_of(rng, 40, "p")
+    texts = [words_of(rng, 40) + phrase + words_of(rng, 40) for _ in range(60)]
+    before, after = words_of(rng, 30, "b"), words_of(rng, 30, "a")
+    for _ in range(2):
+        texts.append(words_of(rng, 40) + before[:15] + words_of(rng, 1, "c") + before[16:] + phrase + after + words_of(rng, 40))
+    gone = clusters(docs_of(spark, [" ".join(t) for t in texts])).where("removed").collect()
+    assert {(r["doc"], r["keeper"]) for r in gone} == {(61, 60)}
+    assert sum(rows) <= 6 * len(texts) * 5, rows
