@@ -297,36 +297,51 @@ def hashed(around: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return wordhash.mix((sums[:, size:] - sums[:, :n]) * inverses[:n]), there[:, size:] - there[:, :n] == size
 
 
-def keys_of(faces: DataFrame, setting: Setting, whole: bool) -> DataFrame:
-    """(key, face) of surroundings (gram, face, around): ``whole``, of all windows of ``least`` words with the gram in its place; else of all shingles that go beyond the gram.
+def window_keys(faces: DataFrame, setting: Setting) -> DataFrame:
+    """(key, face, of_doc, of_key, open): a key for each window of ``least`` words with the gram in its place."""
+    reach, gram = setting.reach, setting.gram
+
+    def run(batches):
+        for batch in batches:
+            value, there = hashed(around_of(batch.column("around"), setting), setting.least)
+            start = np.arange(value.shape[1])
+            there = there & (start <= reach) & (start + setting.least >= reach + gram)
+            value = wordhash.mix(value + start.astype(np.uint64) + np.asarray(batch.column("gram")).view("u8")[:, None])
+            row, at = np.nonzero(there)
+            cols = [pa.array(value[row, at].view("i8")), *[batch.column(c).take(pa.array(row)) for c in ("face", "of_doc", "of_key", "open")]]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "face", "of_doc", "of_key", "open"])
+        tidy()
+
+    return faces.mapInArrow(run, "key long, face long, of_doc long, of_key long, open boolean")
 
-    A shingle that occurs again has another key, so that those two faces have in common are counted as often as they occur in both.
+
+def around_of(column: pa.Array, setting: Setting) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, 2 * setting.reach + setting.gram)
+
+
+def shingle_keys(faces: DataFrame, setting: Setting) -> DataFrame:
+    """(key, face, open): a key for each shingle of surroundings that goes beyond the gram.
+
+    One that occurs again has another key, so that those two faces have in common are counted as often as they occur in both.
     """
-    reach, gram = setting.reach, setting.gram
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            around = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, 2 * reach + gram)
-            value, there = hashed(around, setting.least if whole else setting.width)
+            value, there = hashed(around_of(batch.column("around"), setting), setting.width)
             start = np.arange(value.shape[1])
-            if whole:
-                there = there & (start <= reach) & (start + setting.least >= reach + gram)
-                value = value + start.astype(np.uint64)
-            else:
-                there = there & ((start < reach) | (start + setting.width > reach + gram))
-                order = np.argsort(np.where(there, value, 0), axis=1, kind="stable")
-                value, there = np.take_along_axis(value, order, axis=1), np.take_along_axis(there, order, axis=1)
-                new = np.ones(value.shape, bool)
-                new[:, 1:] = (value[:, 1:] != value[:, :-1]) | ~there[:, :-1]
-                value = value + (start - np.maximum.accumulate(np.where(new, start, 0), axis=1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            value = wordhash.mix(value + np.asarray(batch.column(0)).view("u8")[:, None])
+            there = there & ((start < setting.reach) | (start + setting.width > setting.reach + setting.gram))
+            order = np.argsort(np.where(there, value, 0), axis=1, kind="stable")
+            value, there = np.take_along_axis(value, order, axis=1), np.take_along_axis(there, order, axis=1)
+            new = np.ones(value.shape, bool)
+            new[:, 1:] = (value[:, 1:] != value[:, :-1]) | ~there[:, :-1]
+            again = (start - np.maximum.accumulate(np.where(new, start, 0), axis=1)).astype(np.uint64)
+            value = wordhash.mix(value + again * np.uint64(0x9E3779B97F4A7C15) + np.asarray(batch.column("gram")).view("u8")[:, None])
             row, at = np.nonzero(there)
-            yield pa.RecordBatch.from_arrays([pa.array(value[row, at].view("i8")), pa.array(np.asarray(batch.column(1))[row])], ["key", "face"])
+            cols = [pa.array(value[row, at].view("i8")), *[batch.column(c).take(pa.array(row)) for c in ("face", "open")]]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "face", "open"])
         tidy()
 
-    return faces.select("gram", "face", "around").mapInArrow(run, "key long, face long")
+    return faces.mapInArrow(run, "key long, face long, open boolean")
 
 
 def open_links(met: DataFrame, alone: DataFrame, pairs: DataFrame, setting: Setting) -> DataFrame:
@@ -373,7 +388,6 @@ def left_over(met: DataFrame, alone: DataFrame, setting: Setting) -> list[DataFr
     filter). They meet the first document that has it, and if no words go with that one, all.
     """
     me, other = F.struct(*KEYS), F.struct("of_doc", "of_key")
-    of_names = {"doc": "of_doc", "text_key": "of_key"}
     large = met.groupBy("gram").count().where("count > 2").select("gram")  # of two rows the first round has compared the one with the other
     alone = alone.join(cut(large, "large"), "gram", "left_semi")
     alone = cut(met.join(alone, ["gram", *KEYS, "place"], "left_semi").withColumn("face", F.xxhash64("gram", "around")), "alone")
@@ -394,7 +408,7 @@ def left_over(met: DataFrame, alone: DataFrame, setting: Setting) -> list[DataFr
 
     faces = faces_of(alone)
     names = faces.select("face", "of_doc", "of_key", "open")
-    keys = cut(keys_of(faces, setting, True).join(names, "face"), "windows")
+    keys = cut(window_keys(faces, setting), "windows")
     firsts = cut(keys.groupBy("key").agg(F.min(other).alias("p"), F.count_if("open").alias("n")).where("n > 0").select("key", "p.*"), "firsts")
     same = keys.where("open").select("key", "face").join(firsts, "key").drop("key")
     alone = meet(same.unionByName(names.where("open").drop("open")).distinct())
@@ -402,7 +416,7 @@ def left_over(met: DataFrame, alone: DataFrame, setting: Setting) -> list[DataFr
         return found
     faces = faces_of(alone)
     names = faces.select("face", "of_doc", "of_key", "open")
-    keys = cut(keys_of(faces, setting, False).join(names.select("face", "open"), "face"), "shingles")
+    keys = cut(shingle_keys(faces, setting), "shingles")
     often = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("m")).where("n > 1 and m > 0").select("key", "n"), "often")
     ordered = keys.join(often, "key").groupBy("face").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("k")).where(F.size("k") >= setting.common)
     rare = ordered.select("face", F.explode(F.expr(f"slice(k, 1, size(k) - {setting.common - 1})")).alias("k")).select("face", F.col("k.key").alias("key"))
@@ -410,9 +424,8 @@ def left_over(met: DataFrame, alone: DataFrame, setting: Setting) -> list[DataFr
     firsts = cut(rare.groupBy("key").agg(F.min(other).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", "p.*"), "firsts")
     alone = meet(rare.where("open").select("key", "face").join(firsts, "key").drop("key").distinct())
     if not alone.isEmpty():
-        rest = rare.join(alone.select("face").distinct(), "face", "left_semi").select("key", "face", F.struct("of_doc", "of_key").alias("own"))
-        pairs = rest.join(rare.select("key", "of_doc", "of_key"), "key").where(other < F.col("own")).select("face", "of_doc", "of_key").distinct()
-        alone = meet(pairs)
+        rest = rare.join(alone.select("face").distinct(), "face", "left_semi").select("key", "face", other.alias("own"))
+        meet(rest.join(rare.select("key", "of_doc", "of_key"), "key").where(other < F.col("own")).select("face", "of_doc", "of_key").distinct())
     return found
 
 
