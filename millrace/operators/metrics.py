@@ -95,13 +95,12 @@ def text_overlap(prediction: Column, label: Column, digits: int = 6) -> Column:
     def f1(hits, a, b):
         return 2 * hits / (a + b) if a + b else 0.0
 
-    def bleu(h, r):
-        if not set(h) & set(r):
+    def bleu(h, r, hit):
+        if not hit[0]:
             return 0.0
         logs, k = 0.0, 0
         for n in range(1, 5):
-            have, want = grams(h, n), grams(r, n)
-            hits, total = sum((have & want).values()), max(sum(have.values()), 1)
+            hits, total = hit[n - 1], max(len(h) - n + 1, 1)
             if not hits:
                 k += 1
                 hits = 1 / 2**k
@@ -110,8 +109,9 @@ def text_overlap(prediction: Column, label: Column, digits: int = 6) -> Column:
 
     def one(p, t):
         h, r = (p or "").split(), (t or "").split()
-        rouge = [f1(sum((grams(h, n) & grams(r, n)).values()), sum(grams(h, n).values()), sum(grams(r, n).values())) for n in (1, 2)]
-        return [round(100 * x, digits) for x in (*rouge, f1(_lcs(h, r), len(h), len(r)), bleu(h, r))]
+        hit = [sum((grams(h, n) & grams(r, n)).values()) for n in range(1, 5)]
+        rouge = [f1(hit[n - 1], max(len(h) - n + 1, 0), max(len(r) - n + 1, 0)) for n in (1, 2)]
+        return [round(100 * x, digits) for x in (*rouge, f1(_lcs(h, r), len(h), len(r)), bleu(h, r, hit))]
 
     @F.pandas_udf("array<double>")
     def run(p: pd.Series, t: pd.Series) -> pd.Series:

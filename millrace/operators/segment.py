@@ -28,18 +28,30 @@ def word_table(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def best_path(run: str, counts: dict[str, int], total: int, longest: int) -> list[str]:
-    """The words of one run."""
+def sizes_by_start(counts: dict[str, int]) -> dict[str, list[int]]:
+    """The lengths of the words of more than one letter that begin with each two letters, shortest first."""
+    found: dict[str, set[int]] = {}
+    for word, n in counts.items():
+        if n and len(word) > 1:
+            found.setdefault(word[:2], set()).add(len(word))
+    return {start: sorted(sizes) for start, sizes in found.items()}
+
+
+def best_path(run: str, counts: dict[str, int], total: int, longest: int, starts: dict[str, list[int]] | None = None) -> list[str]:
+    """The words of one run; ``starts`` is ``sizes_by_start`` of the table, so that only lengths that words have are tried."""
+    starts = sizes_by_start(counts) if starts is None else starts
     end = len(run)
     score, step = [0.0] * (end + 1), [1] * (end + 1)
     base = math.log(max(total, 1))
     for i in range(end - 1, -1, -1):
-        best = None
-        for size in range(1, min(longest, end - i) + 1):
+        best = math.log(max(counts.get(run[i], 0), 1)) - base + score[i + 1]
+        for size in starts.get(run[i : i + 2], ()):
+            if size > longest or i + size > end:
+                break
             n = counts.get(run[i : i + size], 0)
-            if n or size == 1:
-                way = math.log(max(n, 1)) - base + score[i + size]
-                if best is None or way >= best:
+            if n:
+                way = math.log(n) - base + score[i + size]
+                if way >= best:
                     best, step[i] = way, size
         score[i] = best
     out, i = [], 0
@@ -62,18 +74,20 @@ def segmented(df: DataFrame, text: str, words: DataFrame, into: str, letters: st
     total, longest = int(size[0]), int(size[1])
     parts = re.compile(f"({letters})|{OTHER}")
 
-    def cut(text: str | None, counts: dict[str, int]) -> list[str]:
+    def cut(text: str | None, counts: dict[str, int], starts: dict[str, list[int]]) -> list[str]:
         found = []
         for m in parts.finditer(text or ""):
-            found.extend(best_path(m[1], counts, total, longest) if m[1] else [m[0]])
+            found.extend(best_path(m[1], counts, total, longest, starts) if m[1] else [m[0]])
         return found
 
     if size[2] <= bound:
-        table = df.sparkSession.sparkContext.broadcast({r["word"]: r["n"] for r in words.toLocalIterator()})
+        counts = {r["word"]: r["n"] for r in words.toLocalIterator()}
+        table = df.sparkSession.sparkContext.broadcast((counts, sizes_by_start(counts)))
 
         @F.pandas_udf("array<string>")
         def by_table(texts: pd.Series) -> pd.Series:
-            return pd.Series([cut(t, table.value) for t in texts], dtype=object)
+            counts, starts = table.value
+            return pd.Series([cut(t, counts, starts) for t in texts], dtype=object)
 
         return df.withColumn(into, by_table(F.col(text)))
 
@@ -87,7 +101,8 @@ def segmented(df: DataFrame, text: str, words: DataFrame, into: str, letters: st
 
     @F.pandas_udf("array<string>")
     def by_own(texts: pd.Series, own: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([cut(t, dict(zip(w, c)) if w is not None else {}) for t, w, c in zip(texts, own, n)], dtype=object)
+        tables = (dict(zip(w, c)) if w is not None else {} for w, c in zip(own, n))
+        return pd.Series([cut(t, table, sizes_by_start(table)) for t, table in zip(texts, tables)], dtype=object)
 
     def key(c: str) -> Column:
         return F.sha2(F.col(c), 256)

@@ -78,3 +78,18 @@ def test_query_is_the_mean_of_brute_force(spark, tmp_path):
         scores.append(200 * sum(min(a.count(w), b.count(w)) for w in set(a)) / (len(a) + len(b)))
     got = QUERIES["A11_corpus_means"](spark, str(tmp_path)).first()
     assert got["n"] == 6 and abs(got["rouge_1"] - sum(scores) / 6) < 1e-5
+
+
+def test_only_lengths_that_words_have_are_tried():
+    """A long word in the table does not make every place of a run cost its length."""
+
+    class Counted(dict):
+        tried = 0
+
+        def get(self, *key):
+            Counted.tried += 1
+            return super().get(*key)
+
+    counts = Counted({"ab": 4, "ba": 2, "z" * 900: 1})
+    got = segment.best_path("ab" * 1000, counts, 7, 900)
+    assert got == ["ab"] * 1000 and Counted.tried <= 2 * 2000
