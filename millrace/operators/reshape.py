@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.canonical import row_key
 from millrace.operators.normalize import message, prepend_once
+from millrace.sources.workers import written
 
 
 def split_turns(df: DataFrame, key: str = "id", messages: str = "messages", prefix: str = "<video><audio>\n") -> DataFrame:
@@ -80,7 +81,7 @@ def cached_join(df: DataFrame, cache: DataFrame, fields: list[str], wanted: int,
 
     The cache has a row for each ``key``; rows with fewer than ``wanted`` choices are worked on again.
     """
-    keyed = df.withColumn(key, row_key(*fields))
+    keyed, cache = written(df.withColumn(key, row_key(*fields)), "keyed"), written(cache, "cache")  # keys are dear, and both results need them
     done = cache.where(F.col(count) >= wanted).select(key)
     return keyed.join(cache, key, "left"), keyed.join(done, key, "left_anti")
 

@@ -365,3 +365,14 @@ def test_layouts_with_drawn_questions(spark):
     assert {q for q, _ in got} == set(PIXELPROSE_QUESTIONS) and {a for _, a in got} == {f"x{k}" for k in range(30)}
     got = both(PRESETS["ocrvqa"](rows))
     assert {q for q, _ in got} == {"q0", "q1", "q2"} and all(q[1:] == a[1:] for q, a in got)
+
+
+def test_keys_of_cached_rows_are_computed_once(spark):
+    """Both results of a join with a cache read the keys; neither plan computes them again."""
+    from millrace.operators import reshape
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
+    cache = df.where("id = 1").select(reshape.row_key("id", "text").alias("row_md5"), F.lit(5).cast("long").alias("n_choices"))
+    found, todo = reshape.cached_join(df, cache, ["id", "text"], 4)
+    assert found.count() == 2 and todo.count() == 1
+    assert all("md5(" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (found, todo))
