@@ -12,7 +12,7 @@ its bucket, and those that have no passage in common with it with the first of
 them, up to ``rounds`` times. Those whose words then go with no earlier document are
 compared with the first that has a window of ``least`` words in common with them, and then with
 all earlier ones of their bucket whose surroundings can be alike: they have a shingle in common
-that is not among the most frequent (a prefix filter, which loses none). All go word by word from the common gram outwards, over changed
+that is rarer than those which make up a place of ``least`` words (a prefix filter). All go word by word from the common gram outwards, over changed
 words as long as the five-word shingles of the two places have a Jaccard
 similarity of 0.75 or more. What is found from several grams of one pair is
 chained under the same rule, and a chain of at least ``least`` words is a link. It
@@ -28,8 +28,9 @@ at the places in question, and once to be edited.
 
 Bounds: rows are per gram or per link; in the rounds a bucket is joined with one row, so a hot
 one is split by Spark's skew join; what the rounds leave over is compared in
-pairs that have about as many words in common as a passage has, so texts that share a
-phrase of up to ``least`` - 8 words make none; a document's rows stream in order.
+pairs that share a shingle which tells, so texts that share one phrase of up to
+``least`` - 1 words make none; members of a large group of loosely similar texts
+still make pairs with all of it; a document's rows stream in order.
 
 Defined results: null and empty texts have no passage; null ids count as larger
 than all others; rows equal in id and text are one document, and are edited
@@ -55,6 +56,7 @@ from millrace.llm.runtime import cut, free_shuffles, prepare, tidy
 LAST = (1 << 63) - 1
 PLACE_BITS = 26  # words of a buffer, which one text may fill
 KEYS = ["doc", "text_key"]
+ABSENT = (1 << 31) - 1
 
 
 @dataclass(frozen=True)
@@ -74,9 +76,15 @@ class Setting:
         return -(-2 * self.numerator // (100 - self.numerator))
 
     @property
-    def common(self) -> int:
-        """Shingles beyond the gram that two passages have in common at least."""
-        return -(-2 * self.numerator * (self.least - self.width + 1) // (100 + self.numerator)) - (self.gram - self.width + 1)
+    def lost(self) -> int:
+        """Shingles of surroundings that two passages may not have in common."""
+        n = 2 * self.reach + self.gram - self.width + 1
+        return n + (-2 * self.numerator * n // (100 + self.numerator))
+
+    @property
+    def shorter(self) -> int:
+        """Words by which the other of two passages may be shorter than ``least``, if they are left out at one place."""
+        return self.least - 2 * (self.width - 1) + -self.numerator * self.least // 100
 
 
 def documents_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -320,28 +328,65 @@ def around_of(column: pa.Array, setting: Setting) -> np.ndarray:
 
 
 def shingle_keys(faces: DataFrame, setting: Setting) -> DataFrame:
-    """(key, face, open): a key for each shingle of surroundings that goes beyond the gram.
-
-    One that occurs again has another key, so that those two faces have in common are counted as often as they occur in both.
-    """
+    """(key, face, at, open): a key for each shingle of surroundings that goes beyond the gram, and where it begins."""
 
     def run(batches):
         for batch in batches:
             value, there = hashed(around_of(batch.column("around"), setting), setting.width)
             start = np.arange(value.shape[1])
             there = there & ((start < setting.reach) | (start + setting.width > setting.reach + setting.gram))
-            order = np.argsort(np.where(there, value, 0), axis=1, kind="stable")
-            value, there = np.take_along_axis(value, order, axis=1), np.take_along_axis(there, order, axis=1)
-            new = np.ones(value.shape, bool)
-            new[:, 1:] = (value[:, 1:] != value[:, :-1]) | ~there[:, :-1]
-            again = (start - np.maximum.accumulate(np.where(new, start, 0), axis=1)).astype(np.uint64)
-            value = wordhash.mix(value + again * np.uint64(0x9E3779B97F4A7C15) + np.asarray(batch.column("gram")).view("u8")[:, None])
+            value = wordhash.mix(value + np.asarray(batch.column("gram")).view("u8")[:, None])
             row, at = np.nonzero(there)
-            cols = [pa.array(value[row, at].view("i8")), *[batch.column(c).take(pa.array(row)) for c in ("face", "open")]]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "face", "open"])
+            cols = [pa.array(value[row, at].view("i8")), batch.column("face").take(pa.array(row)), pa.array(at.astype("i4")), batch.column("open").take(pa.array(row))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "face", "at", "open"])
+        tidy()
+
+    return faces.mapInArrow(run, "key long, face long, at int, open boolean")
+
+
+def telling(rank: np.ndarray, span: int, setting: Setting) -> np.ndarray:
+    """Which shingles tell, in rows of their ranks from the most frequent on: one of them is the rarest that a similar place can have in common.
+
+    A place that begins with one shingle ends with one ``span`` or more further on, and
+    has all but ``lost`` of those from the one to the other in common. So the rarest of
+    what is in common is no more frequent than the most frequent ones that make up
+    such a place.
+    """
+    n, few = setting.reach + 1, span + 1 - setting.lost
+    ends = np.minimum.accumulate(rank[:, ::-1], axis=1)[:, ::-1][:, span : span + n]
+    windows = np.lib.stride_tricks.sliding_window_view(rank, span + 1, axis=1)[:, :n]
+    least = np.maximum(np.maximum(rank[:, :n], ends), np.partition(windows, few - 1, axis=2)[:, :, few - 1])
+    least = np.minimum.accumulate(least, axis=1)
+    least = np.concatenate([least, np.repeat(least[:, -1:], rank.shape[1] - n, axis=1)], axis=1)
+    return (rank >= least) & (rank < ABSENT)
+
+
+def rare_keys(rows: DataFrame, setting: Setting) -> DataFrame:
+    """(face, key, asks): the keys that tell, of rows (face, shingles with n, key and at); those with ``asks`` tell of places of ``least`` words, others of the shorter ones that may be like them."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = part.column(1)
+                row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
+                n, key, place = (np.asarray(lists.flatten().field(i)) for i in range(3))
+                order = np.lexsort((key, -n, row))
+                row, key, place = row[order], key[order], place[order]
+                first = np.ones(len(row), bool)
+                first[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+                rank = np.full((part.num_rows, 2 * setting.reach + setting.gram - setting.width + 1), ABSENT, "i4")
+                rank[:, setting.reach : setting.reach + setting.gram - setting.width + 1] = -1  # the gram's own
+                rank[row, place] = np.cumsum(first)
+                span = setting.least - setting.width
+                asks, tells = telling(rank, span, setting)[row, place], telling(rank, span - setting.shorter, setting)[row, place]
+                group = np.cumsum(first) - 1
+                asks, tells = (np.bincount(group, x, minlength=group[-1] + 1 if len(group) else 0) > 0 for x in (asks, tells))
+                row, key = row[first][tells], key[first][tells]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(key), pa.array(asks[tells])], ["face", "key", "asks"])
         tidy()
 
-    return faces.mapInArrow(run, "key long, face long, open boolean")
+    return rows.mapInArrow(run, "face long, key long, asks boolean")
 
 
 def open_links(met: DataFrame, alone: DataFrame, pairs: DataFrame, setting: Setting) -> DataFrame:
@@ -383,9 +428,8 @@ def left_over(met: DataFrame, alone: DataFrame, setting: Setting) -> list[DataFr
     Rows with the same surroundings meet the first of them, and all meet the first
     document of each of their windows of ``least`` words; so copies of one passage
     meet one document. Those left over may be near copies of others: two places of
-    ``least`` words that are alike have ``common`` shingles around the gram in common,
-    so they have one among all but the ``common`` - 1 most frequent of each (a prefix
-    filter). They meet the first document that has it, and if no words go with that one, all.
+    ``least`` words that are alike have most shingles from the first to the last in common,
+    so they have one in common that tells (see ``telling``; a prefix filter). They meet the first document that has it, and if no words go with that one, all.
     """
     me, other = F.struct(*KEYS), F.struct("of_doc", "of_key")
     large = met.groupBy("gram").count().where("count > 2").select("gram")  # of two rows the first round has compared the one with the other
@@ -418,13 +462,13 @@ def left_over(met: DataFrame, alone: DataFrame, setting: Setting) -> list[DataFr
     names = faces.select("face", "of_doc", "of_key", "open")
     keys = cut(shingle_keys(faces, setting), "shingles")
     often = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("m")).where("n > 1 and m > 0").select("key", "n"), "often")
-    ordered = keys.join(often, "key").groupBy("face").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("k")).where(F.size("k") >= setting.common)
-    rare = ordered.select("face", F.explode(F.expr(f"slice(k, 1, size(k) - {setting.common - 1})")).alias("k")).select("face", F.col("k.key").alias("key"))
-    rare = cut(rare.join(names, "face"), "rare")
-    firsts = cut(rare.groupBy("key").agg(F.min(other).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", "p.*"), "firsts")
-    alone = meet(rare.where("open").select("key", "face").join(firsts, "key").drop("key").distinct())
+    shared = keys.join(often, "key").groupBy("face").agg(F.collect_list(F.struct(F.col("n").cast("int"), "key", "at")).alias("k"))
+    rare = cut(rare_keys(shared, setting).join(names, "face"), "rare")
+    asks = F.col("open") & F.col("asks")
+    firsts = cut(rare.groupBy("key").agg(F.min(other).alias("p"), F.count_if(asks).alias("n")).where("n > 0").select("key", "p.*"), "firsts")
+    alone = meet(rare.where(asks).select("key", "face").join(firsts, "key").drop("key").distinct())
     if not alone.isEmpty():
-        rest = rare.join(alone.select("face").distinct(), "face", "left_semi").select("key", "face", other.alias("own"))
+        rest = rare.where(asks).join(alone.select("face").distinct(), "face", "left_semi").select("key", "face", other.alias("own"))
         meet(rest.join(rare.select("key", "of_doc", "of_key"), "key").where(other < F.col("own")).select("face", "of_doc", "of_key").distinct())
     return found
 

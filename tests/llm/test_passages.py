@@ -319,3 +319,25 @@ def test_a_common_phrase_makes_no_pairs(spark, monkeypatch):
     gone = clusters(docs_of(spark, [" ".join(t) for t in texts])).where("removed").collect()
     assert {(r["doc"], r["keeper"]) for r in gone} == {(61, 60)}
     assert sum(rows) <= 6 * len(texts) * 5, rows
+
+
+def test_a_phrase_almost_as_long_as_a_passage_makes_no_pairs(spark, monkeypatch):
+    """Texts that share 48 words, too few for a passage, are not compared with all others; a near copy among them is found."""
+    from millrace.llm import passages
+
+    rng, rows = random.Random(6), []
+    real = passages.compared
+
+    def counted(pairs, setting):
+        rows.append(pairs.count())
+        return real(pairs, setting)
+
+    monkeypatch.setattr(passages, "compared", counted)
+    phrase = words_of(rng, 48, "p")
+    texts = [words_of(rng, 40) + phrase + words_of(rng, 40) for _ in range(60)]
+    before, after = words_of(rng, 30, "b"), words_of(rng, 30, "a")
+    for _ in range(2):
+        texts.append(words_of(rng, 40) + before[:15] + words_of(rng, 1, "c") + before[16:] + phrase + after + words_of(rng, 40))
+    gone = clusters(docs_of(spark, [" ".join(t) for t in texts])).where("removed").collect()
+    assert {(r["doc"], r["keeper"]) for r in gone} == {(61, 60)}
+    assert sum(rows) <= 6 * len(texts) * 5, rows
